@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datewright.llm import exact_dedup, line_dedup, mixing, quality_rules
+from datewright.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,10 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -27,16 +35,33 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("repeats")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.chat_tree(chat_format.with_hostile(table(spark, sf_dir, "conversations"))))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_packing": op1_packing,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
+        "op6_language_id": op6_language_id,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_line_dedup": op9_line_dedup,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
@@ -59,4 +84,4 @@ from judged group by doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op5_mixing": mixing.ORACLE_SQL, "op9_line_dedup": _OP9}
+    return {"op2_exact_dedup": _OP2, "op5_mixing": mixing.ORACLE_SQL, "op8_chat_formatting": chat_format.ORACLE_SQL, "op9_line_dedup": _OP9}

@@ -2,8 +2,8 @@
 far each can be trusted, and the posterior labels train a hashed linear scorer.
 
 A labeller votes good, bad or abstains. All that the estimation needs is how often each combination of votes occurs, over all documents: at most
-3 ** len(labellers) counts, which go to the driver. The model is one of two latent classes in which labellers vote independently, begun from the
-majority of votes. The scorer sees nothing of the votes: it adds up weights of hashed words and word shapes (runs of small letters, of capitals, of digits;
+3 ** len(labellers) counts, which go to the driver. The model is one of two latent classes in which labellers vote independently, begun from
+whether any labeller votes bad. The scorer sees nothing of the votes: it adds up weights of hashed words and word shapes (runs of small letters, of capitals, of digits;
 other characters as they are), averaged over the text. It is trained on a sample by a hash of doc_id, of about TRAIN_ROWS documents; all documents are scored, as a whole.
 
 Defined results: a text without words has score 0 and isn't kept; null is one. Rows without doc_id aren't trained on. Repeated rows count each. An empty
@@ -45,7 +45,7 @@ def labellers() -> dict[str, Column]:
         "repeats": vote(100 * F.col("n_repeat_words") > 30 * n, 100 * F.col("n_repeat_words") <= 10 * n),
         "dup_lines": vote((lines >= 3) & (10 * F.col("n_dup_lines") > 3 * lines), (lines >= 3) & (F.col("n_dup_lines") == 0)),
         "variety": vote((n >= 20) & (4 * F.col("n_distinct") < n), 2 * F.col("n_distinct") > n),
-        "length": vote(n < 5, n >= 20),
+        "length": vote(n < 1, n >= 50),
     }
 
 
@@ -70,8 +70,7 @@ class LabelModel:
 
 def estimate(names: list[str], patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
     """patterns: a row of votes each, counts: how many documents have it."""
-    good = (patterns == GOOD).sum(1) - 2.0 * (patterns == BAD).sum(1)  # a heuristic that sees something bad is rarer and says more
-    p = np.clip(1 / (1 + np.exp(-good)), 0.02, 0.98)
+    p = np.where((patterns == BAD).any(1), 0.05, 0.95)  # each looks for another fault: one that finds its own says more than those that don't find theirs
     model = LabelModel(names, np.array([0.5, 0.5]), np.full((len(names), 2, 3), 1 / 3))
     for _ in range(rounds):
         weight = np.stack([counts * (1 - p), counts * p])

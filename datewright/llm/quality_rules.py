@@ -36,7 +36,7 @@ def soft_rules() -> dict[str, Column]:
     return {
         "symbols": 10 * F.col("n_symbols") > n,
         "marks": 3 * F.col("n_marks") > n,
-        "dup_lines": (F.col("n_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
+        "dup_lines": (F.col("n_lines") >= 3) & (2 * F.col("n_dup_lines") > F.col("n_lines")),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
         "upper": 2 * F.col("n_upper") > letters,
         "repeats": 100 * F.col("n_repeat_words") > 30 * n,

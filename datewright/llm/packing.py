@@ -15,11 +15,13 @@ A null doc_id is carried along. An empty table gives an empty table. Extra colum
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ CAPACITY = 4096
 SLACK = 64
 END_ID = 2
 #: Words whose ids a worker keeps at most, at about 200 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,8 +40,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Words whose pieces can be told by their characters alone: printable ASCII but for the apostrophe, and the letters of Latin-1.
+_PLAIN = "^[!-&(-~À-ÖØ-öø-ÿ]+$"
+#: The tokenizer's own pieces of such words in lower case: runs of letters, single digits, runs of anything else. A space goes behind each.
+_PIECES = "([a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+
+
+_PLAIN_PIECE = re.compile("[!-&(-@\\[-~ß-öø-ÿ]+")
+
+
+def _is_plain(piece: str) -> bool:
+    return _PLAIN_PIECE.fullmatch(piece) is not None and "<|" not in piece
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """Byte-level models write a printable byte of Latin-1 as itself, and the n-th of the others as character 256 + n."""
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+_ALPHABET = _byte_alphabet()
+
+
 class WordIds:
-    """Ids of words that white space separates, by a tokenizer that drops white space; each word is encoded once as long as it is kept."""
+    """Ids of words that white space separates, by a tokenizer that drops white space and case and never joins letters, digits and other characters.
+
+    Words that fall into pieces plainly are encoded by their pieces, others as they are; each is encoded once as long as it is kept.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,19 +74,28 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.starts, self.lengths, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
+    def ids_of(self, distinct: list[str]) -> list[list[int]]:
+        """Plain pieces go straight to the model, as bytes in its alphabet; others through the whole tokenizer."""
+        rest = [w for w in distinct if not _is_plain(w)]
+        others = iter([e.ids for e in self.encode(rest, add_special_tokens=False)] if rest else [])
+        kept = set(rest)
+        return [next(others) if w in kept else [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_ALPHABET))] for w in distinct]
+
     def places(self, distinct: list[str]) -> np.ndarray:
-        if len(self.place) + len(distinct) > CACHE_WORDS:
-            self.clear()
         new = [w for w in distinct if w not in self.place]
+        if len(self.place) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = distinct
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            found = [e.ids for e in self.encode(some, add_special_tokens=False)]
+            found = self.ids_of(some)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             first, n = len(self.place), int(lengths.sum())
             while first + len(some) > len(self.starts):
@@ -73,11 +109,26 @@ class WordIds:
             self.place.update(zip(some, range(first, first + len(some)), strict=True))
         return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
 
+    def pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pieces of each word, one word after the other, and offsets."""
+        plain = pc.and_(pc.match_substring_regex(distinct, _PLAIN), pc.invert(pc.match_substring(distinct, "<|")))  # special tokens begin so
+        split = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(pc.utf8_lower(distinct), _PIECES, r"\1 "), " "), " ")
+        whole = pa.ListArray.from_arrays(pa.array(np.arange(len(distinct) + 1), pa.int32()), distinct)
+        chosen = pc.if_else(plain, split, whole)
+        encoded = chosen.flatten().dictionary_encode()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(chosen).to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.places(encoded.dictionary.to_pylist())[codes], np.concatenate([[0], np.cumsum(lengths)])
+
     def of(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and offsets."""
         distinct, codes, offsets = words(text)
-        place = self.places(distinct.to_pylist()) if len(distinct) else np.zeros(0, np.int64)
-        place = place[codes]
+        place = np.zeros(0, np.int64)
+        if len(distinct):
+            piece, ends = self.pieces(distinct.cast(pa.string()))
+            n = np.diff(ends)[codes]
+            place = piece[gather(ends[codes], n)]
+            offsets = np.concatenate([[0], np.cumsum(n)])[offsets]
         starts, lengths = self.starts[place], self.lengths[place]
         pool = self.ids
         totals = per_row(lengths, offsets)

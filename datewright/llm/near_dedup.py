@@ -241,7 +241,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = split_join(pairs, sizes, ["a"], "n", total).select(F.col("b").alias("id"), F.col("a").alias("g"), F.pmod(F.xxhash64("b"), salts).alias("s"))
     bases = sizes.select(F.col("a").alias("id"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("s"))
     roles = dealt.unionByName(bases).groupBy("id").agg(F.collect_list(F.struct("g", "s")).alias("groups"))
-    texts = docs.join(roles, docs["doc_id"] == roles["id"]).select("doc_id", "text", "groups")
+    # merged at every size: roles grow with the corpus
+    texts = docs.join(roles.hint("merge"), docs["doc_id"] == roles["id"]).select("doc_id", "text", "groups")
     sent = mapped(texts, _dealt, "g long, s long, id long, windows binary")
     sorted_ = sent.repartition("g", "s").sortWithinPartitions("g", "s", (F.col("id") == F.col("g")).cast("int").desc(), "id")
     return mapped(sorted_, _compared, "a long, b long, similarity double")

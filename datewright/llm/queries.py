@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from datewright.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules
+from datewright.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.chat_tree(chat_format.with_hostile(table(spark, sf_dir, "conversations"))))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op4_quality_rules": op4_quality_rules,
         "op5_mixing": op5_mixing,
         "op6_language_id": op6_language_id,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dedup": op10_near_dedup,

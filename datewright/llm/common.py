@@ -96,6 +96,13 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(hot, keys, "inner").unionByName(left.join(hot, keys, "left_anti").join(cold, keys, "left"))
 
 
+def split_inner(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """The inner join, dealt in the same way."""
+    hot = F.broadcast(right.filter(F.col(weight) * HOT_KEYS > total))
+    cold = right.filter(F.col(weight) * HOT_KEYS <= total)
+    return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(cold, keys))
+
+
 # Arrow and numpy
 
 

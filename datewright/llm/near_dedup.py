@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datewright.llm.common import ids, mapped, materialize, parts, pick, split_join, strings, with_private, words
+from datewright.llm.common import ids, mapped, materialize, parts, pick, split_inner, split_join, strings, with_private, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 40, 6
@@ -149,14 +149,30 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _neighbours(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct pairs a < b of ids that share a key: with the first, and with the one before."""
-    by = Window.partitionBy(*key)
-    seen = rows.withColumn("first", F.min("id").over(by)).withColumn("before", F.lag("id").over(by.orderBy("id")))
+def _met(rows: DataFrame, key: list[str], total: int) -> DataFrame:
+    """Of distinct rows of a key and an id, those whose key several ids have, with m (how many) and first (the smallest). Sizes are counted with a map-side combine; common keys are broadcast."""
+    sizes = materialize(rows.groupBy(*key).agg(F.count("*").alias("m"), F.min("id").alias("first")).filter("m > 1"), "sizes")
+    return split_inner(rows, sizes, key, "m", total)
+
+
+def _neighbours(met: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct pairs a < b of ids that share a key: with the first, and with the one before, in parts of large groups. met: from _met()."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / SALT_ROWS))
+    seen = met.withColumn("part", part).withColumn("before", F.lag("id").over(Window.partitionBy(*key, "part").orderBy("id")))
     pairs = seen.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("id").alias("b")), F.struct(F.col("before").alias("a"), F.col("id").alias("b")))).alias("p")).select("p.a", "p.b")
     return pairs.filter("a < b").distinct()
 
 
+def _second():
+    """Of each sketch of a text (sketches) that is to be looked at again, its combinations with the SECOND next ones of its family."""
+    def combined(sk, at):
+        family, k = F.floor(at / SKETCHES) * SKETCHES, at % SKETCHES
+        keys = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.xxhash64(sk, F.element_at("sketches", (family + (k + j) % SKETCHES + 1).cast("int"))))
+        return F.when(F.array_contains("again", sk), keys).otherwise(F.array().cast("array<bigint>"))
+
+    return F.flatten(F.transform("sketches", combined))
+
+
 # Verification
 
 
@@ -275,24 +291,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unique = keyed.filter(~empty).join(texts.select(*same, F.col("text_id").alias("doc_id")), [*same, "doc_id"], "left_semi")
     unique = materialize(unique.select(F.col("doc_id").alias("id"), "sketches", "brief").dropDuplicates(["id"]), "unique")
 
-    every = unique.select("id", F.posexplode("sketches").alias("pos", "sk")).unionByName(unique.select("id", F.lit(-1).alias("pos"), F.explode("brief").alias("sk")))
-    # one text per row and sketch: both families of a text can agree
-    shared = materialize(every.withColumn("m", F.count("*").over(Window.partitionBy("sk"))).filter("m > 1"), "shared")
-    once = shared.select("sk", "id").distinct()
-    links = materialize(verified(materialize(_neighbours(once, ["sk"]), "pairs"), plain), "links")
+    total = SKETCHES * unique.count()
+    # both families of a text can agree on a sketch; they lie in one row, so that needs no shuffle
+    once = unique.select("id", F.explode(F.array_distinct(F.concat("sketches", "brief"))).alias("sk"))
+    shared = materialize(_met(once, ["sk"], total), "shared")
+    links = materialize(verified(materialize(_neighbours(shared, ["sk"]), "pairs"), plain), "links")
     labels = components(links)
 
     # sketches that hold several classes still: again by two at once
-    classed = shared.filter(F.col("m") > SMALL).join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    torn = classed.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("sk")
-    again = materialize(classed.filter("pos >= 0").join(torn, "sk", "left_semi").select("id", "comp", "pos", "sk"), "again")
-    family, k = F.floor(F.col("pos") / SKETCHES) * SKETCHES, F.col("pos") % SKETCHES
-    second = again.join(unique.select("id", "sketches"), "id").select(
-        "id", "comp", F.explode(F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.xxhash64("sk", F.element_at("sketches", (family + (k + j) % SKETCHES + 1).cast("int"))))).alias("key")
-    )
-    second = second.distinct()
-    torn_too = second.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    pairs = _neighbours(second.join(torn_too, "key", "left_semi").select("key", "id"), ["key"])
+    classed = shared.filter(F.col("m") > SMALL).join(labels, "id", "left").select("id", "sk", "m", F.coalesce("comp", "id").alias("comp"))
+    torn = materialize(classed.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("size")).filter("low < high").select("sk", "size"), "torn")
+    again = split_inner(classed.drop("m"), torn, ["sk"], "size", total).groupBy("id", "comp").agg(F.collect_set("sk").alias("again"))
+    second = again.join(unique.select("id", "sketches"), "id").select("id", "comp", F.explode(_second()).alias("key")).distinct()
+    mixed = materialize(second.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.min("id").alias("first")).filter("low < high").drop("low", "high"), "mixed")
+    pairs = _neighbours(split_inner(second, mixed, ["key"], "m", total), ["key"])
     of = labels.select(F.col("id"), "comp")
     pairs = pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     pairs = materialize(pairs, "pairs")

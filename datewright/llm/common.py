@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch: at some kilobytes of text a row, tens of megabytes in a Python worker.
+#: Rows and bytes of an Arrow batch at most: a worker holds some copies of one.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 #: A key is hot if it holds more than one in so many of the rows; so there are at most as many hot keys, and they can be broadcast.
 HOT_KEYS = 10_000
 #: Lookup tables of at most so many rows are broadcast; beyond that the join is shuffled.
@@ -29,9 +30,11 @@ _own: dict[str, str] = {}
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bounds the rows of an Arrow batch; the plans made afterwards use it."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds Arrow batches; the plans made afterwards use it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark
 
 

@@ -31,9 +31,9 @@ from datewright.llm.common import gather, id_array, ids, mapped, materialize, pi
 
 LENGTH = 50
 PIECE = 16
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_000_000
 #: Bytes of text whose anchors a lane gets.
-LANE_BYTES = 8_000_000
+LANE_BYTES = 4_000_000
 
 _SHARD = "shard long, docs binary, ends binary, text binary"
 _U = np.uint64
@@ -88,13 +88,12 @@ class Shard:
         self.padded = np.concatenate([self.data, np.zeros(128, np.uint8)])
         counts = np.maximum(0, self.ends - self.starts - length + 1)
         self.windows = gather(self.starts, counts)  # where they start
-        self.row = np.repeat(np.arange(len(self.docs)), counts)
-        self.doc = self.docs[self.row]
+        self.doc = np.repeat(self.docs, counts)
         word = self.words(n + 8)
         h = word[:n] * _U(0x9E3779B97F4A7C15) + (word[8 : n + 8] ^ (word[8 : n + 8] >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
         h ^= h >> _U(32)
         h *= _U(0xD6E8FEB86659FD93)
-        self.hash = h
+        del word
         bits = _U(max(24, n.bit_length()))
         least = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
         span = length - PIECE + 1
@@ -111,7 +110,7 @@ class Shard:
         change[1:] = self.anchor[1:] != self.anchor[:-1]
         self.first = np.flatnonzero(change)  # windows of one anchor follow each other
         self.key = h[self.anchor[self.first]] if len(self.first) else np.zeros(0, np.uint64)
-        self.segment = np.cumsum(change) - 1
+        self.segment = np.cumsum(change, dtype=np.int32) - np.int32(1)
 
     def words(self, n: int, kind: str = "<u8") -> np.ndarray:
         """The eight bytes at each of the first n places."""

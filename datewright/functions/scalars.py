@@ -67,6 +67,33 @@ def media_kind(ext: Column) -> Column:
     return F.when(ext.isin(PICTURE), 4).when(ext.isin(VIDEO), 3).when(ext.isin(AUDIO), 2).when(ext.isin(SIDECAR), 1).otherwise(0)
 
 
+# What can be shown, by extension, and how much of it.
+HASHABLE = "jpg jpeg jpe png webp tif tiff bmp gif avif heic heif hif".split()
+IS_PICTURE = "jpg jpeg jpe png webp bmp tif tiff gif heic heif hif".split()
+MIMES = {
+    "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "jpe": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "svg": "image/svg+xml", "avif": "image/avif", "ico": "image/x-icon",
+    "mp4": "video/mp4", "m4v": "video/mp4", "f4v": "video/mp4", "mov": "video/quicktime", "qt": "video/quicktime", "3gp": "video/3gpp", "3g2": "video/3gpp2", "mj2": "video/mj2", "m4a": "audio/mp4", "m4b": "audio/mp4", "m4p": "audio/mp4",
+}
+DECODED = "tif tiff heic heif hif".split()
+TEXTS = "txt md markdown log csv tsv json jsonl xml yml yaml toml ini cfg conf rs py js ts svelte html css sh bat ps1 sql srt vtt".split()
+MAX_IMAGE_BYTES = 16 * 1024 * 1024
+
+
+def preview_class(ext: Column, size: Column) -> Column:
+    """image, decode, video, audio, pdf, text, binary; missing where there is no size."""
+    mime = F.create_map(*[F.lit(x) for kv in MIMES.items() for x in kv])[ext]
+    kind = F.split(mime, "/")[0]
+    small = size <= MAX_IMAGE_BYTES
+    return (
+        F.when(size.isNull(), "missing")
+        .when((kind == "image") | ext.isin(DECODED), F.when(small, F.when(kind == "image", "image").otherwise("decode")).otherwise("binary"))
+        .when(kind.isNotNull(), kind)
+        .when(ext == "pdf", "pdf")
+        .when(ext.isin(TEXTS), "text")
+        .otherwise("binary")
+    )
+
+
 def group_stem(path: Column) -> Column:
     """What companions share within their folder; null without an extension. Sidecars lose two extensions."""
     name = F.lower(file_name(path))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import shutil
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from datewright.functions.scalars import duplicate_variant
+from datewright.sources import exif
 
 
 def latest(journal: DataFrame) -> DataFrame:
@@ -105,3 +112,57 @@ def copy_counters(outcomes: DataFrame) -> DataFrame:
         F.count_if("turned").alias("turned"),
         F.coalesce(F.sum(F.when(F.col("status").isin("copied", "duplicate"), F.col("size"))), F.lit(0)).alias("bytes"),
     )
+
+
+def tuned_concurrency(files: int, size: int, cores: int) -> int:
+    """Copies at a time for files of a mean size, for those who move bytes without Spark: few for large ones, many for small ones."""
+    if not files:
+        return max(2, min(8, cores))
+    mean = size // files
+    return max(2, min(4, cores) if mean >= 16 << 20 else min(16, 2 * cores) if mean <= 256 << 10 else min(8, cores))
+
+
+_OUTCOME = "source string, status string, destination string, error string, written struct<size:bigint,hash:string>"
+
+
+def execute(allocated: DataFrame, stamp: bool = False, staging: str = ".staged") -> DataFrame:
+    """Copies what allocate() planned: journal rows (source, status, destination, error, written), to be written as they are.
+
+    A copy is made beside its destination under a staged name, synced, given the source's times, and renamed, so that a lost task leaves no half file and may run again: a destination of the
+    source's size and content is taken as copied. stamp: writes taken into the date tags of the copy, where it has them. Destinations must be mounted on every worker.
+    """
+    def digest(path: str) -> str:
+        with open(path, "rb") as f:
+            return hashlib.file_digest(f, "md5").hexdigest()
+
+    def move(row) -> tuple:
+        try:
+            if row.outcome == "present":
+                return row.source, "already_present", row.path, None, None
+            status = "duplicate" if row.outcome == "duplicate" else "copied"
+            folder = os.path.dirname(row.path)
+            os.makedirs(folder, exist_ok=True)
+            changed, held = None, f"{row.path}{staging}"
+            shutil.copyfile(row.source, held)
+            if stamp:
+                with open(held, "rb") as f:
+                    changed = exif.stamp(f.read(), row.taken.to_pydatetime())
+                if changed is not None:
+                    with open(held, "wb") as f:
+                        f.write(changed)
+            with open(held, "rb+") as f:
+                os.fsync(f.fileno())
+            shutil.copystat(row.source, held)
+            if os.path.exists(row.path) and digest(row.path) != digest(held):
+                os.remove(held)
+                return row.source, "failed", None, f"{row.path} is taken", None
+            os.replace(held, row.path)
+            return row.source, status, row.path, None, {"size": len(changed), "hash": digest(row.path)} if changed is not None else None
+        except OSError as e:
+            return row.source, "failed", None, str(e), None
+
+    def copied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([move(r) for r in frame.itertuples()], columns=["source", "status", "destination", "error", "written"])
+
+    return allocated.select("source", "path", "outcome", *["taken"] * stamp).mapInPandas(copied, _OUTCOME)

@@ -41,10 +41,14 @@ def _plural(label: Column, n: Column) -> Column:
     return F.when(n == 1, label).otherwise(more)
 
 
-def upright(boxes: DataFrame) -> DataFrame:
-    """boxes: file_id, turn, label, confidence, bounds. A row a file: transform, confidence, reason. As found if that scores CONFIDENT; else the best turn, the first of equal ones, if it scores MIN_SCORE; else none."""
+def upright(boxes: DataFrame, exact: int | None = None) -> DataFrame:
+    """exact: scores are rounded to such a part of 1, so that the order of addition can't tell equal turns apart.
+
+    boxes: file_id, turn, label, confidence, bounds. A row a file: transform, confidence, reason. As found if that scores CONFIDENT; else the best turn, the first of equal ones, if it scores MIN_SCORE; else none."""
     order = F.create_map(*[F.lit(x) for i, t in enumerate(TURNS) for x in (t, i)])
     scored = boxes.groupBy("file_id", "turn").agg(F.sum(box_score(F.col("label"), F.col("confidence").cast("double"), F.col("bounds"))).alias("score"))
+    if exact is not None:
+        scored = scored.withColumn("score", F.round(F.col("score") * exact) / exact)
     as_found = (F.col("turn") == "none") & (F.col("score") >= CONFIDENT)
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc(as_found), F.desc("score"), order[F.col("turn")]))).filter("n = 1")
     good = F.col("score") >= MIN_SCORE

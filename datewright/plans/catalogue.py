@@ -11,7 +11,7 @@ from datewright import config as C
 from datewright.functions import pattern as P
 from datewright.functions import scalars as S
 from datewright.functions.dateparse import parse_date
-from datewright.operators import anomaly, overlay, pairing, resolve, similar, tags, timeline, transfer, views
+from datewright.operators import anomaly, overlay, pairing, resolve, similar, tags, timeline, transfer, views, vision
 from datewright.plans import adapters as A
 from datewright.plans.adapters import PATTERN, ROOT, SQL
 
@@ -786,3 +786,45 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     c = A.companions_lineitem(spark, sf_dir)
     return c.select("ordinal", S.group_stem(F.col("source")).alias("stem"), S.media_kind(S.extension(F.col("source"))).alias("kind"))
+
+
+_PREVIEW = """case when s is null then 'missing' when ext in ('jpg', 'cr2x') then case when s <= 16777216 then 'image' else 'binary' end when ext = 'mov' then 'video' when ext = 'json' then 'text' else 'binary' end"""
+
+
+@query("preview_classes", f"select ordinal, {_PREVIEW} as class from (select l_orderkey * 10 + l_linenumber as ordinal, (['jpg', 'mov', 'xmp', 'mp3', 'dat', 'cr2', 'json'])[l_linenumber % 7 + 1] as ext, case when l_orderkey % 9 <> 0 then (max(l_extendedprice) * 400)::bigint end as s from lineitem group by l_orderkey, l_linenumber)")
+def _(spark, sf_dir):
+    line = A.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_extendedprice") * 400).alias("s"))
+    size = F.when(F.col("l_orderkey") % 9 != 0, F.round("s").cast("bigint"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in A.EXTENSIONS]), (F.col("l_linenumber") % 7 + 1).cast("int"))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), S.preview_class(ext, size).alias("class"))
+
+
+_BOXES = """b as (select l_orderkey as file_id, (['none', 'rot90', 'rot180', 'rot270'])[l_linenumber % 4 + 1] as turn, l_linenumber % 4 as o, (['person', 'dog', 'bus'])[l_partkey % 3 + 1] as label, round(l_quantity)::bigint as c, l_suppkey % 2 = 0 as tall from lineitem),
+s as (select file_id, turn, o, sum(c * c + case when tall and label = 'person' then 50 * c else 0 end) as score from b group by 1, 2, 3),
+best as (select * from (select *, row_number() over (partition by file_id order by (turn = 'none' and score >= 12000) desc, score desc, o) as n from s) where n = 1),
+t as (select file_id, turn, label, count(*) as k from b group by 1, 2, 3), p as (select *, row_number() over (partition by file_id, turn order by k desc, label) as n from t),
+r as (select file_id, turn, string_agg(k || ' ' || case when k = 1 then label when label = 'person' then 'people' when label = 'bus' then 'buses' else label || 's' end, ', ' order by n) as reason from p where n <= 3 group by 1, 2)"""
+
+
+@query("upright_guess", f"with {_BOXES} select best.file_id, case when score >= 5000 then best.turn else 'none' end as transform, case when score >= 5000 then reason else 'nothing recognisable' end as reason from best join r on r.file_id = best.file_id and r.turn = best.turn")
+def _(spark, sf_dir):
+    """Scores in whole ten-thousandths, so that both engines add them alike."""
+    line = A.table(spark, sf_dir, "lineitem")
+    tall = F.col("l_suppkey") % 2 == 0
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    boxes = line.select(
+        F.col("l_orderkey").alias("file_id"),
+        pick(vision.TURNS, F.col("l_linenumber") % 4).alias("turn"),
+        pick(("person", "dog", "bus"), F.col("l_partkey") % 3).alias("label"),
+        (F.round("l_quantity") / 100).alias("confidence"),
+        F.when(tall, F.array(*[F.lit(x) for x in (0.0, 0.0, 0.25, 0.75)])).otherwise(F.array(*[F.lit(x) for x in (0.0, 0.0, 0.75, 0.25)])).alias("bounds"),
+    )
+    return vision.upright(boxes, exact=10_000).select("file_id", "transform", "reason")
+
+
+@query("ui_filter", f"with {SQL['tags']}, e as (select s.*, doc_id, n_chars * 86400 as taken_epoch, d.lang || '/' || d.source as folder from sight s join documents d on d.doc_id = s.ordinal) select source from e where (list_has_any(tags, ['fr', 'good', 'toxic']) or len(tags) = 0) and quality >= 0.5 and taken_epoch >= 43200000 and taken_epoch < 259200000 and (folder = 'en' or starts_with(folder, 'en/')) and doc_id % 2 = 0")
+def _(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 86400).alias("taken_epoch"), F.concat("lang", F.lit("/"), "source").alias("folder"))
+    entries = A.tags_documents(spark, sf_dir).join(d, F.col("ordinal") == F.col("doc_id"))
+    marked = entries.filter("doc_id % 2 = 0").select("source")
+    return views.ui_filter(entries, tags=["fr", "good", "toxic"], untagged=True, quality=0.5, span=(43200000, 259200000), folder="en", everywhere=False, marked=marked).select("source")

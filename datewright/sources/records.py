@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from dataclasses import asdict, dataclass, field
@@ -19,6 +20,12 @@ _RECORD = f"kind string, reason string, {_HEADER}, {_ENTRY.replace('destination
 _OPTIONS = {"mode": "PERMISSIVE", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "columnNameOfCorruptRecord": "_broken"}
 
 
+def default_plan_name(sources: list[str], destination: str | None) -> str:
+    """The same name for the same sources and destination."""
+    key = "".join(f"{s}\0" for s in sources) + "->" + (destination or "")
+    return f"plan-{hashlib.blake2b(key.encode()).hexdigest()[:8]}.jsonl"
+
+
 @dataclass
 class Plan:
     header: dict

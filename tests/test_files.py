@@ -175,3 +175,25 @@ def test_stream(spark, tmp_path):
         assert q.exception() is None
     got = spark.read.parquet(str(tmp_path / "plan")).collect()
     assert sorted(r.destination for r in got) == ["/out/2019/a.jpg", "/out/2019/b.jpg"]
+
+
+def test_execute_copies(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    rows = []
+    for name, body in (("a.jpg", jpeg(tiff())), ("b.jpg", b"same"), ("c.jpg", b"same"), ("d.jpg", b"other")):
+        (src / name).write_bytes(body)
+        rows.append((str(src / name), f"{out}/x/{'a' if name == 'a.jpg' else 'b'}.jpg", len(body), name[0] if name != "c.jpg" else "b", datetime(2021, 2, 3, 4, 5, 6)))
+    plan = transfer.allocate(spark.createDataFrame(rows, "source string, destination string, size bigint, hash string, taken timestamp_ntz"))
+    journal = {r.source.rsplit("/", 1)[1]: r for r in transfer.execute(plan, stamp=True).collect()}
+    assert {k: r.status for k, r in journal.items()} == {"a.jpg": "copied", "b.jpg": "copied", "c.jpg": "already_present", "d.jpg": "duplicate"}
+    assert (out / "x" / "b.jpg").read_bytes() == b"same" and (out / "x" / "b_dup_1.jpg").read_bytes() == b"other"
+    assert exif.dates((out / "x" / "a.jpg").read_bytes())[0][1] == "2021:02:03 04:05:06" and journal["a.jpg"].written.size == len(jpeg(tiff()))
+    assert {p.name for p in (out / "x").iterdir()} == {"a.jpg", "b.jpg", "b_dup_1.jpg"}
+    again = {r.status for r in transfer.execute(plan, stamp=True).collect()}
+    assert again == {"copied", "already_present", "duplicate"}  # the same contents may be written again
+
+
+def test_small_rules(spark):
+    assert [transfer.tuned_concurrency(f, b, 8) for f, b in ((0, 0), (1, 16 << 20), (1, 1), (1, 1 << 20))] == [8, 4, 16, 8]
+    assert records.default_plan_name(["/a"], "/d") == records.default_plan_name(["/a"], "/d") != records.default_plan_name(["/a", "/d"], None)

@@ -118,7 +118,9 @@ class Shard:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes, sorted, and how often each occurs."""
-        return np.unique(self.key, return_counts=True)
+        own = np.sort(self.key)
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        return own[first], np.diff(np.append(first, len(own)))
 
 
 def _lane(keys: np.ndarray, lanes: int) -> np.ndarray:
@@ -252,8 +254,8 @@ def classes(shard: Shard, hot: np.ndarray) -> np.ndarray:
     """The smallest doc of the class of each hot window (by its number among the shard's windows)."""
     starts = shard.windows[hot]
     cover = np.zeros(shard.n + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, starts + shard.length, -1)
+    cover[starts] += 1  # each place once
+    cover[starts + shard.length] -= 1
     places = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     order = suffix_array(shard.data, places, shard.words(shard.n, ">u8")[places])
     number = np.full(shard.n, -1, np.int64)
@@ -374,8 +376,8 @@ def _removed(lanes: int, length: int):
             gone[ordered] |= _answers(row["found"], sizes)
             edge = np.zeros(shard.n + 1, np.int32)
             at = shard.windows[gone]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
+            edge[at] += 1  # each place once
+            edge[at + length] -= 1
             lost = np.cumsum(edge[:-1]) > 0
             start = lost.copy()
             start[1:] &= ~lost[:-1]

@@ -278,6 +278,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose texts are of different classes so far."""
+    both = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id (the smallest doc_id of its class), text_id (the smallest doc_id of its very words), class_size, kept (it is its class's smallest)."""
     plain = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
@@ -295,21 +301,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # both families of a text can agree on a sketch; they lie in one row, so that needs no shuffle
     once = unique.select("id", F.explode(F.array_distinct(F.concat("sketches", "brief"))).alias("sk"))
     shared = materialize(_met(once, ["sk"], total), "shared")
-    links = materialize(verified(materialize(_neighbours(shared, ["sk"]), "pairs"), plain), "links")
+    pairs = materialize(_neighbours(shared, ["sk"]), "pairs")
+    links = materialize(verified(pairs, plain), "links")
     labels = components(links)
 
-    # sketches that hold several classes still: again by two at once
-    classed = shared.filter(F.col("m") > SMALL).join(labels, "id", "left").select("id", "sk", "m", F.coalesce("comp", "id").alias("comp"))
-    torn = materialize(classed.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("size")).filter("low < high").select("sk", "size"), "torn")
-    again = split_inner(classed.drop("m"), torn, ["sk"], "size", total).groupBy("id", "comp").agg(F.collect_set("sk").alias("again"))
-    second = again.join(unique.select("id", "sketches"), "id").select("id", "comp", F.explode(_second()).alias("key")).distinct()
+    # sketches that hold several classes still, so that some text isn't of its first's class: again by two at once
+    apart = _apart(pairs, labels).select(F.col("a").alias("first"), F.col("b").alias("id"))
+    large = shared.filter(F.col("m") > SMALL)
+    torn = materialize(large.join(apart, ["first", "id"], "left_semi").groupBy("sk").agg(F.max("m").alias("size")), "torn")
+    again = split_inner(large.select("id", "sk"), torn, ["sk"], "size", total).groupBy("id").agg(F.collect_set("sk").alias("again"))
+    again = again.join(labels, "id", "left").join(unique.select("id", "sketches"), "id")
+    second = again.select("id", F.coalesce("comp", "id").alias("comp"), F.explode(_second()).alias("key")).distinct()
     mixed = materialize(second.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.min("id").alias("first")).filter("low < high").drop("low", "high"), "mixed")
-    pairs = _neighbours(split_inner(second, mixed, ["key"], "m", total), ["key"])
-    of = labels.select(F.col("id"), "comp")
-    pairs = pairs.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    if not pairs.isEmpty():
-        labels = components(links.unionByName(verified(pairs, plain)))
+    more = materialize(_apart(_neighbours(split_inner(second, mixed, ["key"], "m", total), ["key"]), labels), "pairs")
+    if not more.isEmpty():
+        labels = components(links.unionByName(verified(more, plain)))
 
     grouped = texts.join(labels.toDF("text_id", "comp"), "text_id", "left").withColumn("class_id", F.coalesce("comp", "text_id"))
     sizes = grouped.groupBy("class_id").agg(F.sum("n").alias("class_size"))

@@ -64,6 +64,7 @@ def clock_reset_runs(files: DataFrame) -> DataFrame:
 def cross_file_flags(files: DataFrame) -> DataFrame:
     """Adds cross_flags to files with source, taken, provider, filesystem, ordinal."""
     rows = files if "folder" in files.columns else files.withColumn("folder", parent(F.col("source")))
+    rows = rows.repartition("folder")  # the one shuffle: every window below is within a folder
     out = sequence_outliers(far_from_neighbours(clock_reset_runs(identical_clusters(rows))))
     flags = F.array_compact(
         F.array(

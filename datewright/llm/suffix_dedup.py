@@ -109,7 +109,9 @@ class Shard:
         change = np.ones(len(self.windows), bool)
         change[1:] = self.anchor[1:] != self.anchor[:-1]
         self.first = np.flatnonzero(change)  # windows of one anchor follow each other
-        self.key = h[self.anchor[self.first]] if len(self.first) else np.zeros(0, np.uint64)
+        # anchors have the least of hashes: mixed again, their keys spread over the lanes
+        key = (h[self.anchor[self.first]] if len(self.first) else np.zeros(0, np.uint64)) * _U(0x9E3779B97F4A7C15)
+        self.key = (key ^ (key >> _U(32))) * _U(0xC2B2AE3D27D4EB4F)
         self.segment = np.cumsum(change, dtype=np.int32) - np.int32(1)
 
     def words(self, n: int, kind: str = "<u8") -> np.ndarray:

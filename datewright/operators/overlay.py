@@ -31,6 +31,14 @@ def exclude(plan: DataFrame, excluded: DataFrame) -> DataFrame:
     return plan.join(excluded.select("source"), "source", "left_anti")
 
 
+def change_exclusions(excluded: DataFrame, sources: DataFrame, out: bool) -> tuple[DataFrame, DataFrame]:
+    """The set with sources added (out) or taken away, and one row: changed, how many that concerned."""
+    have, want = excluded.select("source").distinct(), sources.select("source").distinct()
+    if out:
+        return have.unionByName(want).distinct(), want.join(have, "source", "left_anti").agg(F.count("*").alias("changed"))
+    return have.join(want, "source", "left_anti"), want.join(have, "source", "left_semi").agg(F.count("*").alias("changed"))
+
+
 def load_plan(plan: DataFrame, overrides: DataFrame, rotations: DataFrame, excluded: DataFrame, root: str, pattern: str) -> DataFrame:
     """What copying and verifying see."""
     return apply_rotations(apply_dates(exclude(plan, excluded), overrides, root, pattern), rotations)

@@ -828,3 +828,44 @@ def _(spark, sf_dir):
     entries = A.tags_documents(spark, sf_dir).join(d, F.col("ordinal") == F.col("doc_id"))
     marked = entries.filter("doc_id % 2 = 0").select("source")
     return views.ui_filter(entries, tags=["fr", "good", "toxic"], untagged=True, quality=0.5, span=(43200000, 259200000), folder="en", everywhere=False, marked=marked).select("source")
+
+
+@query("change_exclusions", f"with {SQL['files']} select source, (select count(*) from files where ordinal % 6 <> 0 and ordinal % 4 = 0) as changed from files where ordinal % 6 = 0 or ordinal % 4 = 0")
+def _(spark, sf_dir):
+    files = A.files_orders(spark, sf_dir)
+    new, changed = overlay.change_exclusions(files.filter("ordinal % 6 = 0"), files.filter("ordinal % 4 = 0"), out=True)
+    return new.crossJoin(F.broadcast(changed))  # one row
+
+
+@query("retired_tags", f"with {SQL['tags']} select source, array_to_string(list_filter(tags || ['a good picture'], lambda t: t not in ('a good picture', 'a beautiful picture')), ',') as tags from sight")
+def _(spark, sf_dir):
+    store = A.tags_documents(spark, sf_dir).withColumn("tags", F.concat("tags", F.array(F.lit("a good picture"))))
+    return tags.drop_retired(store).select("source", F.array_join("tags", ",").alias("tags"))
+
+
+@query("loaded_plan", f"with {_DATED} select ordinal, case when ordinal % 10 = 0 then '/archive/1999/12/' || regexp_extract(source, '[^/]*$') else destination end as destination, case when ordinal % 3 = 0 then {_TURNED}[ordinal % 8 + 1] else {_TURNS}[ordinal % 8 + 1] end as rotate from dated where ordinal % 4 <> 0")
+def _(spark, sf_dir):
+    """What copying sees: exclusions, dates and rotations together."""
+    plan = _dated(spark, sf_dir).withColumn("rotate", S.for_orientation((F.col("ordinal") % 8 + 1).cast("int"))).withColumn("reencode", F.lit(False))
+    dates = plan.filter("ordinal % 10 = 0").select("source", F.lit("1999-12-31 10:00:00").cast("timestamp_ntz").alias("taken"), F.lit("manual").alias("origin"))
+    return overlay.load_plan(plan, dates, overlay.turned(plan.filter("ordinal % 3 = 0"), 1), plan.filter("ordinal % 4 = 0"), ROOT, PATTERN).select("ordinal", "destination", "rotate")
+
+
+@query("entry_view", f"with {SQL['det']}, {_SCORED}{_CHOSEN} select c.ordinal, strftime(c.taken, '%Y/%m') as folder, epoch(c.taken)::bigint as taken_epoch, case when c.ordinal % 3 = 0 then 'copied' end as outcome, c.ordinal % 3 = 0 as destination_exists from chosen c")
+def _(spark, sf_dir):
+    plan = resolved(spark, sf_dir).withColumn("destination", P.destination(F.col("source"), F.col("taken"), ROOT, PATTERN))
+    done = plan.filter("ordinal % 3 = 0")
+    out = views.entry_view(plan, ROOT, done.select("source", F.lit("copied").alias("status")), done.select("destination"))
+    return out.select("ordinal", "folder", "taken_epoch", "outcome", "destination_exists")
+
+
+@query("readings", f"with {SQL['view']} select ordinal, case when decided then 'decided' when hard then 'wrong' when confidence = 'high' then 'agree' else 'single' end as reading from view_")
+def _(spark, sf_dir):
+    return A.view_events(spark, sf_dir).select("ordinal", views.reading().alias("reading"))
+
+
+@query("calendar_parts", "select event_id as ordinal, year(ts)::int as year, month(ts)::int as month, strftime(ts, '%Y-%m-%d') as day, ((epoch(ts)::bigint % 86400) * 1000 // 3600)::bigint as milli_hours from (select event_id, date_trunc('second', ts) as ts from events)")
+def _(spark, sf_dir):
+    v = A.view_events(spark, sf_dir)
+    at = F.timestamp_seconds("taken_epoch")
+    return v.select("ordinal", F.year(at).alias("year"), F.month(at).alias("month"), F.date_format(at, "yyyy-MM-dd").alias("day"), F.floor(timeline.hour_of(F.col("taken_epoch")) * 1000 + 1e-7).alias("milli_hours"))

@@ -87,48 +87,50 @@ class Shard:
         n = self.n = len(self.data)
         self.padded = np.concatenate([self.data, np.zeros(128, np.uint8)])
         counts = np.maximum(0, self.ends - self.starts - length + 1)
-        self.windows = gather(self.starts, counts)  # where they start
+        edge = np.zeros(n + 1, np.int8)  # 1 where the last bytes of a document begin, at which no string starts
+        np.add.at(edge, self.starts + counts, 1)
+        np.add.at(edge, self.ends, -1)
+        self.fits = np.cumsum(edge[:n], dtype=np.int8) == 0
+        self.windows = np.flatnonzero(self.fits)  # where they start
         self.doc = np.repeat(self.docs, counts)
+
+    def anchors(self, lanes: int) -> None:
+        """For each window its segment, windows of one anchor that follow each other; for each segment its key, the lane in the upper half."""
+        n = self.n
         word = self.words(n + 8)
-        h = word[:n] * _U(0x9E3779B97F4A7C15) + (word[8 : n + 8] ^ (word[8 : n + 8] >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
+        h = word[:n] * _U(0x9E3779B97F4A7C15) + (word[8:] ^ (word[8:] >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
+        del word
         h ^= h >> _U(32)
         h *= _U(0xD6E8FEB86659FD93)
-        del word
         bits = _U(max(24, n.bit_length()))
         least = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
-        span = length - PIECE + 1
-        width = 1
+        span, width = self.length - PIECE + 1, 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
             width *= 2
-        if len(self.windows):
-            least = np.minimum(least[self.windows], least[self.windows + span - width])
-        else:
-            least = least[:0]
-        self.anchor = (least & ((_U(1) << bits) - _U(1))).astype(np.int64)
-        change = np.ones(len(self.windows), bool)
-        change[1:] = self.anchor[1:] != self.anchor[:-1]
-        self.first = np.flatnonzero(change)  # windows of one anchor follow each other
-        # anchors have the least of hashes: mixed again, their keys spread over the lanes
-        key = (h[self.anchor[self.first]] if len(self.first) else np.zeros(0, np.uint64)) * _U(0x9E3779B97F4A7C15)
-        self.key = (key ^ (key >> _U(32))) * _U(0xC2B2AE3D27D4EB4F)
+        least = np.minimum(least[: max(0, len(least) - span + width)], least[span - width :]) if len(least) > span - width else least[:0]
+        anchor = (least[self.fits[: len(least)]] & ((_U(1) << bits) - _U(1))).astype(np.int64)
+        change = np.ones(len(anchor), bool)
+        change[1:] = anchor[1:] != anchor[:-1]
         self.segment = np.cumsum(change, dtype=np.int32) - np.int32(1)
+        # anchors have the least of hashes: mixed again, their keys spread over the lanes
+        key = h[anchor[change]] * _U(0x9E3779B97F4A7C15)
+        key = (key ^ (key >> _U(32))) * _U(0xC2B2AE3D27D4EB4F)
+        self.lane = ((key >> _U(32)) * _U(lanes) >> _U(32)).astype(np.int64)
+        # half a key is enough within a lane: a chance equal costs work, no bytes
+        self.key = (self.lane.astype(np.uint64) << _U(32)) | (key & _U(0xFFFFFFFF))
 
     def words(self, n: int, kind: str = "<u8") -> np.ndarray:
         """The eight bytes at each of the first n places."""
         return np.ndarray((n,), kind, self.padded.data, 0, (1,)).astype(np.uint64)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor hashes, sorted, and how often each occurs."""
+        """Distinct keys, sorted, and how often each occurs."""
         own = np.sort(self.key)
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         return own[first], np.diff(np.append(first, len(own)))
 
 
-def _lane(keys: np.ndarray, lanes: int) -> np.ndarray:
-    return ((keys >> _U(32)) * _U(lanes) >> _U(32)).astype(np.int64)
-
-
 def _rows_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[dict, Shard]]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -140,10 +142,12 @@ def _rows_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[d
 def _asked(lanes: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
+            shard.anchors(lanes)
             keys, _ = shard.keys()
-            cuts = np.searchsorted(_lane(keys, lanes), np.arange(lanes + 1))
+            cuts = np.searchsorted((keys >> _U(32)).astype(np.int64), np.arange(lanes + 1))
+            half = keys.astype(np.uint32)
             full = [i for i in range(lanes) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["shard"]] * len(full), pa.int64()), pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], ["lane", "shard", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["shard"]] * len(full), pa.int64()), pa.array([half[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], ["lane", "shard", "keys"])
 
     return run
 
@@ -153,8 +157,8 @@ def _bits(lane: int, shards: list[int], answers: list[np.ndarray]) -> pa.Table:
 
 
 def _recurring(key: tuple, table: pa.Table) -> pa.Table:
-    """Which of each shard's sorted anchor hashes another shard has."""
-    lists = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    """Which of each shard's sorted keys another shard has."""
+    lists = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
     every = np.sort(np.concatenate(lists))
     twice = np.unique(every[1:][every[1:] == every[:-1]])
     answers = []
@@ -226,16 +230,19 @@ def _common(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nda
     return np.minimum(out, most)
 
 
-def common_prefixes(word: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes in sorted order (at: their places): the bytes each has in common with the one before, exact up to length; 0 for the first.
+def common_prefixes(word: np.ndarray, places: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """For suffixes (at ascending places) in sorted order: the bytes each has in common with the one before, exact up to length; 0 for the first.
 
     Kasai: in text order, a suffix whose neighbour is the one behind its predecessor's neighbour has one byte less in common; only the others are compared.
     """
-    n = len(at)
+    n = len(order)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
-    text_order = np.argsort(at[1:]) + 1
+    slot = np.empty(n, np.int64)
+    slot[order] = np.arange(n)
+    text_order = np.delete(slot, order[0])  # the first has none before it
+    at = places[order]
     p, q = at[text_order], at[text_order - 1]
     fresh = np.ones(len(p), bool)
     fresh[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
@@ -264,7 +271,7 @@ def classes(shard: Shard, hot: np.ndarray) -> np.ndarray:
     number[starts] = np.arange(len(hot))
     sorted_ = number[places[order]]
     sorted_ = sorted_[sorted_ >= 0]
-    prefix = common_prefixes(shard.words(shard.n + 64), starts[sorted_], shard.length)
+    prefix = common_prefixes(shard.words(shard.n + 64), starts, sorted_, shard.length)
     new = prefix < shard.length
     new[:1] = True
     begin = np.flatnonzero(new)
@@ -274,29 +281,25 @@ def classes(shard: Shard, hot: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_lane(shard: Shard, open_: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The open windows ordered by lane, then place, and how many each lane gets."""
-    lane = _lane(shard.key, lanes)[shard.segment[open_]]
-    return open_[np.argsort(lane, kind="stable")], np.bincount(lane, minlength=lanes)
-
-
 def _resolved(lanes: int, length: int):
     """Per shard: what it can decide by itself, and what it asks of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
+            shard.anchors(lanes)
             keys, times = shard.keys()
-            elsewhere = _answers(row["found"], np.bincount(_lane(keys, lanes), minlength=lanes))
+            elsewhere = _answers(row["found"], np.bincount((keys >> _U(32)).astype(np.int64), minlength=lanes))
             place = np.searchsorted(keys, shard.key)
             elsewhere = elsewhere[place] if len(place) else np.zeros(0, bool)
             hot = np.flatnonzero((elsewhere | (times[place] > 1))[shard.segment]) if len(place) else np.zeros(0, np.int64)
             least = classes(shard, hot) if len(hot) else np.zeros(0, np.int64)
             gone = np.zeros(len(shard.windows), bool)
             gone[hot] = least < shard.doc[hot]
-            asks = np.zeros(len(shard.windows), bool)
-            asks[hot] = (least == shard.doc[hot]) & elsewhere[shard.segment[hot]]
-            state = _pack(np.concatenate([np.packbits(gone), np.packbits(asks)]))
-            ordered, sizes = _by_lane(shard, np.flatnonzero(asks), lanes)
+            asks = hot[(least == shard.doc[hot]) & elsewhere[shard.segment[hot]]]
+            lane_of = shard.lane[shard.segment[asks]]
+            ordered, sizes = asks[np.argsort(lane_of, kind="stable")], np.bincount(lane_of, minlength=lanes)
+            # what is asked, by lane, then place: steps are mostly 1
+            state = _pack(np.frombuffer(np.packbits(gone).tobytes() + sizes.astype(np.int64).tobytes() + np.diff(ordered, prepend=0).astype(np.int32).tobytes(), np.uint8))
             out_lane: list[int | None] = [None]
             out: list[bytes] = [state]
             ends = np.cumsum(sizes)
@@ -371,11 +374,11 @@ def _removed(lanes: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
             n = len(shard.windows)
-            state = np.unpackbits(_unpack(row["state"], np.uint8)).astype(bool)
-            half = len(state) // 2
-            gone, asks = state[:half][:n].copy(), state[half:][:n]
-            ordered, sizes = _by_lane(shard, np.flatnonzero(asks), lanes)
-            gone[ordered] |= _answers(row["found"], sizes)
+            state = _unpack(row["state"], np.uint8)
+            half = -(-n // 8)
+            gone = np.unpackbits(state[:half], count=n).astype(bool)
+            sizes, steps = state[half : half + 8 * lanes].copy().view(np.int64), state[half + 8 * lanes :].copy().view(np.int32)
+            gone[np.cumsum(steps, dtype=np.int64)] |= _answers(row["found"], sizes)
             edge = np.zeros(shard.n + 1, np.int32)
             at = shard.windows[gone]
             edge[at] += 1  # each place once

@@ -363,7 +363,7 @@ def test_suffix_array_order():
     head = [text[i : i + 64] for i in order]
     assert head[: len(head)] == sorted(head) or all(a[:48] <= b[:48] for a, b in zip(head, head[1:], strict=False))
     little = np.ndarray((len(data) + 56,), "<u8", padded.data, 0, (1,)).astype(np.uint64)
-    prefix = suffix_dedup.common_prefixes(little, np.asarray(order), 24)
+    prefix = suffix_dedup.common_prefixes(little, np.arange(len(data)), np.asarray(order), 24)
     raw = data.tobytes()
     for n, (a, b) in enumerate(zip(order[:-1], order[1:], strict=True), 1):
         common = next((k for k in range(24) if a + k >= len(raw) or b + k >= len(raw) or raw[a + k] != raw[b + k]), 24)

@@ -31,9 +31,9 @@ from datewright.llm.common import gather, id_array, ids, mapped, materialize, pi
 
 LENGTH = 50
 PIECE = 16
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 2_000_000
 #: Bytes of text whose anchors a lane gets.
-LANE_BYTES = 4_000_000
+LANE_BYTES = 8_000_000
 
 _SHARD = "shard long, docs binary, ends binary, text binary"
 _U = np.uint64
@@ -344,7 +344,7 @@ def _merged(length: int):
         sizes = [len(d) for d in docs]
         doc, place = np.concatenate(docs), np.concatenate(places)
         padded = np.concatenate([*data, np.zeros(64, np.uint8)])
-        word = np.ndarray((len(padded) - 8,), "<u8", padded.data, 0, (1,)).astype(np.uint64)
+        word = np.ndarray((len(padded) - 8,), "<u8", padded.data, 0, (1,))  # a view: only what is asked for is copied
         offsets = [*range(0, length - 8, 8), length - 8]
         h = np.zeros(len(place), np.uint64)
         for o in offsets:

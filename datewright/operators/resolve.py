@@ -37,41 +37,56 @@ def flag(name: str, **payload: Column) -> Column:
     return F.struct(F.lit(name).alias("flag"), *[payload.get(k, F.lit(None)).cast(t).alias(k) for k, t in fields.items()])
 
 
-def date_flags(taken: Column, written: Column, now: datetime) -> Column:
-    """Flags of one date: a factory-reset date, the future, later than the file was written."""
+def _date_rules(taken: Column, written: Column, now: datetime) -> list[Column]:
+    """A factory-reset date, the future, later than the file was written; never null."""
     seconds = F.hour(taken) * 3600 + F.minute(taken) * 60 + F.floor(F.extract(F.lit("second"), taken))
-    return F.array_compact(
-        F.array(
-            F.when((F.month(taken) == 1) & (F.dayofmonth(taken) == 1) & (seconds <= C.EPOCH_SECONDS), flag("camera_epoch")),
-            F.when(taken > _ntz(now), flag("future_date")),
-            F.when(micros(taken) - micros(written) > C.WRITE_HOURS * HOUR_US, flag("taken_after_file_write")),
-        )
-    )
+    rules = [(F.month(taken) == 1) & (F.dayofmonth(taken) == 1) & (seconds <= C.EPOCH_SECONDS), taken > _ntz(now), micros(taken) - micros(written) > C.WRITE_HOURS * HOUR_US]
+    return [F.coalesce(r, F.lit(False)) for r in rules]
+
+
+def date_flags(taken: Column, written: Column, now: datetime) -> Column:
+    names = ("camera_epoch", "future_date", "taken_after_file_write")
+    return F.array_compact(F.array(*[F.when(r, flag(n)) for n, r in zip(names, _date_rules(taken, written, now), strict=True)]))
+
+
+#: A file has a candidate of each provider at most; expressions over so many places are compiled, where functions over arrays are interpreted.
+PLACES = len(C.PROVIDERS)
+
 
+def _times(found: Column) -> list[Column]:
+    return [micros(F.get(found, F.lit(i))["taken"]) for i in range(PLACES)]
 
-def spread_days(found: Column) -> Column:
-    us = F.transform(found, lambda c: micros(c["taken"]))
-    return F.floor((F.array_max(us) - F.array_min(us)) / DAY_US).cast("bigint")
 
+def spread_days(found: Column, us: list[Column] | None = None) -> Column:
+    us = us or _times(found)
+    return F.floor((F.greatest(*us) - F.least(*us)) / DAY_US).cast("bigint")
 
-def timezone_hours(taken: Column, found: Column) -> Column:
+
+def timezone_hours(taken: Column, found: Column, us: list[Column] | None = None) -> Column:
     """Whole hours, 1 to 14, between the date and the first candidate that is exactly so far away; the file system's isn't looked at."""
-    gap = lambda c: F.abs(micros(c["taken"]) - micros(taken))
-    fits = F.filter(found, lambda c: (c["provider"] != "filesystem") & (gap(c) % HOUR_US == 0) & (gap(c) >= HOUR_US) & (gap(c) <= C.MAX_ZONE_HOURS * HOUR_US))
-    return F.floor(gap(F.get(fits, F.lit(0))) / HOUR_US).cast("bigint")
+    out = []
+    own = micros(taken)
+    for i, other in enumerate(us or _times(found)):
+        gap = F.abs(other - own)
+        fits = (F.get(found, F.lit(i))["provider"] != "filesystem") & (gap % HOUR_US == 0) & (gap >= HOUR_US) & (gap <= C.MAX_ZONE_HOURS * HOUR_US)
+        out.append(F.when(fits, F.floor(gap / HOUR_US)))
+    return F.coalesce(*out).cast("bigint")
 
 
-def entry_flags(taken: Column, found: Column, written: Column, now: datetime) -> Column:
-    days, hours = spread_days(found), timezone_hours(taken, found)
+def entry_flags(taken: Column, found: Column, written: Column, now: datetime, us: list[Column] | None = None) -> Column:
+    days, hours = spread_days(found, us), timezone_hours(taken, found, us)
     rest = F.array_compact(F.array(F.when(days > C.SPREAD_DAYS, flag("provider_spread", days=days)), F.when(hours.isNotNull(), flag("timezone_shift", hours=hours))))
     return F.concat(date_flags(taken, written, now), rest).cast(f"array<{FLAG}>")
 
 
-def corroborated(found: Column) -> Column:
-    """Two candidates less than a day apart: then two neighbours in time are."""
-    us = F.array_sort(F.transform(found, lambda c: micros(c["taken"])))
-    gaps = F.zip_with(F.slice(us, F.lit(2), F.greatest(F.size(us) - 1, F.lit(0))), F.slice(us, F.lit(1), F.greatest(F.size(us) - 1, F.lit(0))), lambda b, a: b - a)
-    return F.exists(gaps, lambda g: g < C.CONSENSUS_HOURS * HOUR_US)
+def _near(a: Column, b: Column) -> Column:
+    return F.coalesce(F.abs(a - b) < C.CONSENSUS_HOURS * HOUR_US, F.lit(False))
+
+
+def corroborated(found: Column, us: list[Column] | None = None) -> Column:
+    """Two candidates less than a day apart."""
+    us = us or _times(found)
+    return reduce(lambda a, b: a | b, [_near(us[i], us[j]) for i in range(PLACES) for j in range(i)])
 
 
 def severity(name: Column) -> Column:
@@ -82,9 +97,9 @@ def any_hard(flags: Column) -> Column:
     return F.exists(flags, lambda f: severity(f["flag"]) == "hard")
 
 
-def confidence(flags: Column, found: Column) -> Column:
+def confidence(flags: Column, found: Column, us: list[Column] | None = None) -> Column:
     noted = F.forall(flags, lambda f: severity(f["flag"]) == "note")
-    return F.when(any_hard(flags), "low").when(noted & corroborated(found), "high").otherwise("medium")
+    return F.when(any_hard(flags), "low").when(noted & corroborated(found, us), "high").otherwise("medium")
 
 
 def describe(f: Column) -> Column:
@@ -107,6 +122,13 @@ def _literal_map(values: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def _case(name: Column, values: dict[str, int]) -> Column:
+    out = F.lit(None).cast("int")
+    for k, v in values.items():
+        out = F.when(name == k, F.lit(v)).otherwise(out)
+    return out
+
+
 def score(c: Column, found: Column, written: Column, now: datetime, options: C.DetectOptions) -> Column:
     agreeing = F.size(F.filter(found, lambda o: (o["provider"] != c["provider"]) & (F.abs(micros(o["taken"]) - micros(c["taken"])) < C.CONSENSUS_HOURS * HOUR_US)))
     weight = _literal_map({p: options.weight(p) for p in C.PROVIDERS})[c["provider"]]
@@ -117,25 +139,36 @@ def _of_provider(found: Column, provider: str) -> Column:
     return F.get(F.filter(found, lambda c: c["provider"] == provider), F.lit(0))
 
 
-def choose(found: Column, written: Column, now: datetime, options: C.DetectOptions) -> Column:
+def choose(found: Column, written: Column, now: datetime, options: C.DetectOptions, us: list[Column] | None = None) -> Column:
     """The chosen detection; null without candidates. Ties: the earlier date, then the weightier provider, then the later in provider order."""
-    rank = _literal_map({p: i for i, p in enumerate(C.PROVIDERS)})
+    place = [F.get(found, F.lit(i)) for i in range(PLACES)]
+    us = us or _times(found)
     if options.strategy == "priority":
         return F.coalesce(*[_of_provider(found, p) for p in options.providers])
+    rank = [_case(c["provider"], {p: i for i, p in enumerate(C.PROVIDERS)}) for c in place]
     if options.strategy == "oldest":
-        keyed = F.transform(found, lambda c: F.struct(micros(c["taken"]).alias("us"), rank[c["provider"]].alias("rank"), c.alias("c")))
-        return F.array_min(keyed)["c"]
-    weights = _literal_map({p: options.weight(p) for p in C.PROVIDERS})
-    keyed = F.transform(found, lambda c: F.struct(score(c, found, written, now, options).alias("score"), (-micros(c["taken"])).alias("early"), weights[c["provider"]].alias("weight"), rank[c["provider"]].alias("rank"), c.alias("c")))
-    return F.array_max(keyed)["c"]
+        best = F.least(*[F.when(c.isNotNull(), F.struct(u.alias("us"), r.alias("rank"), F.lit(i).alias("i"))) for i, (c, u, r) in enumerate(zip(place, us, rank, strict=True))])
+        return F.get(found, best["i"])
+    keyed = []
+    for i, c in enumerate(place):
+        weight = _case(c["provider"], {p: options.weight(p) for p in C.PROVIDERS})
+        flags = sum((f.cast("int") for f in _date_rules(c["taken"], written, now)), F.lit(0))
+        agreeing = sum((_near(us[j], us[i]).cast("int") for j in range(PLACES) if j != i), F.lit(0))
+        points = weight - C.FLAG_PENALTY * flags + C.CONSENSUS_BONUS * agreeing
+        keyed.append(F.when(c.isNotNull(), F.struct(points.alias("score"), (-us[i]).alias("early"), weight.alias("weight"), rank[i].alias("rank"), F.lit(i).alias("i"))))
+    return F.get(found, F.greatest(*keyed)["i"])
 
 
 def resolve(files: DataFrame, now: datetime = C.NOW, options: C.DetectOptions | None = None) -> DataFrame:
     """Adds taken, provider, provider_info, flags and confidence to files with candidates and filesystem (time of the last write); files without candidates fall out."""
     options = options or C.DetectOptions()
-    chosen = files.withColumn("chosen", choose(F.col("candidates"), F.col("filesystem"), now, options)).filter(F.col("chosen").isNotNull())
-    out = chosen.withColumns({"taken": F.col("chosen.taken"), "provider": F.col("chosen.provider"), "provider_info": F.col("chosen.info")}).drop("chosen")
-    out = out.withColumn("flags", entry_flags(F.col("taken"), F.col("candidates"), F.col("filesystem"), now))
-    return out.withColumn("confidence", confidence(F.col("flags"), F.col("candidates")))
-
-
+    names = [f"__us{i}" for i in range(PLACES)]
+    us = [F.col(n) for n in names]
+    # each time is converted once a row, and each step is a method small enough for the JVM's compiler
+    rows = files.filter(F.size("candidates") > 0).withColumns(dict(zip(names, _times(F.col("candidates")), strict=True)))
+    out = rows.withColumn("chosen", choose(F.col("candidates"), F.col("filesystem"), now, options, us))
+    if options.strategy == "priority":
+        out = out.filter(F.col("chosen").isNotNull())
+    out = out.withColumns({"taken": F.col("chosen.taken"), "provider": F.col("chosen.provider"), "provider_info": F.col("chosen.info")}).drop("chosen")
+    out = out.withColumn("flags", entry_flags(F.col("taken"), F.col("candidates"), F.col("filesystem"), now, us))
+    return out.withColumn("confidence", confidence(F.col("flags"), F.col("candidates"), us)).drop(*names)

@@ -62,11 +62,10 @@ def instances(entries: DataFrame, tone: Column | None = None) -> DataFrame:
     own = epoch(F.col("taken"))
     base = entries.select("ordinal", "provider", own.alias("own"), F.filter("candidates", lambda c: c["provider"].isin(*LANES)).alias("c"), (tone if tone is not None else F.lit(1)).alias("tone"))
     at = F.array_min(F.transform("c", lambda c, i: F.when(epoch(c["taken"]) == F.col("own"), i)))
-    base = base.withColumn("at", at)
-    rows = base.select("ordinal", "tone", "own", "at", "provider", F.posexplode_outer("c").alias("pos", "k")).filter("k is not null")
-    found = rows.select("ordinal", F.col("pos").cast("bigint").alias("pos"), lane_of[F.col("k.provider")].alias("lane"), epoch(F.col("k.taken")).alias("epoch"), F.coalesce(F.col("pos") == F.col("at"), F.lit(False)).alias("chosen"), "tone")
-    rest = base.filter("at is null").select("ordinal", F.size("c").cast("bigint").alias("pos"), F.coalesce(lane_of[F.col("provider")], F.lit(0)).alias("lane"), F.col("own").alias("epoch"), F.lit(True).alias("chosen"), "tone")
-    return found.unionByName(rest)
+    seen = F.transform("c", lambda c, i: F.struct(i.cast("bigint").alias("pos"), lane_of[c["provider"]].alias("lane"), epoch(c["taken"]).alias("epoch"), F.coalesce(i == F.col("at"), F.lit(False)).alias("chosen")))
+    own_row = F.struct(F.size("c").cast("bigint").alias("pos"), F.coalesce(lane_of[F.col("provider")], F.lit(0)).alias("lane"), F.col("own").alias("epoch"), F.lit(True).alias("chosen"))
+    every = F.concat(seen, F.when(F.col("at").isNull(), F.array(own_row)).otherwise(F.slice(F.array(own_row), 1, 0)))
+    return base.withColumn("at", at).select("ordinal", "tone", F.explode(every).alias("k")).select("ordinal", "k.*", "tone")
 
 
 def disagreement_pairs(found: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ A null doc_id is carried along. An empty table gives an empty table. Extra colum
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -202,5 +203,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     before = materialize(counts.select("k", "part", (F.sum("n").over(Window.partitionBy("k").orderBy("part")) - F.col("n")).alias("before")), "before")
     placed = lookup(pieces, before, ["k", "part"], "inner", before.count()).withColumn("number", F.col("number") + F.col("before"))
     placed = placed.withColumn("sequence_id", F.col("k") * F.lit(1 << 40) + F.floor(F.col("number") / F.col("k")))
+    # the short classes hold pieces of one length each, so that a piece's place tells its offset; a sequence of the others has few pieces
+    short = F.col("k") > math.isqrt(capacity) + 1
     ahead = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).cast("long").alias("offset"), "k", *["ids"] * with_ids)
+    even = placed.filter(short).withColumn("offset", F.col("number") % F.col("k") * F.col("length"))
+    uneven = placed.filter(~short).withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
+    return even.unionByName(uneven).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), "k", *["ids"] * with_ids)

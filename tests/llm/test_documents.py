@@ -241,6 +241,16 @@ def test_packing_cuts_leave_little_unused():
     assert len(doc) < 6 * len(lengths) + (lengths // 4096).sum()
 
 
+def test_short_classes_hold_one_length():
+    import math
+
+    for capacity in (4096, 1000, 4095, 17):
+        by_class = defaultdict(set)
+        for n in range(1, capacity + 1):
+            by_class[capacity // n].add(n)
+        assert all(len(v) == 1 for k, v in by_class.items() if k > math.isqrt(capacity) + 1)
+
+
 def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 

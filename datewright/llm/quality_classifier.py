@@ -4,7 +4,7 @@ far each can be trusted, and the posterior labels train a hashed linear scorer.
 A labeller votes good, bad or abstains. All that the estimation needs is how often each combination of votes occurs, over all documents: at most
 3 ** len(labellers) counts, which go to the driver. The model is one of two latent classes in which labellers vote independently, begun from
 whether any labeller votes bad. The scorer sees nothing of the votes: it adds up weights of hashed words and word shapes (runs of small letters, of capitals, of digits;
-other characters as they are), averaged over the text. It is trained on a sample by a hash of doc_id, of about TRAIN_ROWS documents; all documents are scored, as a whole.
+other characters as they are) and of words said over again, averaged over the text. It is trained on a sample by a hash of doc_id, of about TRAIN_ROWS documents; all documents are scored, as a whole.
 
 Defined results: a text without words has score 0 and isn't kept; null is one. Rows without doc_id aren't trained on. Repeated rows count each. An empty
 table gives an empty table. Extra columns are ignored.
@@ -27,6 +27,9 @@ from datewright.llm.quality_stats import document_counts
 
 ABSTAINS, GOOD, BAD = 0, 1, 2
 WORD_BUCKETS, SHAPE_BUCKETS = 1 << 16, 1 << 12
+#: The share of words that are the word before over again is a feature of its own.
+AGAIN = WORD_BUCKETS + SHAPE_BUCKETS
+SIZE = AGAIN + 1
 TRAIN_ROWS = 6000
 KEEP = 0.5
 
@@ -101,6 +104,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, values = [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             found, n = np.unique(both[:, codes[a:b]], return_counts=True)
+            found, n = np.append(found, AGAIN), np.append(n, (codes[a + 1 : b] == codes[a : b - 1]).sum() if b - a > 1 else 0)
             places.append(found.astype(np.int32))
             values.append((n / max(1, b - a)).astype(np.float32))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("target"), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["doc_id", "target", "places", "means"])
@@ -108,7 +112,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(places: np.ndarray, values: np.ndarray, offsets: np.ndarray, target: np.ndarray, epochs: int = 30, rate: float = 2.0, decay: float = 1e-6) -> np.ndarray:
     """Weights of a logistic regression on sparse rows, by AdaGrad in batches of 64; the last is the constant."""
-    size = WORD_BUCKETS + SHAPE_BUCKETS
+    size = SIZE
     weights, seen = np.zeros(size + 1), np.full(size + 1, 1e-8)
     rng = np.random.default_rng(0)
     n = len(target)
@@ -136,8 +140,11 @@ def score(text: pa.Array, weights: np.ndarray) -> np.ndarray:
     if not len(distinct):
         return np.zeros(len(text))
     word, shape = _buckets(distinct)
-    total = np.concatenate([[0.0], np.cumsum((weights[word] + weights[shape])[codes])])
+    again = np.zeros(len(codes), bool)
+    again[1:] = codes[1:] == codes[:-1]
     n = np.diff(offsets)
+    again[offsets[:-1][n > 0]] = False
+    total = np.concatenate([[0.0], np.cumsum((weights[word] + weights[shape])[codes] + weights[AGAIN] * again)])
     logit = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1) + weights[-1]
     return np.where(n > 0, 1 / (1 + np.exp(-np.clip(logit, -700, 700))), 0.0)
 
@@ -167,7 +174,7 @@ def train(docs: DataFrame, voted: DataFrame, model: LabelModel, rows: int, most:
     sample = some.join(labels, F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "target")
     found = mapped(sample, _features, "doc_id long, target double, places array<int>, means array<float>").toArrow().sort_by("doc_id").combine_chunks()
     if not found.num_rows:
-        return np.zeros(WORD_BUCKETS + SHAPE_BUCKETS + 1)
+        return np.zeros(SIZE + 1)
     places, values = (pa.concat_arrays(found[c].chunks) if found[c].num_chunks else found[c] for c in ("places", "means"))
     return fit(places.flatten().to_numpy(), values.flatten().to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(pc.list_value_length(places).to_numpy())]).astype(np.int64), found["target"].to_numpy())
 

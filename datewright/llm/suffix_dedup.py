@@ -182,10 +182,10 @@ def suffix_array(data: np.ndarray, places: np.ndarray, words: np.ndarray) -> np.
     Larsson-Sadakane: a suffix's rank is where its group begins; groups of more than one are refined by the rank of the suffix 8, 16, 32 bytes on. What lies beyond the places counts as least.
     """
     n = len(places)
-    index = np.full(len(data) + 64, -1, np.int64)
-    index[places] = np.arange(n)
+    index = np.full(len(data) + 64, -1, np.int32)
+    index[places] = np.arange(n, dtype=np.int32)
     order = np.argsort(words)
-    rank = np.zeros(n + 1, np.int64)  # the last stands for places beyond
+    rank = np.zeros(n + 1, np.uint32)  # the last stands for places beyond
 
     def regroup(slots: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Ranks of the suffixes in these slots of order, whose groups begin where new is true; those of groups that aren't sorted."""
@@ -200,7 +200,7 @@ def suffix_array(data: np.ndarray, places: np.ndarray, words: np.ndarray) -> np.
         if not len(open_):
             break
         suffix = order[open_]
-        key = (rank[suffix].astype(np.uint64) << _U(32)) | rank[index[places[suffix] + h]].astype(np.uint64)
+        key = (rank[suffix].astype(np.uint64) << _U(32)) | rank[index[places[suffix] + h]]
         by = np.argsort(key)
         order[open_] = suffix[by]
         key = key[by]
@@ -300,7 +300,7 @@ def _resolved(lanes: int, length: int):
             ordered, sizes = asks[np.argsort(lane_of, kind="stable")], np.bincount(lane_of, minlength=lanes)
             # what is asked, by lane, then place: steps are mostly 1
             state = _pack(np.frombuffer(np.packbits(gone).tobytes() + sizes.astype(np.int64).tobytes() + np.diff(ordered, prepend=0).astype(np.int32).tobytes(), np.uint8))
-            out_lane: list[int | None] = [None]
+            out_lane: list[int] = [-1 - row["shard"]]  # the shard's own state goes the same way, as a group of its own
             out: list[bytes] = [state]
             ends = np.cumsum(sizes)
             for lane in np.flatnonzero(sizes).tolist():
@@ -329,7 +329,9 @@ def _merged(length: int):
     """A lane's strings from all shards: which of them a smaller document has."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        hashes, docs, places, data, base = [], [], [], [], 0
+        if key[0].as_py() < 0:
+            return pa.table({"lane": pa.array([None] * table.num_rows, pa.int64()), "shard": table["shard"], "bits": table["blob"]})
+        docs, places, data, base = [], [], [], 0
         for blob in table["blob"].to_pylist():
             x = _unpack(blob, np.uint8)
             runs = int(x[:8].view(np.int64)[0])
@@ -351,14 +353,17 @@ def _merged(length: int):
             h = (h ^ word[place + o]) * _U(0x9E3779B97F4A7C15)
             h ^= h >> _U(29)
         order = np.argsort(h)
-        same = h[order][1:] == h[order][:-1]
-        for o in offsets:  # equal hashes are believed only of equal bytes
-            same &= word[place[order[1:]] + o] == word[place[order[:-1]] + o]
-        if not (same == (h[order][1:] == h[order][:-1])).all():
+        h = h[order]
+        same = h[1:] == h[:-1]
+        del h
+        at = place[order]
+        equal = np.flatnonzero(same)  # equal hashes are believed only of equal bytes
+        if not all((word[at[equal + 1] + o] == word[at[equal] + o]).all() for o in offsets):
             order = np.lexsort([word[place + o] for o in reversed(offsets)])
+            at = place[order]
             same = np.ones(len(order) - 1, bool)
             for o in offsets:
-                same &= word[place[order[1:]] + o] == word[place[order[:-1]] + o]
+                same &= word[at[1:] + o] == word[at[:-1] + o]
         begin = np.flatnonzero(np.concatenate([[True], ~same]))
         least = np.minimum.reduceat(doc[order], begin)
         lost = np.empty(len(order), bool)
@@ -423,10 +428,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     lanes = max(12, -(-3 * total // LANE_BYTES))  # text shrinks to about a third
     asked = mapped(shards, _asked(lanes, length), "lane long, shard long, keys binary")
     bits = materialize(_back(asked.groupBy("lane").applyInArrow(_recurring, _FOUND)), "anchors")
-    resolved = materialize(mapped(shards.join(bits.hint("merge"), "shard", "left"), _resolved(lanes, length), "lane long, shard long, blob binary"), "resolved")
-    answers = resolved.filter("lane is not null").groupBy("lane").applyInArrow(_merged(length), _FOUND)
-    states = resolved.filter("lane is null").select("shard", F.col("blob").alias("state"))
-    last = shards.join(states.hint("merge"), "shard").join(_back(answers).hint("merge"), "shard", "left")
+    resolved = mapped(shards.join(bits.hint("merge"), "shard", "left"), _resolved(lanes, length), "lane long, shard long, blob binary")
+    answers = materialize(resolved.groupBy("lane").applyInArrow(_merged(length), _FOUND), "answers")
+    states = answers.filter("lane is null").select("shard", F.col("bits").alias("state"))
+    last = shards.join(states.hint("merge"), "shard").join(_back(answers.filter("lane is not null")).hint("merge"), "shard", "left")
     return mapped(last, _removed(lanes, length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 

@@ -97,7 +97,7 @@ class Shard:
     def anchors(self, lanes: int) -> None:
         """For each window its segment, windows of one anchor that follow each other; for each segment its key, the lane in the upper half."""
         n = self.n
-        word = self.words(n + 8)
+        word = self.words(n + 8).astype(np.uint64)
         h = word[:n] * _U(0x9E3779B97F4A7C15) + (word[8:] ^ (word[8:] >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
         del word
         h ^= h >> _U(32)
@@ -121,8 +121,8 @@ class Shard:
         self.key = (self.lane.astype(np.uint64) << _U(32)) | (key & _U(0xFFFFFFFF))
 
     def words(self, n: int, kind: str = "<u8") -> np.ndarray:
-        """The eight bytes at each of the first n places."""
-        return np.ndarray((n,), kind, self.padded.data, 0, (1,)).astype(np.uint64)
+        """The eight bytes at each of the first n places, as a view."""
+        return np.ndarray((n,), kind, self.padded.data, 0, (1,))
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, sorted, and how often each occurs."""
@@ -265,12 +265,12 @@ def classes(shard: Shard, hot: np.ndarray) -> np.ndarray:
     cover = np.zeros(shard.n + 1, np.int32)
     cover[starts] += 1  # each place once
     cover[starts + shard.length] -= 1
-    places = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-    order = suffix_array(shard.data, places, shard.words(shard.n, ">u8")[places])
-    number = np.full(shard.n, -1, np.int64)
-    number[starts] = np.arange(len(hot))
-    sorted_ = number[places[order]]
-    sorted_ = sorted_[sorted_ >= 0]
+    places = np.flatnonzero(np.cumsum(cover[:-1], dtype=np.int32) > 0)
+    order = suffix_array(shard.data, places, shard.words(shard.n, ">u8")[places].astype(np.uint64))
+    number = np.full(shard.n, -1, np.int32)
+    number[starts] = np.arange(len(hot), dtype=np.int32)
+    sorted_ = number[places][order]
+    sorted_ = sorted_[sorted_ >= 0].astype(np.int64)
     prefix = common_prefixes(shard.words(shard.n + 64), starts, sorted_, shard.length)
     new = prefix < shard.length
     new[:1] = True

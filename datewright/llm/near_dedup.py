@@ -5,8 +5,9 @@ least hash and retains their order: two texts share that sketch only if they pic
 send the sketches of their different windows; short texts also send finer ones. Texts of the same words are one from the start.
 
 Of the texts that share a sketch, each is compared with the first and with the one before it, so a group of n copies makes 2 n pairs at most. Where a
-sketch is left holding more than one class, its texts meet again by two sketches at once, in much smaller groups. A pair of Jaccard similarity 0.8 shares
-a given sketch with probability 0.8 ** 6 = 0.26; it shares none of 40 with probability 5e-6, and only one of them with 7e-5.
+sketch is left holding more than one class, all pairs of its texts are decided: a prefix-filter join over their windows, the rarest first, proposes every
+pair of different classes that can be similar. So no pair that shares a sketch is lost. A pair of Jaccard similarity 0.8 shares a given sketch with
+probability 0.8 ** 6 = 0.26; it shares none of 40 with probability 5e-6.
 
 A candidate pair is verified on whole texts: the windows that a banded alignment lines up prove the similarity, and where they don't, the
 sets of windows are compared. Linked pairs have a Jaccard similarity of SIMILARITY or more over different windows. Classes are the connected components of links.
@@ -36,8 +37,6 @@ SKETCHES, MINIMA = 40, 6
 SHORT, SHORT_SKETCHES, SHORT_MINIMA = 40, 16, 2
 #: Texts that share a sketch, up to which the first and the one before are all that there is to compare with.
 SMALL = 3
-#: Second sketches that a first one is combined with, in groups that hold several classes.
-SECOND = 6
 #: Pairs of one text that a task verifies together.
 SALT_ROWS = 500
 
@@ -163,14 +162,71 @@ def _neighbours(met: DataFrame, key: list[str]) -> DataFrame:
     return pairs.filter("a < b").distinct()
 
 
-def _second():
-    """Of each sketch of a text (sketches) that is to be looked at again, its combinations with the SECOND next ones of its family."""
-    def combined(sk, at):
-        family, k = F.floor(at / SKETCHES) * SKETCHES, at % SKETCHES
-        keys = F.transform(F.sequence(F.lit(1), F.lit(SECOND)), lambda j: F.xxhash64(sk, F.element_at("sketches", (family + (k + j) % SKETCHES + 1).cast("int"))))
-        return F.when(F.array_contains("again", sk), keys).otherwise(F.array().cast("array<bigint>"))
+# All pairs of the texts whose sketches hold several classes
 
-    return F.flatten(F.transform("sketches", combined))
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's different windows, and how many they are."""
+    for batch in batches:
+        values, offsets = shingles(batch.column("text"))
+        rows = np.repeat(np.arange(len(batch)), np.diff(offsets))
+        first = occurrences(values, rows) == 0
+        rows, values = rows[first], values[first].view(np.int64)
+        own, sizes = ids(batch.column("doc_id")), np.bincount(rows, minlength=len(batch)).astype(np.int64)
+        for at in range(0, len(rows), 100_000):
+            some = rows[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(sizes[some]), pa.array(values[at : at + 100_000])], ["id", "size", "w"])
+
+
+def _least(share: float):
+    """The least whole number of windows that is this share of size, of a text or of two together."""
+    return lambda size: F.ceil(size * F.lit(share) - F.lit(1e-9))
+
+
+def possible_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Distinct pairs a, b of members (id, comp) of different classes, all that are similar among them; of a and b, a is in more pairs.
+
+    The first window that two similar texts share, in one order of all windows, lies so near the beginning of both that enough can follow: within
+    1 - SIMILARITY of the longer text, and within a smaller part of the shorter one. So only the beginnings meet, and of those only a shorter with a longer text's.
+    """
+    texts = docs.join(members.select("id"), docs["doc_id"] == members["id"]).select("doc_id", "text")
+    windows = materialize(mapped(texts, _windows, "id long, size long, w long"), "windows")
+    total = windows.count()
+    common = materialize(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "common")
+    own = split_inner(windows, common, ["w"], "n", total).groupBy("id", "size").agg(F.sort_array(F.collect_set(F.struct("n", "w"))).alias("rare"))
+    # windows of one text only are the rarest and come first, but meet nothing
+    size, alone = F.col("size"), F.col("size") - F.size("rare")
+    ends = F.greatest(size - _least(SIMILARITY)(size) + 1 - alone, F.lit(0)).cast("int")
+    begun = own.join(members, "id").select("id", "comp", "size", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), ends)).alias("at", "c"))
+    left = F.col("size") - F.col("alone") - F.col("at")
+    half = SIMILARITY / (1 + SIMILARITY)
+    begun = materialize(begun.select(F.col("c.w").alias("w"), "id", "comp", "size", left.alias("left"), (left >= _least(2 * half)(size)).alias("short")), "begun")
+    # the largest class of a window's texts needn't meet itself
+    by_class = begun.groupBy("w", "comp").agg(F.count("*").alias("n"), F.count_if("short").alias("s"))
+    groups = by_class.groupBy("w").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("classes"), F.max(F.struct("n", "s", "comp")).alias("main"))
+    groups = materialize(groups.filter("classes > 1 and s > 0").drop("classes"), "groups")
+    met = split_inner(begun, groups, ["w"], "n", begun.count()).withColumn("own", F.col("comp") == F.col("main.comp"))
+    # kind 0: short texts of other classes with all; kind 1: those of the largest with others. Both sides are dealt in parts, and each part meets each
+    sides = F.array(
+        F.struct(F.lit(0).alias("kind"), (F.col("s") - F.col("main.s")).alias("ns"), F.col("n").alias("nl"), (F.col("short") & ~F.col("own")).alias("is_s"), F.lit(True).alias("is_l")),
+        F.struct(F.lit(1).alias("kind"), F.col("main.s").alias("ns"), (F.col("n") - F.col("main.n")).alias("nl"), (F.col("short") & F.col("own")).alias("is_s"), (~F.col("own")).alias("is_l")),
+    )
+    met = met.select("w", "id", "comp", "size", "left", F.explode(sides).alias("side")).select("w", "id", "comp", "size", "left", "side.*").filter("ns > 0 and nl > 0")
+    met = materialize(met.withColumn("ps", F.ceil(F.col("ns") / SALT_ROWS)).withColumn("pl", F.ceil(F.col("nl") / SALT_ROWS)), "met")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    key = ["w", "kind", "is", "il"]
+    shorts = met.filter("is_s").select("w", "kind", dealt("ps").alias("is"), every("pl").alias("il"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("sa"), F.col("left").alias("la"))
+    longs = met.filter("is_l").select("w", "kind", every("ps").alias("is"), dealt("pl").alias("il"), F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("size").alias("sb"), F.col("left").alias("lb"))
+    fits = (F.col("ca") != F.col("cb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))))
+    fits &= (F.col("sa") >= _least(SIMILARITY)(F.col("sb"))) & (F.least("la", "lb") >= _least(half)(F.col("sa") + F.col("sb")))
+    pairs = materialize(shorts.hint("merge").join(longs, key).filter(fits).select("a", "b").distinct(), "pairs")
+    # the text with more partners is the one that is dealt in parts
+    often = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "often")
+    found = pairs.count()
+    both = split_inner(split_inner(pairs, often.toDF("a", "na"), ["a"], "na", found), often.toDF("b", "nb"), ["b"], "nb", found)
+    more = F.col("nb") > F.col("na")
+    return both.select(F.when(more, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(more, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 # Verification
@@ -249,7 +305,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs a < b whose texts are similar. docs: doc_id, text, at most one row a doc_id matters."""
+    """Those of the distinct pairs a, b whose texts are similar. docs: doc_id, text, at most one row a doc_id matters."""
     sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salts = F.ceil(F.col("n") / SALT_ROWS)
     # a text with many partners goes to several tasks, each with a part of them
@@ -278,12 +334,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose texts are of different classes so far."""
-    both = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
-    return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id (the smallest doc_id of its class), text_id (the smallest doc_id of its very words), class_size, kept (it is its class's smallest)."""
     plain = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
@@ -305,17 +355,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(verified(pairs, plain), "links")
     labels = components(links)
 
-    # sketches that hold several classes still, so that some text isn't of its first's class: again by two at once
-    apart = _apart(pairs, labels).select(F.col("a").alias("first"), F.col("b").alias("id"))
-    large = shared.filter(F.col("m") > SMALL)
-    torn = materialize(large.join(apart, ["first", "id"], "left_semi").groupBy("sk").agg(F.max("m").alias("size")), "torn")
-    again = split_inner(large.select("id", "sk"), torn, ["sk"], "size", total).groupBy("id").agg(F.collect_set("sk").alias("again"))
-    again = again.join(labels, "id", "left").join(unique.select("id", "sketches"), "id")
-    second = again.select("id", F.coalesce("comp", "id").alias("comp"), F.explode(_second()).alias("key")).distinct()
-    mixed = materialize(second.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m"), F.min("id").alias("first")).filter("low < high").drop("low", "high"), "mixed")
-    more = materialize(_apart(_neighbours(split_inner(second, mixed, ["key"], "m", total), ["key"]), labels), "pairs")
-    if not more.isEmpty():
-        labels = components(links.unionByName(verified(more, plain)))
+    # sketches that hold several classes still; up to SMALL texts have all been compared
+    classed = shared.filter(F.col("m") > SMALL).select("id", "sk").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "sk")
+    mixed = materialize(classed.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("sk", "size"), "mixed")
+    members = materialize(split_inner(classed, mixed, ["sk"], "size", total).select("id", "comp").distinct(), "members")
+    if not members.isEmpty():
+        more = materialize(possible_pairs(members, plain), "pairs")
+        if not more.isEmpty():
+            labels = components(links.unionByName(verified(more, plain)))
 
     grouped = texts.join(labels.toDF("text_id", "comp"), "text_id", "left").withColumn("class_id", F.coalesce("comp", "text_id"))
     sizes = grouped.groupBy("class_id").agg(F.sum("n").alias("class_size"))

@@ -315,6 +315,15 @@ def test_near_duplicates_borderline(spark):
     assert got == near_brute(rows)
 
 
+def test_near_hub(spark):
+    """Texts that are similar to one text only, whose id isn't the smallest: a passage that all share, and in all but the hub words of their own."""
+    passage = " ".join(f"shared{i}" for i in range(404))
+    rows = [(i, passage if i == 777 else passage + " " + " ".join(f"w{i}x{j}" for j in range(94))) for i in range(2500)]
+    other = [(10_000 + i, " ".join(f"shared{j}" for j in range(200)) + " " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows + other, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: 0 for i, _ in rows} | {i: i for i, _ in other}
+
+
 def test_near_odd(odd):
     out = near_dedup.deduplicated(odd)
     assert out.columns == odd.columns

@@ -1,13 +1,13 @@
 """Near-duplicates by order min-hash, verified by banded alignment.
 
 A text's k-mers are its windows of SHINGLE words, labelled by their occurrence in the text. For each of SKETCHES hash functions a text picks its MINIMA k-mers of
-least hash and retains their order: two texts share that sketch only if they pick the same k-mers in the same order. Texts with repeated windows also
-send the sketches of their different windows; short texts also send finer ones. Texts of the same words are one from the start.
+least hash and retains their order: two texts share that sketch only if they pick the same k-mers in the same order. Texts also send the sketches of their
+different windows without the order, for passages that moved; short texts also send finer ones, in both ways. Texts of the same words are one from the start.
 
 Of the texts that share a sketch, each is compared with the first and with the one before it, so a group of n copies makes 2 n pairs at most. Where a
 sketch is left holding more than one class, all pairs of its texts are decided: a prefix-filter join over their windows, the rarest first, proposes every
-pair of different classes that can be similar. So no pair that shares a sketch is lost. A pair of Jaccard similarity 0.8 shares a given sketch with
-probability 0.8 ** 6 = 0.26; it shares none of 40 with probability 5e-6.
+pair of different classes that can be similar. So no pair that shares a sketch is lost. A pair of Jaccard similarity 0.8, whatever its order, shares a given
+sketch without order with probability 0.8 ** 6 = 0.26; it shares none of 40 with probability 5e-6.
 
 A candidate pair is verified on whole texts: the windows that a banded alignment lines up prove the similarity, and where they don't, the
 sets of windows are compared. Linked pairs have a Jaccard similarity of SIMILARITY or more over different windows. Classes are the connected components of links.
@@ -85,8 +85,8 @@ def occurrences(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(values: np.ndarray, offsets: np.ndarray, number: int, minima: int, salt: int = 0) -> np.ndarray:
-    """number sketches of each row of values; rows that are empty get zeros."""
+def sketches(values: np.ndarray, offsets: np.ndarray, number: int, minima: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """number sketches of each row of values, with the order of minima and without; rows that are empty get zeros."""
     n = np.diff(offsets)
     rows = np.repeat(np.arange(len(n)), n)
     take = np.minimum(n, minima)
@@ -94,7 +94,7 @@ def sketches(values: np.ndarray, offsets: np.ndarray, number: int, minima: int,
     share = np.minimum(1.0, (minima + 5 * np.sqrt(minima) + 8) / np.maximum(n, 1))
     bound = np.where(share >= 1, np.uint64(2**64 - 1), (share * 2.0**63).astype(np.uint64) * np.uint64(2))
     bounds = bound[rows]
-    out = np.zeros((len(n), number), np.uint64)
+    out, free = np.zeros((len(n), number), np.uint64), np.zeros((len(n), number), np.uint64)
     row_bits = max(1, int(len(n)).bit_length())
     for k in range(number):
         v = (values ^ np.uint64(_XOR[k] + salt)) * np.uint64(_ODD[k])
@@ -107,12 +107,15 @@ def sketches(values: np.ndarray, offsets: np.ndarray, number: int, minima: int,
         counts = np.bincount(rows[low], minlength=len(n))
         chosen = np.sort(low[parts(counts)[1] < minima])
         place = parts(np.bincount(rows[chosen], minlength=len(n)))[1]
-        parts_of = _mix(values[chosen]) * np.array([2 * j + 0x9E3779B97F4A7C15 for j in range(minima)], np.uint64)[place]
+        mixed = _mix(values[chosen])
+        parts_of = mixed * np.array([2 * j + 0x9E3779B97F4A7C15 for j in range(minima)], np.uint64)[place]
         full = np.flatnonzero(n)
         if len(full):
             starts = np.searchsorted(rows[chosen], full)
-            out[full, k] = _mix(np.add.reduceat(parts_of, starts) + np.uint64((k + 1) * 0x632BE59BD9B4E019 % 2**64))
-    return out
+            own = np.uint64((k + 1) * 0x632BE59BD9B4E019 % 2**64)
+            out[full, k] = _mix(np.add.reduceat(parts_of, starts) + own)
+            free[full, k] = _mix(np.add.reduceat(mixed * np.uint64(0xC2B2AE3D27D4EB4F), starts) + own)
+    return out.view(np.int64), free.view(np.int64)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +131,21 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = times == 0
         kept = np.bincount(rows[first], minlength=len(n))
         plain_values = _mix(values[first])
-        a = sketches(labelled, offsets, SKETCHES, MINIMA).view(np.int64)
+        # where no window repeats, those without the order come of the same minima
+        a, free = sketches(labelled, offsets, SKETCHES, MINIMA)
         repeating = np.flatnonzero(kept < n)
         b = np.zeros((len(n), 0), np.int64)
         if len(repeating):
             some = np.isin(np.repeat(np.arange(len(n)), kept), repeating)
             b = np.zeros_like(a)
-            b[repeating] = sketches(plain_values[some], np.concatenate([[0], np.cumsum(kept[repeating])]), SKETCHES, MINIMA).view(np.int64)
+            b[repeating], free[repeating] = sketches(plain_values[some], np.concatenate([[0], np.cumsum(kept[repeating])]), SKETCHES, MINIMA)
         small = np.flatnonzero((kept <= SHORT) & (kept > 0))
-        c = np.zeros((len(n), SHORT_SKETCHES), np.int64)
+        c = np.zeros((len(n), 2 * SHORT_SKETCHES), np.int64)
         if len(small):
             some = np.isin(np.repeat(np.arange(len(n)), kept), small)
-            c[small] = sketches(plain_values[some], np.concatenate([[0], np.cumsum(kept[small])]), SHORT_SKETCHES, SHORT_MINIMA, salt=1).view(np.int64)
+            c[small] = np.hstack(sketches(plain_values[some], np.concatenate([[0], np.cumsum(kept[small])]), SHORT_SKETCHES, SHORT_MINIMA, salt=1))
         twice, brief = set(repeating.tolist()), set(small.tolist())
-        both = [np.concatenate([a[i], b[i]]) if i in twice else a[i] if n[i] else a[i][:0] for i in range(len(n))]
+        both = [np.concatenate([a[i], b[i], free[i]]) if i in twice else np.concatenate([a[i], free[i]]) if n[i] else a[i][:0] for i in range(len(n))]
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids(batch.column("doc_id"))), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(both, pa.list_(pa.int64())), pa.array([c[i] if i in brief else c[i][:0] for i in range(len(n))], pa.list_(pa.int64()))],
             ["doc_id", "d1", "d2", "sketches", "brief"],
@@ -347,7 +351,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unique = keyed.filter(~empty).join(texts.select(*same, F.col("text_id").alias("doc_id")), [*same, "doc_id"], "left_semi")
     unique = materialize(unique.select(F.col("doc_id").alias("id"), "sketches", "brief").dropDuplicates(["id"]), "unique")
 
-    total = SKETCHES * unique.count()
+    total = 2 * SKETCHES * unique.count()
     # both families of a text can agree on a sketch; they lie in one row, so that needs no shuffle
     once = unique.select("id", F.explode(F.array_distinct(F.concat("sketches", "brief"))).alias("sk"))
     shared = materialize(_met(once, ["sk"], total), "shared")

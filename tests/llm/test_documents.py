@@ -324,6 +324,20 @@ def test_near_hub(spark):
     assert got == {i: 0 for i, _ in rows} | {i: i for i, _ in other}
 
 
+def test_near_moved(spark):
+    """Swapped halves, and blocks in reverse, have the same windows but for those at the seams."""
+    rows = []
+    for i in range(60):
+        long, short = [f"l{i}x{j}" for j in range(404)], [f"s{i}x{j}" for j in range(44)]
+        again = [*long[:100], *long[:100], *long[200:]]  # repeated windows
+        moved = [long[202:] + long[:202], [w for at in (303, 202, 101, 0) for w in long[at : at + 101]]]
+        rows += [(10 * i + j, " ".join(w)) for j, w in enumerate([long, *moved])]
+        rows += [(10 * i + 4 + j, " ".join(w)) for j, w in enumerate([short, short[22:] + short[:22], again, again[202:] + again[:202]])]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == near_brute(rows)
+    assert len(set(got.values())) <= 180
+
+
 def test_near_odd(odd):
     out = near_dedup.deduplicated(odd)
     assert out.columns == odd.columns

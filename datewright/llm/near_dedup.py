@@ -9,8 +9,9 @@ sketch is left holding more than one class, all pairs of its texts are decided:
 pair of different classes that can be similar. So no pair that shares a sketch is lost. A pair of Jaccard similarity 0.8, whatever its order, shares a given
 sketch without order with probability 0.8 ** 6 = 0.26; it shares none of 40 with probability 5e-6.
 
-A candidate pair is verified on whole texts: the windows that a banded alignment lines up prove the similarity, and where they don't, the
-sets of windows are compared. Linked pairs have a Jaccard similarity of SIMILARITY or more over different windows. Classes are the connected components of links.
+A candidate pair is verified on whole texts. A banded alignment lines up the occurrence-labelled windows of both in text order; the pair is linked where those that line up are SIMILARITY or
+more of all windows of either. An alignment can't see passages that moved: where it finds less, the sets of different windows are compared, and the pair is linked at a Jaccard similarity of
+SIMILARITY or more. Classes are the connected components of links.
 
 Defined results: null text and text without words are linked with nothing but belong to themselves. Texts of fewer words than a window have one window, the
 whole text. Rows with the same doc_id are one document: they share its class. A null doc_id counts as smaller than any other. An empty table gives an
@@ -85,6 +86,12 @@ def occurrences(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(values: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Windows labelled by how often they have come before: even where a window comes first in its row, odd where it comes again."""
+    again = _mix(values + times.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    return np.where(times == 0, values & ~np.uint64(1), again)
+
+
 def sketches(values: np.ndarray, offsets: np.ndarray, number: int, minima: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """number sketches of each row of values, with the order of minima and without; rows that are empty get zeros."""
     n = np.diff(offsets)
@@ -127,12 +134,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.diff(offsets)
         rows = np.repeat(np.arange(len(n)), n)
         times = occurrences(values, rows)
-        labelled = _mix(values + times.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        marked = _mix(labelled(values, times))
         first = times == 0
         kept = np.bincount(rows[first], minlength=len(n))
-        plain_values = _mix(values[first])
+        plain_values = marked[first]
         # where no window repeats, those without the order come of the same minima
-        a, free = sketches(labelled, offsets, SKETCHES, MINIMA)
+        a, free = sketches(marked, offsets, SKETCHES, MINIMA)
         repeating = np.flatnonzero(kept < n)
         b = np.zeros((len(n), 0), np.int64)
         if len(repeating):
@@ -170,16 +177,21 @@ def _neighbours(met: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's different windows, and how many they are."""
+    """Each text's different windows, and how many they are; where windows repeat, also all of them with their labels, as another text that meets only such."""
     for batch in batches:
         values, offsets = shingles(batch.column("text"))
-        rows = np.repeat(np.arange(len(batch)), np.diff(offsets))
-        first = occurrences(values, rows) == 0
-        rows, values = rows[first], values[first].view(np.int64)
-        own, sizes = ids(batch.column("doc_id")), np.bincount(rows, minlength=len(batch)).astype(np.int64)
-        for at in range(0, len(rows), 100_000):
-            some = rows[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(sizes[some]), pa.array(values[at : at + 100_000])], ["id", "size", "w"])
+        n = np.diff(offsets)
+        rows = np.repeat(np.arange(len(batch)), n)
+        times = occurrences(values, rows)
+        values, first = labelled(values, times), times == 0
+        different = np.bincount(rows[first], minlength=len(batch))
+        own = ids(batch.column("doc_id"))
+        repeating = (different < n)[rows]
+        for repeats, some, sizes, salt in ((False, first, different, 0), (True, repeating, n, 0x9E3779B97F4A7C15)):
+            who, w = rows[some], (values[some] ^ np.uint64(salt)).view(np.int64)
+            for at in range(0, len(who), 100_000):
+                part = who[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(own[part]), pa.array([repeats] * len(part)), pa.array(sizes[part].astype(np.int64)), pa.array(w[at : at + 100_000])], ["id", "repeats", "size", "w"])
 
 
 def _least(share: float):
@@ -190,14 +202,15 @@ def _least(share: float):
 def possible_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct pairs a, b of members (id, comp) of different classes, all that are similar among them; of a and b, a is in more pairs.
 
+    Texts are taken as their sets of different windows, and those with repeats once more as sets of labelled windows: an alignment can't line up more than these have in common.
     The first window that two similar texts share, in one order of all windows, lies so near the beginning of both that enough can follow: within
     1 - SIMILARITY of the longer text, and within a smaller part of the shorter one. So only the beginnings meet, and of those only a shorter with a longer text's.
     """
     texts = docs.join(members.select("id"), docs["doc_id"] == members["id"]).select("doc_id", "text")
-    windows = materialize(mapped(texts, _windows, "id long, size long, w long"), "windows")
+    windows = materialize(mapped(texts, _windows, "id long, repeats boolean, size long, w long"), "windows")
     total = windows.count()
     common = materialize(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "common")
-    own = split_inner(windows, common, ["w"], "n", total).groupBy("id", "size").agg(F.sort_array(F.collect_set(F.struct("n", "w"))).alias("rare"))
+    own = split_inner(windows, common, ["w"], "n", total).groupBy("id", "repeats", "size").agg(F.sort_array(F.collect_set(F.struct("n", "w"))).alias("rare"))
     # windows of one text only are the rarest and come first, but meet nothing
     size, alone = F.col("size"), F.col("size") - F.size("rare")
     ends = F.greatest(size - _least(SIMILARITY)(size) + 1 - alone, F.lit(0)).cast("int")
@@ -237,7 +250,10 @@ def possible_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def aligned(x: np.ndarray, y: np.ndarray) -> int:
-    """Windows that an alignment of two texts lines up, within the band that SIMILARITY leaves; x and y: different windows in text order."""
+    """Windows that an alignment of two texts lines up, within the band that SIMILARITY leaves; x and y: labelled windows in text order.
+
+    The band loses no pair of SIMILARITY: windows that such an alignment lines up lie at most 1 - SIMILARITY of the longer text apart.
+    """
     order = np.argsort(x)
     at = np.searchsorted(x, y, sorter=order)
     at[at == len(x)] = 0
@@ -260,27 +276,26 @@ def aligned(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two texts' different windows, or what the alignment proves if that is enough; 0 where sizes rule out SIMILARITY."""
+    """Of two texts' labelled windows: the share that the alignment lines up if that is SIMILARITY or more, else the Jaccard similarity of the different windows; 0 where sizes rule out SIMILARITY."""
+    small, large = sorted((len(x), len(y)))
+    if small and small >= SIMILARITY * large - 1e-9:
+        a = aligned(x, y)
+        if a >= SIMILARITY * (small + large - a) - 1e-9:
+            return a / (small + large - a)
+    x, y = x[x % 2 == 0], y[y % 2 == 0]
     small, large = sorted((len(x), len(y)))
     if not small or small < SIMILARITY * large - 1e-9:
         return 0.0
-    a = aligned(x, y)
-    proven = a / (small + large - a)
-    if proven >= SIMILARITY:
-        return proven
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (small + large - common)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's different windows to each group that it is compared in."""
+    """Each text's labelled windows to each group that it is compared in."""
     for batch in batches:
-        values, offsets = shingles(batch.column("text"))
-        n = np.diff(offsets)
-        rows = np.repeat(np.arange(len(n)), n)
-        first = occurrences(values, rows) == 0
-        kept = values[first]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(rows[first], minlength=len(n)))])
+        values, ends = shingles(batch.column("text"))
+        n = np.diff(ends)
+        kept = labelled(values, occurrences(values, np.repeat(np.arange(len(n)), n)))
         groups = batch.column("groups")
         lengths = pc.list_value_length(groups).to_numpy(zero_copy_only=False)
         flat = groups.flatten()
@@ -325,17 +340,24 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id and comp, the smallest id of its component, of every end of an edge. Rounds of smallest neighbours and shortcuts, each written out."""
+    """id and comp, the smallest id of its component, of every end of an edge. Rounds of smallest neighbours and shortcuts, each written out.
+
+    Ends of many edges, and classes of many texts, are joined as hot keys.
+    """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "id"), "labels")
+    total = both.count()
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("comp"), F.count("*").alias("n")), "labels")
+    found = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("other"))
-        lower = labels.join(near, "id").select("id", "comp", F.least("comp", "other").alias("to"))
-        roots = labels.select(F.col("id").alias("to"), F.col("comp").alias("root"))
-        new = materialize(lower.join(roots, "to", "left").select("id", F.least("to", F.coalesce("root", "to")).alias("comp"), (F.least("to", F.coalesce("root", "to")) < F.col("comp")).alias("moved")), "labels")
-        labels = new.select("id", "comp")
+        near = split_inner(both, labels.withColumnRenamed("id", "b"), ["b"], "n", total).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("other"))
+        lower = materialize(labels.join(near, "id").select("id", "n", "comp", F.least("comp", "other").alias("to")), "lower")
+        members = lower.groupBy("to").agg(F.count("*").alias("m"))
+        roots = members.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("root")), "to")
+        moved = F.least("to", "root")
+        new = materialize(split_join(lower, roots, ["to"], "m", found).select("id", "n", moved.alias("comp"), (moved < F.col("comp")).alias("moved")), "labels")
+        labels = new.select("id", "n", "comp")
         if new.filter("moved").isEmpty():
-            return labels
+            return labels.select("id", "comp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -359,10 +381,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(verified(pairs, plain), "links")
     labels = components(links)
 
-    # sketches that hold several classes still; up to SMALL texts have all been compared
-    classed = shared.filter(F.col("m") > SMALL).select("id", "sk").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), "sk")
-    mixed = materialize(classed.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).filter("low < high").select("sk", "size"), "mixed")
-    members = materialize(split_inner(classed, mixed, ["sk"], "size", total).select("id", "comp").distinct(), "members")
+    # sketches that hold several classes still; up to SMALL texts have all been compared. A text gets its class before its sketches are dealt out
+    often = materialize(shared.filter(F.col("m") > SMALL).select("id").distinct(), "often")
+    classed = materialize(unique.join(often, "id", "left_semi").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "classed")
+    dealt = classed.select("id", "comp", F.explode(F.array_distinct(F.concat("sketches", "brief"))).alias("sk"))
+    mixed = dealt.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    mixed = materialize(mixed.filter((F.col("low") < F.col("high")) & (F.col("size") > SMALL)).select("sk", "size"), "mixed")
+    members = materialize(split_inner(dealt, mixed, ["sk"], "size", total).select("id", "comp").distinct(), "members")
     if not members.isEmpty():
         more = materialize(possible_pairs(members, plain), "pairs")
         if not more.isEmpty():

@@ -263,26 +263,52 @@ def test_word_ids_equal_the_tokenizer():
 # Near-duplicates
 
 
-def shingle_set(text):
+def labelled_windows(text):
     w = WORDS.findall(text or "")
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    times, out = Counter(), []
+    for i in range(max(1, len(w) - 4) if w else 0):
+        window = tuple(w[i : i + 5])
+        out.append((window, times[window]))
+        times[window] += 1
+    return out
+
+
+def lined_up(x, y):
+    """The longest common subsequence of two lists without repeats, by all chains."""
+    places = {k: i for i, k in enumerate(x)}
+    at = [places[k] for k in y if k in places]
+    best = []
+    for i, p in enumerate(at):
+        best.append(1 + max((b for q, b in zip(at[:i], best, strict=True) if q < p), default=0))
+    return max(best, default=0)
+
+
+def alike(x, y):
+    """By the sets of different windows, or by the alignment of labelled ones."""
+    share = lambda a, b: len(a & b) / len(a | b)
+    if share({w for w, _ in x}, {w for w, _ in y}) >= 0.8:
+        return True
+    if share(set(x), set(y)) < 0.8:
+        return False
+    a = lined_up(x, y)
+    return a >= 0.8 * (len(x) + len(y) - a)
 
 
 def near_brute(rows):
-    sets = {key(r[0]): shingle_set(r[1]) for r in rows}
-    parent = {i: i for i in sets}
+    lists = {key(r[0]): labelled_windows(r[1]) for r in rows}
+    parent = {i: i for i in lists}
 
     def find(a):
         while parent[a] != a:
             a = parent[a]
         return a
 
-    for a, b in combinations(sorted(sets), 2):
-        x, y = sets[a], sets[b]
-        if x and y and min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) / len(x | y) >= 0.8:
+    sizes = {i: (len({w for w, _ in x}), len(x)) for i, x in lists.items() if x}
+    for a, b in combinations(sorted(sizes), 2):
+        if any(min(n, m) >= 0.8 * max(n, m) for n, m in zip(sizes[a], sizes[b], strict=True)) and find(a) != find(b) and alike(lists[a], lists[b]):
             p, q = find(a), find(b)
             parent[max(p, q)] = min(p, q)
-    return {i: find(i) for i in sets}
+    return {i: find(i) for i in lists}
 
 
 def test_near_duplicates(documents):
@@ -338,6 +364,34 @@ def test_near_moved(spark):
     assert len(set(got.values())) <= 180
 
 
+@pytest.mark.parametrize(("own", "pairs"), [(9, 600), (13, 300)])
+def test_near_template(spark, own, pairs):
+    """Pairs of one template, in ids that lie apart: unlike pairs come close to the threshold, and no pair is lost."""
+    rng = np.random.default_rng(own)
+    numbers = rng.permutation(2 * pairs).reshape(pairs, 2).tolist()
+    shared = 1 if own == 9 else 4
+    rows = []
+    for i, both in enumerate(numbers):
+        for n in both:
+            rows.append((n, " ".join([f"template{j}" for j in range(83)] + [f"pair{i}x{j}" for j in range(shared)] + [f"own{n}x{j}" for j in range(own - 3 * (own > 9))])))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {n: min(both) for both in numbers for n in both}
+
+
+def test_near_alignment_decides(spark):
+    """Texts of one line, over and over, have few different windows in common but line up; in another order of as many lines they don't."""
+    line = [f"line{j}" for j in range(20)]
+    rows = [(n, " ".join(line * 30 + [f"own{n}x{j}" for j in range(40)])) for n in range(40)]
+    x, y = (near_dedup.shingles(pa.array([rows[n][1]]))[0] for n in (0, 1))
+    x, y = (near_dedup.labelled(v, near_dedup.occurrences(v, np.zeros(len(v), np.int64))) for v in (x, y))
+    different = [set(v[v % 2 == 0].tolist()) for v in (x, y)]
+    assert len(different[0] & different[1]) < 0.5 * len(different[0] | different[1])
+    assert near_dedup.similarity(x, y) == pytest.approx(600 / (2 * len(x) - 600), abs=0.02) and near_dedup.similarity(x, y) >= 0.8
+    rows += [(100 + n, " ".join(line * 5 + [f"more{n}x{j}" for j in range(40)])) for n in range(40)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == near_brute(rows) == {n: 0 if n < 100 else n for n, _ in rows}
+
+
 def test_near_odd(odd):
     out = near_dedup.deduplicated(odd)
     assert out.columns == odd.columns
@@ -345,7 +399,7 @@ def test_near_odd(odd):
 
 
 def test_alignment():
-    x = np.arange(100, dtype=np.uint64)
+    x = 2 * np.arange(100, dtype=np.uint64)  # even: windows that come first
     assert near_dedup.aligned(x, x) == 100
     assert near_dedup.aligned(x, np.delete(x, [5, 50])) == 98
     assert near_dedup.similarity(x, np.concatenate([x[50:], x[:50]])) == 1.0  # a moved half is out of the band, but the sets are the same

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datewright.llm.common import ids, mapped, materialize, parts, pick, split_inner, split_join, strings, with_private, words
+from datewright.llm.common import ids, mapped, materialize, parts, pick, sieved, split_inner, split_join, strings, with_private, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, MINIMA = 40, 6
@@ -206,7 +206,8 @@ def possible_pairs(members: DataFrame, docs: DataFrame) -> DataFrame:
     The first window that two similar texts share, in one order of all windows, lies so near the beginning of both that enough can follow: within
     1 - SIMILARITY of the longer text, and within a smaller part of the shorter one. So only the beginnings meet, and of those only a shorter with a longer text's.
     """
-    texts = docs.join(members.select("id"), docs["doc_id"] == members["id"]).select("doc_id", "text")
+    chosen = members.select(F.col("id").alias("doc_id"))
+    texts = sieved(docs, chosen, members.count())[0].join(chosen, "doc_id").select("doc_id", "text")
     windows = materialize(mapped(texts, _windows, "id long, repeats boolean, size long, w long"), "windows")
     total = windows.count()
     common = materialize(windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1"), "common")
@@ -331,9 +332,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     total = pairs.count()
     dealt = split_join(pairs, sizes, ["a"], "n", total).select(F.col("b").alias("id"), F.col("a").alias("g"), F.pmod(F.xxhash64("b"), salts).alias("s"))
     bases = sizes.select(F.col("a").alias("id"), F.col("a").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("s"))
-    roles = dealt.unionByName(bases).groupBy("id").agg(F.collect_list(F.struct("g", "s")).alias("groups"))
+    roles = materialize(dealt.unionByName(bases).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list(F.struct("g", "s")).alias("groups")), "roles")
     # merged at every size: roles grow with the corpus
-    texts = docs.join(roles.hint("merge"), docs["doc_id"] == roles["id"]).select("doc_id", "text", "groups")
+    texts = sieved(docs, roles.select("doc_id"), roles.count())[0].join(roles.hint("merge"), "doc_id").select("doc_id", "text", "groups")
     sent = mapped(texts, _dealt, "g long, s long, id long, windows binary")
     sorted_ = sent.repartition("g", "s").sortWithinPartitions("g", "s", (F.col("id") == F.col("g")).cast("int").desc(), "id")
     return mapped(sorted_, _compared, "a long, b long, similarity double")
@@ -381,13 +382,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(verified(pairs, plain), "links")
     labels = components(links)
 
-    # sketches that hold several classes still; up to SMALL texts have all been compared. A text gets its class before its sketches are dealt out
-    often = materialize(shared.filter(F.col("m") > SMALL).select("id").distinct(), "often")
-    classed = materialize(unique.join(often, "id", "left_semi").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "classed")
-    dealt = classed.select("id", "comp", F.explode(F.array_distinct(F.concat("sketches", "brief"))).alias("sk"))
-    mixed = dealt.groupBy("sk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
-    mixed = materialize(mixed.filter((F.col("low") < F.col("high")) & (F.col("size") > SMALL)).select("sk", "size"), "mixed")
-    members = materialize(split_inner(dealt, mixed, ["sk"], "size", total).select("id", "comp").distinct(), "members")
+    # sketches that hold several classes still: a text and the sketch's first, which have been compared, lie apart. Up to SMALL texts have all been compared
+    own = labels.toDF("a", "ca")
+    firsts = pairs.groupBy("a").agg(F.count("*").alias("n")).join(own, "a", "left")
+    classed = split_join(pairs, firsts, ["a"], "n", pairs.count()).join(labels.toDF("b", "cb"), "b", "left")
+    apart = materialize(classed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("first"), F.col("b").alias("id")), "apart")
+    large = shared.filter(F.col("m") > SMALL)
+    mixed = materialize(large.join(apart, ["first", "id"], "left_semi").select("sk", "m").distinct(), "mixed")
+    members = materialize(split_inner(large.select("id", "sk"), mixed, ["sk"], "m", total).select("id").distinct(), "mixed-texts")
+    members = materialize(members.join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "members")
     if not members.isEmpty():
         more = materialize(possible_pairs(members, plain), "pairs")
         if not more.isEmpty():
@@ -402,7 +405,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, but of each class the rows of its smallest doc_id only."""
+    """docs, with all columns, but of each class the rows of its smallest doc_id only. Only rows that may go are shuffled."""
     rows, col, back = with_private(docs)
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return back(rows.join(gone, col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti"))
+    gone = materialize(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("id")).distinct(), "gone")
+    some, others = sieved(rows.withColumn("id", col("doc_id").cast("long")), gone, gone.count())
+    return back(some.join(gone.toDF("gone_id"), F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").unionByName(others))

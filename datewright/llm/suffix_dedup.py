@@ -7,10 +7,12 @@ where its anchor does.
 2. Each shard builds the suffix array of those of its bytes whose anchors recur, by Larsson-Sadakane refinement to twice 32 bytes: suffixes are sorted by 8 bytes, then groups that aren't sorted yet by the ranks of
    the suffixes 8, 16 and 32 bytes on. Common prefixes of neighbours follow Kasai: where a suffix's neighbour is the one behind the previous suffix's neighbour, the prefix is one
    shorter, and the others are compared directly. Neighbours with LENGTH bytes in common form a class, which all documents but its smallest lose.
-3. What is left for the other shards, the strings of each class's smallest document, goes to lanes by anchor, as runs of text; a lane looks each string up by binary search among all shards' strings, compares the
-   bytes, and answers with a bitmap. A shard sends a string that thousands of its documents share once.
+3. What is left for the other shards, the strings of each class's smallest document, goes to lanes by anchor, as runs of text that bear the anchor. A lane unites the runs that are the same, byte by byte; only of
+   anchors around which runs differ, each string is looked up by binary search among the sorted strings of all shards. The answer is a bitmap.
+4. Strings whose anchor lies in more than HOT_SHARDS shards go another way, each by its own hash, so that no lane gets all text around a common anchor, and up a tree of shards: a node merges the runs of FAN_IN
+   others, in suffix order, by binary search of their strings in each other. All but the smallest document of a string lose it there, and only that goes up, so a passage that lies in every shard meets FAN_IN of its own kind at a time.
 
-So text stays with its shard, which is read again for each step, and no task gets all that a common passage occurs in.
+So text stays with its shard, which is read again for each step, and no task gets all that a common passage occurs in. A shard's messages are as many as the lanes it has anything for, at most as many as its anchors.
 
 Defined results: null text is empty. A null doc_id is smaller than any other. Rows with the same doc_id don't remove anything from each other. A shard holds a longer document whole: a worker needs about 80 times the bytes of its
 largest document. An empty table gives an empty table. Extra columns are ignored.
@@ -34,6 +36,10 @@ PIECE = 16
 SHARD_BYTES = 2_000_000
 #: Bytes of text whose anchors a lane gets.
 LANE_BYTES = 8_000_000
+#: An anchor in more shards is hot: its strings go up a tree, in which a node merges so many runs.
+HOT_SHARDS = FAN_IN = 64
+
+NULL_ID = np.iinfo(np.int64).min
 
 _SHARD = "shard long, docs binary, ends binary, text binary"
 _U = np.uint64
@@ -47,34 +53,39 @@ def _unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    task, number = TaskContext.get().partitionId(), 0
-    docs: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    texts: list[np.ndarray] = []
-    held = 0
+def _shards(most: int):
+    """Documents gathered into shards of at least so many bytes, or what a task has."""
 
-    def out() -> pa.RecordBatch:
-        ends = np.cumsum(np.concatenate(sizes))
-        row = ((task << 32) + number, np.concatenate(docs).tobytes(), ends.tobytes(), _pack(np.concatenate(texts)))
-        return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], ["shard", "docs", "ends", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+        docs: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        texts: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            ends = np.cumsum(np.concatenate(sizes))
+            row = ((task << 32) + number, np.concatenate(docs).tobytes(), ends.tobytes(), _pack(np.concatenate(texts)))
+            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:])], ["shard", "docs", "ends", "text"])
+
+        for batch in batches:
+            own = ids(batch.column("doc_id"))
+            data, offsets = raw(strings(batch.column("text")))
+            at = 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most - held, "right")) - 1)
+                docs, sizes, texts = [*docs, own[at:to]], [*sizes, np.diff(offsets[at : to + 1])], [*texts, data[offsets[at] : offsets[to]]]
+                held += int(offsets[to] - offsets[at])
+                at = to
+                if held >= most or at < len(own):
+                    yield out()
+                    docs, sizes, texts, held, number = [], [], [], 0, number + 1
+        if docs:
+            yield out()
 
-    for batch in batches:
-        own = ids(batch.column("doc_id"))
-        data, offsets = raw(strings(batch.column("text")))
-        at = 0
-        while at < len(own):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SHARD_BYTES - held, "right")) - 1)
-            docs, sizes, texts = [*docs, own[at:to]], [*sizes, np.diff(offsets[at : to + 1])], [*texts, data[offsets[at] : offsets[to]]]
-            held += int(offsets[to] - offsets[at])
-            at = to
-            if held >= SHARD_BYTES or at < len(own):
-                yield out()
-                docs, sizes, texts, held, number = [], [], [], 0, number + 1
-    if docs:
-        yield out()
+    return run
 
 
 class Shard:
@@ -113,6 +124,7 @@ class Shard:
         change = np.ones(len(anchor), bool)
         change[1:] = anchor[1:] != anchor[:-1]
         self.segment = np.cumsum(change, dtype=np.int32) - np.int32(1)
+        self.anchor = anchor[change]
         # anchors have the least of hashes: mixed again, their keys spread over the lanes
         key = h[anchor[change]] * _U(0x9E3779B97F4A7C15)
         key = (key ^ (key >> _U(32))) * _U(0xC2B2AE3D27D4EB4F)
@@ -144,36 +156,49 @@ def _asked(lanes: int, length: int):
         for row, shard in _rows_of(batches, length):
             shard.anchors(lanes)
             keys, _ = shard.keys()
-            cuts = np.searchsorted((keys >> _U(32)).astype(np.int64), np.arange(lanes + 1))
-            half = keys.astype(np.uint32)
-            full = [i for i in range(lanes) if cuts[i] < cuts[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["shard"]] * len(full), pa.int64()), pa.array([half[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], ["lane", "shard", "keys"])
+            full, begin = np.unique((keys >> _U(32)).astype(np.int64), return_index=True)
+            half, end = keys.astype(np.uint32), np.append(begin[1:], len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["shard"]] * len(full), pa.int64()), pa.array([half[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())], ["lane", "shard", "keys"])
 
     return run
 
 
-def _bits(lane: int, shards: list[int], answers: list[np.ndarray]) -> pa.Table:
-    return pa.table({"lane": pa.array([lane] * len(shards), pa.int64()), "shard": pa.array(shards, pa.int64()), "bits": pa.array([np.packbits(a).tobytes() for a in answers], pa.binary())})
+def _bits(lane: int, shards: list[int], answers: list[bytes]) -> pa.Table:
+    return pa.table({"lane": pa.array([lane] * len(shards), pa.int64()), "shard": pa.array(shards, pa.int64()), "bits": pa.array(answers, pa.binary())})
+
 
+def _recurring(most: int):
+    """Which of each shard's sorted keys another shard has; then, if there are any, which of them more than so many have."""
 
-def _recurring(key: tuple, table: pa.Table) -> pa.Table:
-    """Which of each shard's sorted keys another shard has."""
-    lists = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
-    every = np.sort(np.concatenate(lists))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    answers = []
-    for own in lists:
-        at = np.searchsorted(twice, own)
-        at[at == len(twice)] = 0
-        answers.append(twice[at] == own if len(twice) else np.zeros(len(own), bool))
-    return _bits(key[0].as_py(), table["shard"].to_pylist(), answers)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
+        every = np.sort(np.concatenate(lists))
+        begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        times = np.diff(np.append(begin, len(every)))
+        known = every[begin]
+        answers = []
+        for own in lists:
+            n = times[np.searchsorted(known, own)]
+            hot = n > most
+            answers.append(np.packbits(n > 1).tobytes() + (np.packbits(hot).tobytes() if hot.any() else b""))
+        return _bits(key[0].as_py(), table["shard"].to_pylist(), answers)
+
+    return run
 
 
-def _answers(found: list[dict] | None, sizes: np.ndarray) -> np.ndarray:
-    """The bitmaps of all lanes, one after the other; sizes: what each lane was asked."""
+def _unpacked(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def _answers(found: list[dict] | None, lanes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second bitmaps of these lanes, one after the other; sizes: what each was asked."""
     by_lane = {x["lane"]: x["bits"] for x in found or []}
-    out = [np.unpackbits(np.frombuffer(by_lane[i], np.uint8), count=int(n)).astype(bool) if i in by_lane else np.zeros(n, bool) for i, n in enumerate(sizes.tolist()) if n]
-    return np.concatenate(out) if out else np.zeros(0, bool)
+    first, second = [np.zeros(0, bool)], [np.zeros(0, bool)]
+    for lane, n in zip(lanes.tolist(), sizes.tolist(), strict=True):
+        bits, half = by_lane.get(lane, b""), -(-n // 8)
+        first.append(_unpacked(bits[:half], n) if bits else np.zeros(n, bool))
+        second.append(_unpacked(bits[half:], n) if len(bits) > half else np.zeros(n, bool))
+    return np.concatenate(first), np.concatenate(second)
 
 
 def suffix_array(data: np.ndarray, places: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -259,8 +284,8 @@ def common_prefixes(word: np.ndarray, places: np.ndarray, order: np.ndarray, len
     return out
 
 
-def classes(shard: Shard, hot: np.ndarray) -> np.ndarray:
-    """The smallest doc of the class of each hot window (by its number among the shard's windows)."""
+def classes(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest doc of the class of each of these windows (by their numbers among the shard's windows), the windows' suffix order, and in that order where a class begins."""
     starts = shard.windows[hot]
     cover = np.zeros(shard.n + 1, np.int32)
     cover[starts] += 1  # each place once
@@ -278,112 +303,255 @@ def classes(shard: Shard, hot: np.ndarray) -> np.ndarray:
     least = np.minimum.reduceat(shard.doc[hot][sorted_], begin) if len(begin) else np.zeros(0, np.int64)
     out = np.empty(len(hot), np.int64)
     out[sorted_] = np.repeat(least, np.diff(np.append(begin, len(sorted_))))
-    return out
+    return out, sorted_, new
 
 
-def _resolved(lanes: int, length: int):
+def _blob(*arrays: np.ndarray) -> bytes:
+    """Arrays after each other, compressed; their bytes' lengths come first."""
+    parts = [np.ascontiguousarray(x).tobytes() for x in arrays]
+    return _pack(np.frombuffer(struct.pack(f"<q{len(parts)}q", len(parts), *map(len, parts)) + b"".join(parts), np.uint8))
+
+
+def _unblob(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    (n,) = struct.unpack_from("<q", data)
+    ends = np.cumsum([8 + 8 * n, *struct.unpack_from(f"<{n}q", data, 8)])
+    return [np.frombuffer(data[a:b], kind) for a, b, kind in zip(ends[:-1], ends[1:], kinds, strict=True)]
+
+
+def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    h = (h ^ word) * _U(0x9E3779B97F4A7C15)
+    return h ^ (h >> _U(29))
+
+
+def _resolved(lanes: int, length: int, groups: int):
     """Per shard: what it can decide by itself, and what it asks of others."""
+    hot_lanes = lanes // 8 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
             shard.anchors(lanes)
             keys, times = shard.keys()
-            elsewhere = _answers(row["found"], np.bincount((keys >> _U(32)).astype(np.int64), minlength=lanes))
+            elsewhere, common = _answers(row["found"], *np.unique((keys >> _U(32)).astype(np.int64), return_counts=True))
             place = np.searchsorted(keys, shard.key)
-            elsewhere = elsewhere[place] if len(place) else np.zeros(0, bool)
-            hot = np.flatnonzero((elsewhere | (times[place] > 1))[shard.segment]) if len(place) else np.zeros(0, np.int64)
-            least = classes(shard, hot) if len(hot) else np.zeros(0, np.int64)
+            elsewhere, common = elsewhere[place], common[place]
+            recurs = np.flatnonzero((elsewhere | (times[place] > 1))[shard.segment]) if len(place) else np.zeros(0, np.int64)
+            least, order, new = classes(shard, recurs) if len(recurs) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
             gone = np.zeros(len(shard.windows), bool)
-            gone[hot] = least < shard.doc[hot]
-            asks = hot[(least == shard.doc[hot]) & elsewhere[shard.segment[hot]]]
-            lane_of = shard.lane[shard.segment[asks]]
-            ordered, sizes = asks[np.argsort(lane_of, kind="stable")], np.bincount(lane_of, minlength=lanes)
-            # what is asked, by lane, then place: steps are mostly 1
-            state = _pack(np.frombuffer(np.packbits(gone).tobytes() + sizes.astype(np.int64).tobytes() + np.diff(ordered, prepend=0).astype(np.int32).tobytes(), np.uint8))
-            out_lane: list[int] = [-1 - row["shard"]]  # the shard's own state goes the same way, as a group of its own
-            out: list[bytes] = [state]
-            ends = np.cumsum(sizes)
-            for lane in np.flatnonzero(sizes).tolist():
-                own = ordered[ends[lane] - sizes[lane] : ends[lane]]
-                at = shard.windows[own]
-                begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (shard.segment[own][1:] != shard.segment[own][:-1])]))
+            gone[recurs] = least < shard.doc[recurs]
+            asks = (least == shard.doc[recurs]) & elsewhere[shard.segment[recurs]]
+            climbs = asks & common[shard.segment[recurs]]
+            cold = recurs[asks & ~climbs]
+            lane_of = shard.lane[shard.segment[cold]]
+            cold = cold[np.argsort(lane_of, kind="stable")]  # by lane, then place: steps are mostly 1
+            full, sizes = np.unique(lane_of, return_counts=True)
+            # hot strings, each once: in suffix order by lanes of their own hashes
+            up = climbs[order]
+            hot, number = recurs[order[up]], np.cumsum(new)[up]
+            first = np.concatenate([[True], number[1:] != number[:-1]])[: len(hot)]
+            one, word = shard.windows[hot[first]], shard.words(shard.n + 64)
+            h = np.zeros(len(one), np.uint64)
+            for o in _offsets(length):
+                h = _mixed(h, word[one + o])
+            hot_lane = ((h >> _U(32)) * _U(hot_lanes) >> _U(32)).astype(np.int64)
+            by = np.argsort(hot_lane, kind="stable")
+            hot_full, hot_sizes = np.unique(hot_lane, return_counts=True)
+            rank = np.empty(len(by), np.int32)
+            rank[by] = np.arange(len(by), dtype=np.int32)
+            state = _blob(np.packbits(gone), full, sizes, np.diff(cold, prepend=0).astype(np.int32), hot, rank[np.cumsum(first) - 1])
+            # the shard's own state goes the same way, as a group of its own
+            out: list[tuple[int, bytes]] = [(-1 - row["shard"], state)]
+            for lane, end, size in zip(full.tolist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                own = cold[end - size : end]
+                at, segment = shard.windows[own], shard.segment[own]
+                begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (segment[1:] != segment[:-1])]))
                 run_size = np.diff(np.append(begin, len(own)))
                 text = shard.data[gather(at[begin], run_size + length - 1)]
-                head = struct.pack("<q", len(begin)) + run_size.astype(np.int64).tobytes() + shard.doc[own[begin]].tobytes()
-                out.append(_pack(np.frombuffer(head + text.tobytes(), np.uint8)))
-                out_lane.append(lane)
+                out.append((lane, _blob(run_size.astype("<u2"), (shard.anchor[segment[begin]] - at[begin]).astype("<u2"), shard.doc[own[begin]], text)))
                 if len(out) >= 256:
-                    yield _sent(row["shard"], out_lane, out)
-                    out_lane, out = [], []
-            if out:
-                yield _sent(row["shard"], out_lane, out)
+                    yield _sent(row["shard"], out)
+                    out = []
+            group = row["shard"] % 1_000_003 % groups
+            for lane, end, size in zip(hot_full.tolist(), np.cumsum(hot_sizes).tolist(), hot_sizes.tolist(), strict=True):
+                own = by[end - size : end]
+                text = shard.data[gather(one[own], np.full(size, length))]
+                out.append((lanes + lane * groups + group, _blob(shard.doc[hot[first]][own], np.full(size, row["shard"]), np.arange(end - size, end), text)))
+                if len(out) >= 256:
+                    yield _sent(row["shard"], out)
+                    out = []
+            yield _sent(row["shard"], out)
 
     return run
 
 
-def _sent(shard: int, lanes: list, blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lanes, pa.int64()), pa.array([shard] * len(lanes), pa.int64()), pa.array(blobs, pa.binary())], ["lane", "shard", "blob"])
+def _sent(shard: int, out: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([shard] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["lane", "shard", "blob"])
+
+
+def _offsets(length: int) -> list[int]:
+    """Where words of eight bytes begin that cover so many bytes."""
+    return [*range(0, length - 8, 8), length - 8]
+
+
+def _least_docs(word: np.ndarray, place: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For the string at each place, the smallest doc of an equal one: looked up by binary search among the sorted hashes of all, and confirmed by its bytes."""
+    h = np.zeros(len(place), np.uint64)
+    for o in _offsets(length):
+        h = _mixed(h, word[place + o])
+    order = np.argsort(h)
+    begin = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+    known, first = h[order[begin]], place[order[begin]]
+    found = np.searchsorted(known, h)
+    if all((word[place + o] == word[first[found] + o]).all() for o in _offsets(length)):
+        return np.minimum.reduceat(doc[order], begin)[found]
+    # different strings of one hash: sort by bytes
+    order = np.lexsort([word[place + o] for o in reversed(_offsets(length))])
+    at, new = place[order], np.zeros(len(order), bool)
+    new[0] = True
+    for o in _offsets(length):
+        new[1:] |= word[at[1:] + o] != word[at[:-1] + o]
+    begin = np.flatnonzero(new)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], begin), np.diff(np.append(begin, len(order))))
+    return out
 
 
-def _merged(length: int):
-    """A lane's strings from all shards: which of them a smaller document has."""
+def _lane(blobs: list[bytes], length: int) -> list[np.ndarray]:
+    """A lane's runs of text from all shards: for each of them, which of its strings a smaller document has."""
+    read = [_unblob(b, "<u2", "<u2", "<i8", "u1") for b in blobs]
+    size, anchor, doc = (np.concatenate([r[i] for r in read]).astype(np.int64) for i in range(3))
+    span = size + length - 1
+    start = np.cumsum(span) - span
+    padded = np.concatenate([*(r[3] for r in read), np.zeros(64, np.uint8)])
+    word = np.ndarray((len(padded) - 8,), "<u8", padded.data, 0, (1,))  # a view: only what is asked for is copied
+    offsets = _offsets(int(span.max()))
+    # runs that are the same, byte by byte, are one class
+    h = span.astype(np.uint64)
+    for o in offsets:
+        h = _mixed(h, word[start + np.minimum(o, span - 8)])
+    order = np.argsort(h)
+    a, b = order[1:], order[:-1]
+    same = np.flatnonzero((h[a] == h[b]) & (span[a] == span[b]))
+    for o in offsets:
+        x, y = a[same], b[same]
+        same = same[word[start[x] + np.minimum(o, span[x] - 8)] == word[start[y] + np.minimum(o, span[y] - 8)]]
+    new = np.ones(len(order), bool)
+    new[same + 1] = False
+    begin = np.flatnonzero(new)
+    class_of = np.empty(len(order), np.int64)
+    class_of[order] = np.cumsum(new) - 1
+    first, least = order[begin], np.minimum.reduceat(doc[order], begin)
+    # where several classes have one anchor, their strings are compared
+    at = start[first] + anchor[first]
+    key = _mixed(_mixed(np.zeros(len(at), np.uint64), word[at]), word[at + 8])
+    by = np.argsort(key)
+    alone = np.ones(len(key) + 1, bool)
+    alone[1:-1] = key[by[1:]] != key[by[:-1]]
+    several = np.zeros(len(key), bool)
+    several[by] = ~(alone[1:] & alone[:-1])
+    least_of = np.repeat(least[class_of], size)
+    if several.any():
+        some = np.flatnonzero(several)
+        n = size[first[some]]
+        docs = _least_docs(word, gather(start[first[some]], n), np.repeat(least[some], n), length)
+        at = np.zeros(len(key), np.int64)
+        at[some] = np.cumsum(n) - n
+        runs = np.flatnonzero(several[class_of])
+        ends = np.cumsum(size)
+        least_of[gather(ends[runs] - size[runs], size[runs])] = docs[gather(at[class_of[runs]], size[runs])]
+    lost = least_of < np.repeat(doc, size)
+    ends = np.cumsum([int(r[0].sum(dtype=np.int64)) for r in read])
+    return [lost[e - int(r[0].sum(dtype=np.int64)) : e] for e, r in zip(ends, read, strict=True)]
+
+
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # strings in suffix order, and of each its doc, shard and number there
+
+
+def united(x: Run, y: Run) -> tuple[Run, list[np.ndarray], list[np.ndarray]]:
+    """Two runs merged by binary search of their strings in each other, without those that a smaller document has; and these: their shards and numbers.
+
+    Strings of the same doc_id stay, as they don't remove each other, but of the smallest doc_id there can be one will do.
+    """
+    places, keep, shards, numbers = [], [], [], []
+    for own, other, second in ((x, y, False), (y, x, True)):
+        at = np.searchsorted(other[0], own[0])
+        found = np.minimum(at, max(0, len(other[0]) - 1))
+        equal = other[0][found] == own[0] if len(other[0]) else np.zeros(len(own[0]), bool)
+        theirs = other[1][found] if len(other[0]) else own[1]
+        lost = equal & (theirs < own[1])
+        shards.append(own[2][lost])
+        numbers.append(own[3][lost])
+        kept = ~lost & ~(equal & (own[1] == NULL_ID) & (theirs == NULL_ID) & second)
+        keep.append(kept)
+        places.append(at[kept])
+    one, two = (tuple(c[k] for c in run) for run, k in ((x, keep[0]), (y, keep[1])))
+    at = np.searchsorted(one[0], two[0])
+    return tuple(np.insert(c, at, d) for c, d in zip(one, two, strict=True)), shards, numbers
+
+
+def _climbed(blobs: list[bytes], length: int) -> tuple[Run, dict[int, np.ndarray]]:
+    """The runs of a node's children, merged two by two; and by shard, the numbers of strings that are lost."""
+    runs: list[Run] = []
+    for blob in blobs:
+        doc, shard, number, text = _unblob(blob, "<i8", "<i8", "<i8", f"S{length}")
+        runs.append((text, doc, shard, number))
+    shards, numbers = [], []
+    while len(runs) > 1:
+        merged = []
+        for i in range(0, len(runs) - 1, 2):
+            run, s, n = united(runs[i], runs[i + 1])
+            merged.append(run)
+            shards += s
+            numbers += n
+        runs = merged + runs[len(merged) * 2 :]
+    shard, number = np.concatenate([np.zeros(0, np.int64), *shards]), np.concatenate([np.zeros(0, np.int64), *numbers])
+    if not len(shard):
+        return runs[0], {}
+    order = np.argsort(shard, kind="stable")
+    full, begin = np.unique(shard[order], return_index=True)
+    return runs[0], dict(zip(full.tolist(), np.split(number[order], begin[1:]), strict=True))
+
+
+#: lane: of what was asked, or HOT, whose bits are numbers of strings; null for a shard's state. up: a node's run, which goes on to the next.
+HOT = -1
+_MERGED = "lane long, shard long, bits binary, up long"
+
+
+def _merged(lanes: int, length: int, groups: int, fan: int):
+    """What a lane, or a node of a hot lane's tree, answers."""
+
+    def table_of(lane: list, shard: list, bits: list, up: list) -> pa.Table:
+        return pa.table({"lane": pa.array(lane, pa.int64()), "shard": pa.array(shard, pa.int64()), "bits": pa.array(bits, pa.binary()), "up": pa.array(up, pa.int64())})
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            return pa.table({"lane": pa.array([None] * table.num_rows, pa.int64()), "shard": table["shard"], "bits": table["blob"]})
-        docs, places, data, base = [], [], [], 0
-        for blob in table["blob"].to_pylist():
-            x = _unpack(blob, np.uint8)
-            runs = int(x[:8].view(np.int64)[0])
-            size, doc = x[8 : 8 + 8 * runs].copy().view(np.int64), x[8 + 8 * runs : 8 + 16 * runs].copy().view(np.int64)
-            text = x[8 + 16 * runs :]
-            spans = size + length - 1
-            at = gather(np.cumsum(spans) - spans, size)
-            docs.append(np.repeat(doc, size))
-            places.append(at + base)
-            data.append(text)
-            base += len(text)
-        sizes = [len(d) for d in docs]
-        doc, place = np.concatenate(docs), np.concatenate(places)
-        padded = np.concatenate([*data, np.zeros(64, np.uint8)])
-        word = np.ndarray((len(padded) - 8,), "<u8", padded.data, 0, (1,))  # a view: only what is asked for is copied
-        offsets = [*range(0, length - 8, 8), length - 8]
-        h = np.zeros(len(place), np.uint64)
-        for o in offsets:
-            h = (h ^ word[place + o]) * _U(0x9E3779B97F4A7C15)
-            h ^= h >> _U(29)
-        order = np.argsort(h)
-        h = h[order]
-        same = h[1:] == h[:-1]
-        del h
-        at = place[order]
-        equal = np.flatnonzero(same)  # equal hashes are believed only of equal bytes
-        if not all((word[at[equal + 1] + o] == word[at[equal] + o]).all() for o in offsets):
-            order = np.lexsort([word[place + o] for o in reversed(offsets)])
-            at = place[order]
-            same = np.ones(len(order) - 1, bool)
-            for o in offsets:
-                same &= word[at[1:] + o] == word[at[:-1] + o]
-        begin = np.flatnonzero(np.concatenate([[True], ~same]))
-        least = np.minimum.reduceat(doc[order], begin)
-        lost = np.empty(len(order), bool)
-        # each string's class by binary search among the classes' beginnings
-        lost[order] = least[np.searchsorted(begin, np.arange(len(order)), "right") - 1] < doc[order]
-        ends = np.cumsum(sizes)
-        return _bits(key[0].as_py(), table["shard"].to_pylist(), [lost[e - s : e] for e, s in zip(ends, sizes, strict=True)])
+        lane, shards, blobs = key[0].as_py(), table["shard"].to_pylist(), table["blob"].to_pylist()
+        n = len(shards)
+        if lane < 0:
+            return table_of([None] * n, shards, blobs, [None] * n)
+        if lane < lanes:
+            return table_of([lane] * n, shards, [np.packbits(a).tobytes() for a in _lane(blobs, length)], [None] * n)
+        run_, lost = _climbed(blobs, length)
+        out = table_of([HOT] * len(lost), list(lost), [x.astype("<i8").tobytes() for x in lost.values()], [None] * len(lost))
+        if groups > 1:
+            hot, group = divmod(lane - lanes, groups)
+            above = -(-groups // fan)
+            out = pa.concat_tables([out, table_of([None], [None], [_blob(run_[1], run_[2], run_[3], run_[0])], [lanes + hot * above + group // fan])])
+        return out
 
     return run
 
 
-def _removed(lanes: int, length: int):
+def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
-            n = len(shard.windows)
-            state = _unpack(row["state"], np.uint8)
-            half = -(-n // 8)
-            gone = np.unpackbits(state[:half], count=n).astype(bool)
-            sizes, steps = state[half : half + 8 * lanes].copy().view(np.int64), state[half + 8 * lanes :].copy().view(np.int32)
-            gone[np.cumsum(steps, dtype=np.int64)] |= _answers(row["found"], sizes)
+            bits, full, sizes, steps, hot, number = _unblob(row["state"], "u1", "<i8", "<i8", "<i4", "<i8", "<i4")
+            gone = np.unpackbits(bits, count=len(shard.windows)).astype(bool)
+            gone[np.cumsum(steps, dtype=np.int64)] |= _answers([x for x in row["found"] or [] if x["lane"] != HOT], full, sizes)[0]
+            lost = np.zeros(int(number.max(initial=-1)) + 1, bool)
+            for x in row["found"] or []:
+                if x["lane"] == HOT:
+                    lost[np.frombuffer(x["bits"], "<i8")] = True
+            gone[hot[lost[number]]] = True
             edge = np.zeros(shard.n + 1, np.int32)
             at = shard.windows[gone]
             edge[at] += 1  # each place once
@@ -423,16 +591,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, spans (removed runs: start, end), kept (the remaining bytes)."""
     if length < PIECE + 8:
         raise ValueError(f"strings of less than {PIECE + 8} bytes")
-    shards = materialize(mapped(pick(docs, "doc_id", "text"), _shards, _SHARD), "shards")
+    shards = materialize(mapped(pick(docs, "doc_id", "text"), _shards(SHARD_BYTES), _SHARD), "shards")
     total = shards.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
     lanes = max(12, -(-3 * total // LANE_BYTES))  # text shrinks to about a third
     asked = mapped(shards, _asked(lanes, length), "lane long, shard long, keys binary")
-    bits = materialize(_back(asked.groupBy("lane").applyInArrow(_recurring, _FOUND)), "anchors")
-    resolved = mapped(shards.join(bits.hint("merge"), "shard", "left"), _resolved(lanes, length), "lane long, shard long, blob binary")
-    answers = materialize(resolved.groupBy("lane").applyInArrow(_merged(length), _FOUND), "answers")
-    states = answers.filter("lane is null").select("shard", F.col("bits").alias("state"))
+    bits = materialize(_back(asked.groupBy("lane").applyInArrow(_recurring(HOT_SHARDS), _FOUND)), "anchors")
+    groups = -(-shards.count() // FAN_IN)
+    resolved = mapped(shards.join(bits.hint("merge"), "shard", "left"), _resolved(lanes, length, groups), "lane long, shard long, blob binary")
+    answers = level = materialize(resolved.groupBy("lane").applyInArrow(_merged(lanes, length, groups, FAN_IN), _MERGED), "answers")
+    states = answers.filter("lane is null and up is null").select("shard", F.col("bits").alias("state"))
+    while groups > 1:
+        groups = -(-groups // FAN_IN)
+        climbing = level.filter("up is not null").select(F.col("up").alias("lane"), "shard", F.col("bits").alias("blob"))
+        level = materialize(climbing.groupBy("lane").applyInArrow(_merged(lanes, length, groups, FAN_IN), _MERGED), "answers")
+        answers = answers.unionByName(level)
     last = shards.join(states.hint("merge"), "shard").join(_back(answers.filter("lane is not null")).hint("merge"), "shard", "left")
-    return mapped(last, _removed(lanes, length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return mapped(last, _removed(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def suffix_dedup_digests(docs: DataFrame) -> DataFrame:

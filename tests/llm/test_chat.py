@@ -1,5 +1,7 @@
 import hashlib
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from datewright.llm import chat_format as chat
@@ -60,7 +62,7 @@ def test_shared_turns_are_emitted_once(spark, table):
         part.sort(key=lambda n: n.node)
         at = 0
         for n in part:
-            assert n.start == at and n.end - n.start == len(n.segment)
+            assert n.start == at and n.end - n.start == len(n.ids)
             at = n.end
             up = next((m for m in part if m.node == n.parent), None)
             assert (n.depth == 0) == (up is None)
@@ -68,10 +70,38 @@ def test_shared_turns_are_emitted_once(spark, table):
                 assert n.position_start == up.position_start + up.end - up.start
                 spans = sum(s.end - s.start for s in n.attends)
                 assert spans == n.position_start and n.attends[-1].end == up.end
-    total = [n for n in nodes if n.role == "system" and "shared" in n.segment]
+    decode = chat.codec(chat.tokenizer_path()).decode
+    total = [n for n in nodes if n.role == "system" and "shared" in decode(np.array(n.ids))]
     assert len(total) <= len(by_part)
 
 
+def test_loss_spans_hold_the_texts(table):
+    decode = chat.codec(chat.tokenizer_path()).decode
+    for n in chat.chat_tree(table).collect():
+        assert (n.loss_start is None) == (n.role != chat.TRAINED)
+        if n.loss_start is not None:
+            text = decode(np.array(n.ids)[n.loss_start - n.start : n.loss_end - n.start])
+            assert chat.unescape(text) in {r[3] or "" for r in ROWS if r[2] == chat.TRAINED}
+
+
+def test_tokens_are_reversible():
+    codec = chat.codec(chat.tokenizer_path())
+    texts = ["", "a", " a  b\n\n", "<|endoftext|>", "é😀\x00\x7f\u2028", "日本語 " * 50, "\ufeffx\r\n\t", "".join(map(chr, range(0x20, 0x3000, 7)))]
+    for text, ids in zip(texts, codec.encode(texts), strict=True):
+        assert codec.decode(np.array(ids, np.int64)) == text
+
+
+def test_shared_turns_and_very_long_ones(spark):
+    """A first turn that thousands of conversations share lies in a part once; long turns and long conversations come back whole."""
+    rows = [(i, j, "assistant" if j % 2 else "user", "hello there" if j == 0 else f"reply {i % 50} {j}") for i in range(3000) for j in range(4)]
+    rows += [(9000, 0, "user", "long é " * 60_000), (9000, 1, "assistant", "x" * 200_000)] + [(9001, j, "assistant" if j % 2 else "user", f"turn {j}") for j in range(400)]
+    convs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes = chat.chat_tree(convs, 2_000).cache()
+    assert {r.conv_id: tuple(r)[1:] for r in chat.read_back(nodes).collect()} == expected(rows)
+    found = nodes.select("part", "depth", "parent", "role", "ids").collect()
+    assert max(Counter((n.part, n.parent, n.role, tuple(n.ids)) for n in found).values()) == 1
+    assert len({n.part for n in found}) > 5 and len(found) < 1500
+
 def test_hostile_conversation(spark, table):
     got = {r.conv_id: r for r in chat.read_back(chat.chat_tree(chat.with_hostile(table))).collect()}
     text = chat.HOSTILE[1]

@@ -17,8 +17,8 @@ from __future__ import annotations
 import math
 import os
 import re
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datewright.llm.common import gather, lookup, mapped, materialize, parts, per_row, pick, words
+from datewright.llm.common import gather, lookup, mapped, materialize, parts, per_row, pick, strings, words
 
 CAPACITY = 4096
 SLACK = 64
@@ -140,6 +140,40 @@ class WordIds:
         return pool[gather(starts, lengths)], np.concatenate([[0], np.cumsum(totals)])
 
 
+class WholeIds:
+    """Ids of whole texts by any tokenizer."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def of(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and offsets."""
+        end = [] if end_id is None else [end_id]
+        found = [e.ids + end for e in self.tokenizer.encode_batch(strings(text).to_pylist(), add_special_tokens=False)]
+        return np.fromiter((i for x in found for i in x), np.uint32, sum(map(len, found))), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+
+
+#: Texts that a tokenizer must take as WordIds does, to be used through it: case, white space, contractions, digits, marks, bytes of other scripts, names of special tokens.
+PROBE = ["", " A b\n\tC  d ", "It's WE'LL 'tis x'sx don't", "ab12c3 ½ ²", "(x) [y]{z} a-b_c --- ...!", "ÀÉÎ groß ß ÿ × ÷ a×b", "日本語 テ 😀a😀b Жук ﬁ", "<|endoftext|> <|", "\x00nul\x01 \x7f", "antidisestablishmentarianism " * 3]
+
+
+@lru_cache(maxsize=8)
+def by_words(path: str) -> bool:
+    """Whether WordIds gives a tokenizer's own ids for PROBE: it does for those that drop case and white space and split words as the public word tokenizer does."""
+    try:
+        found = WordIds(path).of(pa.array(PROBE))
+    except Exception:  # not a model that can be asked for single pieces
+        return False
+    return all(np.array_equal(a, b) for a, b in zip(found, WholeIds(path).of(pa.array(PROBE)), strict=True))
+
+
+def encoder(path: str) -> WordIds | WholeIds:
+    return WordIds(path) if by_words(path) else WholeIds(path)
+
+
 def cut(lengths: np.ndarray, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and length of each piece, ordered by document and start."""
     full = lengths // capacity
@@ -171,41 +205,38 @@ def numbered(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return number
 
 
-def _pieces(path: str | None, capacity: int, end_id: int, with_ids: bool):
+def _pieces(path: str | None, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, counts, encoder = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), WordIds(path or tokenizer_path())
+        part, counts, ids_of = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path or tokenizer_path())
         for batch in batches:
-            ids, offsets = encoder.of(batch.column("text"), end_id)
+            ids, offsets = ids_of.of(batch.column("text"), end_id)
             lengths = np.diff(offsets)
             doc, start, size = cut(lengths, capacity)
             first = offsets[doc] + start
-            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-            checks = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + size).tolist(), strict=True)]
             classes = capacity // size
-            columns = {"doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(checks, pa.int64()), "doc_tokens": pa.array(lengths[doc]), "k": pa.array(classes), "part": pa.array(np.full(len(doc), part)), "number": pa.array(numbered(classes, counts))}
-            if with_ids:
-                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))
+            columns = {"doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "doc_tokens": pa.array(lengths[doc]), "k": pa.array(classes), "part": pa.array(np.full(len(doc), part)), "number": pa.array(numbered(classes, counts))}
+            ends = np.append(4 * first, 4 * len(ids)).astype(np.int32)
+            columns["ids"] = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4", copy=False))])
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, k (its class), and ids unless they aren't asked for.
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, k (its class), and ids (little-endian, unsigned, of 32 bits).
 
-    path: of the tokenizer's file on every worker; None: the public word tokenizer where it is installed.
+    Where ids aren't selected, they are read for their checksums but go no further. path: of the tokenizer's file on every worker; None: the public word tokenizer where it is installed.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, k long, part long, number long" + ", ids array<int>" * with_ids
-    pieces = materialize(mapped(pick(docs, "doc_id", "text"), _pieces(path, capacity, end_id, with_ids), schema), "pieces")
+    pieces = materialize(mapped(pick(docs, "doc_id", "text"), _pieces(path, capacity, end_id), "doc_id long, start long, length long, doc_tokens long, k long, part long, number long, ids binary"), "pieces")
     counts = pieces.groupBy("k", "part").agg(F.count("*").alias("n"))
     before = materialize(counts.select("k", "part", (F.sum("n").over(Window.partitionBy("k").orderBy("part")) - F.col("n")).alias("before")), "before")
-    placed = lookup(pieces, before, ["k", "part"], "inner", before.count()).withColumn("number", F.col("number") + F.col("before"))
+    placed = lookup(pieces.withColumn("ids_crc32", F.crc32("ids")), before, ["k", "part"], "inner", before.count()).withColumn("number", F.col("number") + F.col("before"))
     placed = placed.withColumn("sequence_id", F.col("k") * F.lit(1 << 40) + F.floor(F.col("number") / F.col("k")))
     # the short classes hold pieces of one length each, so that a piece's place tells its offset; a sequence of the others has few pieces
     short = F.col("k") > math.isqrt(capacity) + 1
     ahead = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     even = placed.filter(short).withColumn("offset", F.col("number") % F.col("k") * F.col("length"))
     uneven = placed.filter(~short).withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
-    return even.unionByName(uneven).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), "k", *["ids"] * with_ids)
+    return even.unionByName(uneven).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), "k", "ids")

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ BATCH_BYTES = 16 << 20
 HOT_KEYS = 10_000
 #: Lookup tables of at most so many rows are broadcast; beyond that the join is shuffled.
 BROADCAST_ROWS = 100_000
+#: Words of 64 bits that a broadcast bitmap of keys has at most: 16 bytes each.
+SIEVE_WORDS = 1 << 20
 #: ASCII white space, as in the class [\\x20\\x09-\\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -39,10 +41,14 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set, as in tests, one of this machine."""
+    """The cluster's shared folder. Where none is set, one of this machine if it runs all tasks, as in tests; else ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault("dir", tempfile.mkdtemp(prefix="llm-"))
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if "dir" not in _own:
+            _own["dir"] = tempfile.mkdtemp(prefix="llm-")
+        base = _own["dir"]
     return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
@@ -106,6 +112,19 @@ def split_inner(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(cold, keys))
 
 
+def sieved(left: DataFrame, keys: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """left's rows that may have a partner among keys (whose columns left has too), and those that have none, which need no shuffle for a join. rows: of keys, counted by the caller.
+
+    What tells them apart is a bitmap of the keys' hashes, broadcast in at most SIEVE_WORDS rows of 64 bits, however many keys there are: with more keys than it has room for, more of left may have a partner.
+    """
+    size = min(SIEVE_WORDS, 1 << (rows // 4).bit_length())
+    hashed = "xxhash64(" + ", ".join(f"`{c}`" for c in keys.columns) + ")"
+    word, bit = F.expr(f"pmod({hashed}, {size}L)").alias("__word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hashed}, 40) & 63L as int))").alias("__bit")
+    bits = keys.select(word, bit).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = left.select("*", word, bit).join(F.broadcast(bits), "__word", "left").withColumn("__may", F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")), F.lit(0)) != 0)
+    return marked.filter("__may").select(*left.columns), marked.filter("not __may").select(*left.columns)
+
+
 # Arrow and numpy
 
 

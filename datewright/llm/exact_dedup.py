@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datewright.llm.common import SPACE, id_array, ids, mapped, materialize, pick, split_join, strings, with_private
+from datewright.llm.common import SPACE, id_array, ids, mapped, materialize, pick, sieved, split_join, strings, with_private
 
 FAN_IN = 8
 #: Distinct digests that a lane's last run may hold: 64 bytes each.
@@ -135,13 +135,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, with all columns, without the rows that aren't kept; of rows with the same doc_id and text, one stays."""
+    """docs, with all columns, without the rows that aren't kept; of rows with the same doc_id and text, one stays. Only rows that may be concerned are shuffled."""
     rows, col, back = with_private(docs)
-    found = materialize(exact_dedup(docs), "found")
+    found = exact_dedup(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.max(~F.col("kept")).alias("gone"), F.count("*").alias("n"))
+    found = materialize(found.filter("gone or n > 1").select("id", "sha", "gone"), "found")
     sha = F.sha2(F.encode(F.translate(F.coalesce(col("text"), F.lit("")), SPACE.decode(), ""), "UTF-8"), 256)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    out = rows.withColumn("sha", sha)
-    out = out.join(gone, col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
-    if not found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").isEmpty():
-        out = out.withColumn("id", col("doc_id")).dropDuplicates(["id", "sha"])
-    return back(out)
+    some, others = sieved(rows.withColumn("id", col("doc_id").cast("long")).withColumn("sha", sha), found.select("id", "sha"), found.count())
+    gone = found.filter("gone").toDF("gone_id", "gone_sha", "gone")
+    kept = some.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti").dropDuplicates(["id", "sha"])
+    return back(kept.unionByName(others))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datewright.llm.common import gather, id_array, ids, mapped, materialize, parts, pick, strings
+from datewright.llm.common import gather, id_array, ids, mapped, materialize, parts, pick, sieved, strings
 
 MIN_DOCS = 5
 MIN_POINTS = 40
@@ -95,17 +95,26 @@ def _sent(min_docs: int, min_points: int):
 
 
 def _streamed(min_docs: int):
-    """Over rows sorted by key, then doc_id from the largest: the places to drop."""
+    """Over rows sorted by key, then doc_id from the largest: the places to drop. Of a key only its largest document and fewer than min_docs others are held at a time."""
 
-    def drops(rows: pa.Table) -> pa.RecordBatch:
-        hi, lo, doc, text_hash = (rows[c].to_numpy() for c in ("hi", "lo", "doc_id", "text_hash"))
+    def decided(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.Table]:
+        """The rows that are lost; and unless it is the last, what the last key needs of its rows when more come."""
+        hi, lo, doc, text_hash, weight = (rows[c].to_numpy() for c in ("hi", "lo", "doc_id", "text_hash", "weight"))
         new = _grouped(hi, lo)
         starts = np.flatnonzero(new)
         key = np.cumsum(new) - 1
-        weight = np.where(_grouped(hi, lo, doc, text_hash) | (rows["weight"].to_numpy() > 1), rows["weight"].to_numpy(), 0)  # a document that two blocks hold counts once
-        lost = (np.add.reduceat(weight, starts)[key] >= min_docs) & (doc != doc[starts][key])
-        out = rows.filter(pa.array(lost)).select(["doc_id", "text_hash", "n_lines", "places"]).combine_chunks()
-        return out.to_batches() or []
+        once = _grouped(hi, lo, doc, text_hash)  # a document that two blocks hold counts once
+        weight = np.where(once | (weight > 1), weight, 0)
+        full = (np.add.reduceat(weight, starts) >= min_docs)[key]
+        others = doc != doc[starts][key]
+        lost = rows.filter(pa.array(full & others))
+        if last:
+            return lost, rows.slice(0, 0)
+        tail = slice(int(starts[-1]), None)
+        if not full[-1]:
+            return lost, rows.slice(tail.start).filter(pa.array(once[tail]))
+        head = rows.slice(tail.start, 1)  # its key is in enough documents: the rest of its rows are decided by the largest alone
+        return lost, head.set_column(head.schema.get_field_index("weight"), "weight", pa.array([min_docs], pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -113,13 +122,11 @@ def _streamed(min_docs: int):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            new = np.flatnonzero(_grouped(rows["hi"].to_numpy(), rows["lo"].to_numpy()))
-            rest = rows.slice(int(new[-1]))
-            if new[-1]:
-                yield from drops(rows.slice(0, int(new[-1])))
-        if rest is not None:
-            yield from drops(rest)
+            lost, rest = decided(pa.concat_tables([rest, rows]).combine_chunks() if rest is not None else rows, False)
+            yield from lost.select(["doc_id", "text_hash", "n_lines", "places"]).combine_chunks().to_batches()
+        if rest is not None and rest.num_rows:
+            lost, _ = decided(rest, True)
+            yield from lost.select(["doc_id", "text_hash", "n_lines", "places"]).combine_chunks().to_batches()
 
     return run
 
@@ -159,11 +166,13 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_points: int = MIN_POINTS) -> DataFrame:
-    """doc_id, n_lines (before), n_dropped, text (of the lines that stay)."""
-    hashed = pick(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    bitmaps = keep_bitmaps(docs, min_docs, min_points)
+    """doc_id, n_lines (before), n_dropped, text (of the lines that stay). Only texts that may lose lines are shuffled."""
+    hashed = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    bitmaps = materialize(keep_bitmaps(docs, min_docs, min_points), "bitmaps")
+    some, others = sieved(hashed, bitmaps.select("doc_id", "text_hash"), bitmaps.count())
     bitmaps = bitmaps.toDF("b_id", "b_hash", "n_dropped", "keep_bitmap")
-    joined = hashed.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), "left").select("doc_id", "text", "n_dropped", "keep_bitmap")
+    joined = some.join(bitmaps, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("text_hash") == F.col("b_hash")), "left").select("doc_id", "text", "n_dropped", "keep_bitmap")
+    joined = joined.unionByName(others.select("doc_id", "text", F.lit(None).cast("long").alias("n_dropped"), F.lit(None).cast("binary").alias("keep_bitmap")))
     return mapped(joined, _applied, "doc_id long, n_lines long, n_dropped long, text string")
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datewright.llm.common import SPACE, lookup, mapped, materialize, per_row, pick, raw, strings, with_private
@@ -46,11 +46,15 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(count_words(batch.column("text")))], ["doc_id", "source", "size"])
 
 
+def _hash(doc_id: Column, seed: int) -> Column:
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, source_null, source_key, size, h."""
     out = mapped(pick(docs, "doc_id", "source", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("source", F.col("source").cast("string")), _sized, "doc_id long, source string, size long")
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, BITS // 4), 16, 10).cast("long")
-    return materialize(out.select("doc_id", F.col("source").isNull().alias("source_null"), F.coalesce("source", F.lit("")).alias("source_key"), "size", h.alias("h")), "sized")
+    return materialize(out.select("doc_id", F.col("source").isNull().alias("source_null"), F.coalesce("source", F.lit("")).alias("source_key"), "size", _hash(F.col("doc_id"), seed).alias("h")), "sized")
 
 
 def budgets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -109,22 +113,33 @@ def thresholds(docs: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     return plan.join(found, _KEY, "left").withColumn("threshold", F.coalesce("threshold", F.when(F.col("budget") > 0, F.lit(1 << BITS)).otherwise(F.lit(0))).cast("long"))
 
 
+def _repeats() -> Column:
+    return F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")
+
+
+def _chosen(rows: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, int]:
+    """Each source's plan and threshold, and how many sources there are. rows: from sized()."""
+    plan = materialize(budgets(rows.groupBy(*_KEY).agg(F.sum("size").alias("source_size")), weights, most), "plan")
+    sources = plan.count()
+    return materialize(thresholds(rows, plan, sources), "thresholds"), sources
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted)."""
     rows = sized(docs, seed)
-    plan = materialize(budgets(rows.groupBy(*_KEY).agg(F.sum("size").alias("source_size")), weights, most), "plan")
-    sources = plan.count()
-    chosen = materialize(thresholds(rows, plan, sources), "thresholds")
+    chosen, sources = _chosen(rows, weights, most)
     out = lookup(rows, chosen, _KEY, "inner", sources)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + (F.col("h") < F.col("threshold")).cast("long"))).alias("taken"), (F.col("whole") + (F.col("h") < F.col("threshold")).cast("long")).alias("repeats"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"), _repeats().alias("repeats"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 0) -> DataFrame:
-    """The mix itself: docs with each document as often as it is taken, under docs' own columns. Documents without words go once with their source's whole repeats."""
+    """The mix itself: docs with each document as often as it is taken, under docs' own columns. Documents without words go like others of their hash. A document's hash and its source's threshold decide, so texts aren't shuffled."""
     rows, col, back = with_private(docs)
-    times = mix(docs, weights, most, seed).groupBy("doc_id").agg(F.max("repeats").alias("repeats")).toDF("t_id", "repeats")
-    out = rows.join(times, col("doc_id").eqNullSafe(F.col("t_id")), "inner").withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest("repeats", F.lit(1)))))
-    return back(out.filter(F.col("again") <= F.col("repeats")))
+    chosen, sources = _chosen(sized(docs, seed), weights, most)
+    source = col("source").cast("string")
+    rows = rows.withColumns({"source_null": source.isNull(), "source_key": F.coalesce(source, F.lit("")), "h": _hash(col("doc_id"), seed)})
+    out = lookup(rows, chosen.select(*_KEY, "whole", "threshold"), _KEY, "inner", sources)
+    return back(out.withColumn("again", F.explode(F.array_repeat(F.lit(1), _repeats().cast("int")))))
 
 
 #: DuckDB SQL for the rows of mix(); the threshold is found by sorting there.

@@ -222,8 +222,8 @@ def test_packing(odd, documents):
         sequences = defaultdict(list)
         lengths = Counter()
         for p in pieces:
-            whole = [x for x in want[p.doc_id] if len(x) == p.doc_tokens and x[p.start : p.start + p.length] == list(p.ids)]
-            assert whole and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+            whole = [x for x in want[p.doc_id] if len(x) == p.doc_tokens and x[p.start : p.start + p.length] == np.frombuffer(p.ids, "<u4").tolist()]
+            assert whole and zlib.crc32(p.ids) == p.ids_crc32
             sequences[p.sequence_id].append((p.offset, p.length))
             lengths[p.doc_id] += p.length
         assert lengths == {i: sum(map(len, x)) for i, x in want.items()}
@@ -260,6 +260,17 @@ def test_word_ids_equal_the_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_other_tokenizers_are_not_cut_short():
+    """Where words can't be encoded one by one, whole texts are."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, offsets = packing.encoder(path).of(pa.array(["Two  Words\n", None, "don't"]), 2)
+    assert isinstance(packing.encoder(path), packing.WholeIds) and isinstance(packing.encoder(packing.tokenizer_path()), packing.WordIds)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[*e.ids, 2] for e in Tokenizer.from_file(path).encode_batch(["Two  Words\n", "", "don't"], add_special_tokens=False)]
+
+
 # Near-duplicates
 
 
@@ -430,32 +441,62 @@ def suffix_brute(rows):
     return out
 
 
-@pytest.mark.parametrize("shard", [3_000_000, 20_000])
-def test_suffix_dedup(spark, documents, monkeypatch, shard):
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
-    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").limit(250).collect()] + [(r[0], r[1]) for r in ODD if len(r[1] or "") < 1000]
-    rows += [(2000, "abc" * 40), (2001, "abc" * 40 + "Z"), (2002, "é" * 60 + "\x00" * 80), (2003, "\x00" * 70), (2004, "q" + "é" * 60)]
+EDGES = [(2000, "abc" * 40), (2001, "abc" * 40 + "Z"), (2002, "é" * 60 + "\x00" * 80), (2003, "\x00" * 70), (2004, "q" + "é" * 60), (None, "abc" * 30), (None, "abc" * 31)]
+
+
+def suffix_same(spark, rows, partitions):
     want = suffix_brute(rows)
-    got = suffix_dedup.suffix_dedup_digests(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ends int").repartition(5)).collect()
+    got = suffix_dedup.suffix_dedup_digests(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, ends int").repartition(partitions)).collect()
     assert len(got) == len(rows)
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in want[r.doc_id] for r in got)
 
 
-def test_suffix_array_order():
-    data = np.frombuffer(b"banana bandana banana band " * 8, np.uint8)
-    padded = np.concatenate([data, np.zeros(64, np.uint8)])
+@pytest.mark.parametrize(("shard", "hot", "fan"), [(3_000_000, 64, 64), (20_000, 64, 64), (20_000, 2, 3), (5_000, 1, 2)])
+def test_suffix_dedup(spark, monkeypatch, shard, hot, fan):
+    """All documents of a small table and the odd rows, very long ones among them; in shards so small that texts meet in lanes, and in trees of several levels."""
+    for name, value in (("SHARD_BYTES", shard), ("HOT_SHARDS", hot), ("FAN_IN", fan)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    suffix_same(spark, [(r.doc_id, r.text) for r in documents.collect()] + [(r[0] if r[0] is None else 1000 + r[0], r[1]) for r in ODD] + EDGES, 5)
+
+
+def test_suffix_hot_passage(spark, monkeypatch):
+    """A passage that lies in every shard, in documents of any order, and near-copies of it."""
+    for name, value in (("SHARD_BYTES", 2_000), ("HOT_SHARDS", 4), ("FAN_IN", 4)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"passage{i}" for i in range(40))
+    own = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+    rows = [(int(i), own(int(rng.integers(20, 80))) + " " + (passage if i % 4 else passage.replace("passage17", f"other{i % 8}")) + " " + own(10)) for i in rng.permutation(300)]
+    suffix_same(spark, rows + [(3, passage), (3, passage), (None, passage[40:200]), (None, passage[41:220])], 7)
+
+
+def test_united_runs():
+    strings = lambda *x: np.array(x, "S3")
+    run = lambda s, d, shard: (s, np.array(d), np.full(len(s), shard), np.arange(len(s)))
+    (text, doc, shard, number), shards, numbers = suffix_dedup.united(run(strings(b"aaa", b"bbb", b"ddd"), [5, 1, 2], 7), run(strings(b"aaa", b"bbb", b"ccc", b"ddd"), [4, 3, 9, 2], 8))
+    assert text.tolist() == [b"aaa", b"bbb", b"ccc", b"ddd", b"ddd"] and doc.tolist() == [4, 1, 9, 2, 2]
+    assert sorted(zip(np.concatenate(shards).tolist(), np.concatenate(numbers).tolist(), strict=True)) == [(7, 0), (8, 1)]
+    assert sorted(zip(shard.tolist(), number.tolist(), strict=True)) == [(7, 1), (7, 2), (8, 0), (8, 2), (8, 3)]
+
+
+@pytest.mark.parametrize("text", [b"banana bandana banana band " * 8, b"a" * 300, bytes(np.random.default_rng(2).choice(list(b"ab"), 2000).tolist()), b"\x00\xff" * 50 + b"\xff\x00\x00" * 40])
+def test_suffix_array_order(text):
+    """Sorted by 64 bytes, or up to the end: beyond it there are less than any byte."""
+    data = np.frombuffer(text, np.uint8)
+    padded = np.concatenate([data, np.zeros(128, np.uint8)])
     words = np.ndarray((len(data),), ">u8", padded.data, 0, (1,)).astype(np.uint64)
     order = suffix_dedup.suffix_array(data, np.arange(len(data)), words)
-    text = padded.tobytes()
-    head = [text[i : i + 64] for i in order]
-    assert head[: len(head)] == sorted(head) or all(a[:48] <= b[:48] for a, b in zip(head, head[1:], strict=False))
-    little = np.ndarray((len(data) + 56,), "<u8", padded.data, 0, (1,)).astype(np.uint64)
+    assert sorted(order.tolist()) == list(range(len(data)))
+    head = [text[i : i + 64] for i in order if i + 64 <= len(data)]
+    assert head == sorted(head)
+    # of those that reach beyond the end only what lies within it is told apart
+    assert all(a[: min(len(a), len(b))] <= b[: min(len(a), len(b))] for a, b in zip([text[i : i + 64] for i in order[:-1]], [text[i : i + 64] for i in order[1:]], strict=True))
+    little = np.ndarray((len(data) + 64,), "<u8", padded.data, 0, (1,)).astype(np.uint64)
     prefix = suffix_dedup.common_prefixes(little, np.arange(len(data)), np.asarray(order), 24)
-    raw = data.tobytes()
     for n, (a, b) in enumerate(zip(order[:-1], order[1:], strict=True), 1):
-        common = next((k for k in range(24) if a + k >= len(raw) or b + k >= len(raw) or raw[a + k] != raw[b + k]), 24)
-        if max(a, b) + 24 < len(raw):
-            assert min(prefix[n], 24) == common
+        if max(a, b) + 24 < len(text):
+            assert min(prefix[n], 24) == next((k for k in range(24) if text[a + k] != text[b + k]), 24)
 
 
 # All of them

@@ -9,8 +9,8 @@ where its anchor does.
    shorter, and the others are compared directly. Neighbours with LENGTH bytes in common form a class, which all documents but its smallest lose.
 3. What is left for the other shards, the strings of each class's smallest document, goes to lanes by anchor, as runs of text that bear the anchor. A lane unites the runs that are the same, byte by byte; only of
    anchors around which runs differ, each string is looked up by binary search among the sorted strings of all shards. The answer is a bitmap.
-4. Strings whose anchor lies in more than HOT_SHARDS shards go another way, each by its own hash, so that no lane gets all text around a common anchor, and up a tree of shards: a node merges the runs of FAN_IN
-   others, in suffix order, by binary search of their strings in each other. All but the smallest document of a string lose it there, and only that goes up, so a passage that lies in every shard meets FAN_IN of its own kind at a time.
+4. Runs whose anchor lies in more than HOT_SHARDS shards go up a tree of shards: a node does what a lane does for about FAN_IN shards, and of the runs that are the same only the smallest document's goes
+   on to the next node, if it has a string left. So a passage that lies in every shard meets about FAN_IN of its own kind at a time.
 
 So text stays with its shard, which is read again for each step, and no task gets all that a common passage occurs in. A shard's messages are as many as the lanes it has anything for, at most as many as its anchors.
 
@@ -29,18 +29,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datewright.llm.common import gather, id_array, ids, mapped, materialize, pick, raw, strings
+from datewright.llm.common import gather, id_array, ids, mapped, materialize, parts, pick, raw, strings
 
 LENGTH = 50
 PIECE = 16
 SHARD_BYTES = 2_000_000
 #: Bytes of text whose anchors a lane gets.
 LANE_BYTES = 8_000_000
-#: An anchor in more shards is hot: its strings go up a tree, in which a node merges so many runs.
+#: An anchor in more shards is hot: its runs go up a tree, of which a node gets about so many shards.
 HOT_SHARDS = FAN_IN = 64
 
-NULL_ID = np.iinfo(np.int64).min
-
 _SHARD = "shard long, docs binary, ends binary, text binary"
 _U = np.uint64
 
@@ -96,7 +94,7 @@ class Shard:
         self.data = _unpack(text, np.uint8)
         self.starts = self.ends - np.diff(self.ends, prepend=0)
         n = self.n = len(self.data)
-        self.padded = np.concatenate([self.data, np.zeros(128, np.uint8)])
+        self.padded = np.concatenate([self.data, np.zeros(128 + PIECE, np.uint8)])
         counts = np.maximum(0, self.ends - self.starts - length + 1)
         edge = np.zeros(n + 1, np.int8)  # 1 where the last bytes of a document begin, at which no string starts
         np.add.at(edge, self.starts + counts, 1)
@@ -108,10 +106,10 @@ class Shard:
     def anchors(self, lanes: int) -> None:
         """For each window its segment, windows of one anchor that follow each other; for each segment its key, the lane in the upper half."""
         n = self.n
-        word = self.words(n + 8).astype(np.uint64)
-        h = word[:n] * _U(0x9E3779B97F4A7C15) + (word[8:] ^ (word[8:] >> _U(29))) * _U(0xC2B2AE3D27D4EB4F)
-        del word
-        h ^= h >> _U(32)
+        word = self.words(n + PIECE)
+        h = np.zeros(n, np.uint64)
+        for o in range(0, PIECE, 8):
+            h = _mixed(h, word[o : o + n])
         h *= _U(0xD6E8FEB86659FD93)
         bits = _U(max(24, n.bit_length()))
         least = ((h >> bits) << bits) | np.arange(n, dtype=np.uint64)
@@ -284,8 +282,8 @@ def common_prefixes(word: np.ndarray, places: np.ndarray, order: np.ndarray, len
     return out
 
 
-def classes(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The smallest doc of the class of each of these windows (by their numbers among the shard's windows), the windows' suffix order, and in that order where a class begins."""
+def classes(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each hot window (by its number among the shard's windows), and the class's smallest doc."""
     starts = shard.windows[hot]
     cover = np.zeros(shard.n + 1, np.int32)
     cover[starts] += 1  # each place once
@@ -301,9 +299,9 @@ def classes(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     new[:1] = True
     begin = np.flatnonzero(new)
     least = np.minimum.reduceat(shard.doc[hot][sorted_], begin) if len(begin) else np.zeros(0, np.int64)
-    out = np.empty(len(hot), np.int64)
-    out[sorted_] = np.repeat(least, np.diff(np.append(begin, len(sorted_))))
-    return out, sorted_, new
+    number = np.empty(len(hot), np.int64)
+    number[sorted_] = np.cumsum(new) - 1
+    return number, least[number]
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
@@ -326,7 +324,6 @@ def _mixed(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _resolved(lanes: int, length: int, groups: int):
     """Per shard: what it can decide by itself, and what it asks of others."""
-    hot_lanes = lanes // 8 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
@@ -336,46 +333,31 @@ def _resolved(lanes: int, length: int, groups: int):
             place = np.searchsorted(keys, shard.key)
             elsewhere, common = elsewhere[place], common[place]
             recurs = np.flatnonzero((elsewhere | (times[place] > 1))[shard.segment]) if len(place) else np.zeros(0, np.int64)
-            least, order, new = classes(shard, recurs) if len(recurs) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+            number, least = classes(shard, recurs) if len(recurs) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             gone = np.zeros(len(shard.windows), bool)
             gone[recurs] = least < shard.doc[recurs]
-            asks = (least == shard.doc[recurs]) & elsewhere[shard.segment[recurs]]
-            climbs = asks & common[shard.segment[recurs]]
-            cold = recurs[asks & ~climbs]
-            lane_of = shard.lane[shard.segment[cold]]
-            cold = cold[np.argsort(lane_of, kind="stable")]  # by lane, then place: steps are mostly 1
-            full, sizes = np.unique(lane_of, return_counts=True)
-            # hot strings, each once: in suffix order by lanes of their own hashes
-            up = climbs[order]
-            hot, number = recurs[order[up]], np.cumsum(new)[up]
-            first = np.concatenate([[True], number[1:] != number[:-1]])[: len(hot)]
-            one, word = shard.windows[hot[first]], shard.words(shard.n + 64)
-            h = np.zeros(len(one), np.uint64)
-            for o in _offsets(length):
-                h = _mixed(h, word[one + o])
-            hot_lane = ((h >> _U(32)) * _U(hot_lanes) >> _U(32)).astype(np.int64)
-            by = np.argsort(hot_lane, kind="stable")
-            hot_full, hot_sizes = np.unique(hot_lane, return_counts=True)
-            rank = np.empty(len(by), np.int32)
-            rank[by] = np.arange(len(by), dtype=np.int32)
-            state = _blob(np.packbits(gone), full, sizes, np.diff(cold, prepend=0).astype(np.int32), hot, rank[np.cumsum(first) - 1])
+            asks = np.flatnonzero((least == shard.doc[recurs]) & elsewhere[shard.segment[recurs]])
+            # of a string that its document has several times, the first asks for all
+            leader = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+            leader[number[asks[::-1]]] = asks[::-1]
+            leader = leader[number[asks]]
+            follows = asks != leader
+            followers, leaders, asks = recurs[asks[follows]], recurs[leader[follows]], recurs[asks[~follows]]
+            # hot anchors have lanes of their own, behind the others: one for each group of shards
+            lane_of = np.where(common, lanes + shard.lane * groups + row["shard"] % 1_000_003 % groups, shard.lane)[shard.segment[asks]]
+            order = np.argsort(lane_of, kind="stable")
+            asks, lane_of = asks[order], lane_of[order]  # by lane, then place: steps are mostly 1
+            full, begin, sizes = np.unique(lane_of, return_index=True, return_counts=True)
             # the shard's own state goes the same way, as a group of its own
-            out: list[tuple[int, bytes]] = [(-1 - row["shard"], state)]
-            for lane, end, size in zip(full.tolist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-                own = cold[end - size : end]
+            out: list[tuple[int, bytes]] = [(-1 - row["shard"], _blob(np.packbits(gone), full, sizes, np.diff(asks, prepend=0).astype(np.int32), np.diff(followers, prepend=0).astype(np.int32), np.diff(leaders, prepend=0).astype(np.int32)))]
+            for lane, first, size in zip(full.tolist(), begin.tolist(), sizes.tolist(), strict=True):
+                own = asks[first : first + size]
                 at, segment = shard.windows[own], shard.segment[own]
-                begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (segment[1:] != segment[:-1])]))
-                run_size = np.diff(np.append(begin, len(own)))
-                text = shard.data[gather(at[begin], run_size + length - 1)]
-                out.append((lane, _blob(run_size.astype("<u2"), (shard.anchor[segment[begin]] - at[begin]).astype("<u2"), shard.doc[own[begin]], text)))
-                if len(out) >= 256:
-                    yield _sent(row["shard"], out)
-                    out = []
-            group = row["shard"] % 1_000_003 % groups
-            for lane, end, size in zip(hot_full.tolist(), np.cumsum(hot_sizes).tolist(), hot_sizes.tolist(), strict=True):
-                own = by[end - size : end]
-                text = shard.data[gather(one[own], np.full(size, length))]
-                out.append((lanes + lane * groups + group, _blob(shard.doc[hot[first]][own], np.full(size, row["shard"]), np.arange(end - size, end), text)))
+                start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (segment[1:] != segment[:-1])]))
+                run_size = np.diff(np.append(start, len(own)))
+                text = shard.data[gather(at[start], run_size + length - 1)]
+                hot = [np.full(len(start), row["shard"]), first + start] if lane >= lanes else []
+                out.append((lane, _blob(run_size.astype("<u2"), (shard.anchor[segment[start]] - at[start]).astype("<u2"), shard.doc[own[start]], text, *hot)))
                 if len(out) >= 256:
                     yield _sent(row["shard"], out)
                     out = []
@@ -416,9 +398,8 @@ def _least_docs(word: np.ndarray, place: np.ndarray, doc: np.ndarray, length: in
     return out
 
 
-def _lane(blobs: list[bytes], length: int) -> list[np.ndarray]:
-    """A lane's runs of text from all shards: for each of them, which of its strings a smaller document has."""
-    read = [_unblob(b, "<u2", "<u2", "<i8", "u1") for b in blobs]
+def _united(read: list[list[np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of text from all shards: which of their strings a smaller document has; which runs are the smallest document's of those that are the same; where each run's text begins, and the text."""
     size, anchor, doc = (np.concatenate([r[i] for r in read]).astype(np.int64) for i in range(3))
     span = size + length - 1
     start = np.cumsum(span) - span
@@ -459,60 +440,34 @@ def _lane(blobs: list[bytes], length: int) -> list[np.ndarray]:
         runs = np.flatnonzero(several[class_of])
         ends = np.cumsum(size)
         least_of[gather(ends[runs] - size[runs], size[runs])] = docs[gather(at[class_of[runs]], size[runs])]
-    lost = least_of < np.repeat(doc, size)
-    ends = np.cumsum([int(r[0].sum(dtype=np.int64)) for r in read])
-    return [lost[e - int(r[0].sum(dtype=np.int64)) : e] for e, r in zip(ends, read, strict=True)]
+    return least_of < np.repeat(doc, size), least[class_of] == doc, start, padded
 
 
-Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # strings in suffix order, and of each its doc, shard and number there
-
-
-def united(x: Run, y: Run) -> tuple[Run, list[np.ndarray], list[np.ndarray]]:
-    """Two runs merged by binary search of their strings in each other, without those that a smaller document has; and these: their shards and numbers.
-
-    Strings of the same doc_id stay, as they don't remove each other, but of the smallest doc_id there can be one will do.
-    """
-    places, keep, shards, numbers = [], [], [], []
-    for own, other, second in ((x, y, False), (y, x, True)):
-        at = np.searchsorted(other[0], own[0])
-        found = np.minimum(at, max(0, len(other[0]) - 1))
-        equal = other[0][found] == own[0] if len(other[0]) else np.zeros(len(own[0]), bool)
-        theirs = other[1][found] if len(other[0]) else own[1]
-        lost = equal & (theirs < own[1])
-        shards.append(own[2][lost])
-        numbers.append(own[3][lost])
-        kept = ~lost & ~(equal & (own[1] == NULL_ID) & (theirs == NULL_ID) & second)
-        keep.append(kept)
-        places.append(at[kept])
-    one, two = (tuple(c[k] for c in run) for run, k in ((x, keep[0]), (y, keep[1])))
-    at = np.searchsorted(one[0], two[0])
-    return tuple(np.insert(c, at, d) for c, d in zip(one, two, strict=True)), shards, numbers
-
-
-def _climbed(blobs: list[bytes], length: int) -> tuple[Run, dict[int, np.ndarray]]:
-    """The runs of a node's children, merged two by two; and by shard, the numbers of strings that are lost."""
-    runs: list[Run] = []
-    for blob in blobs:
-        doc, shard, number, text = _unblob(blob, "<i8", "<i8", "<i8", f"S{length}")
-        runs.append((text, doc, shard, number))
-    shards, numbers = [], []
-    while len(runs) > 1:
-        merged = []
-        for i in range(0, len(runs) - 1, 2):
-            run, s, n = united(runs[i], runs[i + 1])
-            merged.append(run)
-            shards += s
-            numbers += n
-        runs = merged + runs[len(merged) * 2 :]
-    shard, number = np.concatenate([np.zeros(0, np.int64), *shards]), np.concatenate([np.zeros(0, np.int64), *numbers])
-    if not len(shard):
-        return runs[0], {}
-    order = np.argsort(shard, kind="stable")
-    full, begin = np.unique(shard[order], return_index=True)
-    return runs[0], dict(zip(full.tolist(), np.split(number[order], begin[1:]), strict=True))
-
-
-#: lane: of what was asked, or HOT, whose bits are numbers of strings; null for a shard's state. up: a node's run, which goes on to the next.
+def _cold(blobs: list[bytes], length: int) -> list[bytes]:
+    """A lane's answers, a bitmap for each shard."""
+    read = [_unblob(b, "<u2", "<u2", "<i8", "u1") for b in blobs]
+    lost = _united(read, length)[0]
+    cuts = np.cumsum([int(r[0].sum(dtype=np.int64)) for r in read])[:-1]
+    return [np.packbits(x).tobytes() for x in np.split(lost, cuts)]
+
+
+def _climbed(blobs: list[bytes], length: int) -> tuple[bytes, dict[int, bytes]]:
+    """What a node sends on: of runs that are the same the smallest document's, if it has a string that isn't lost; and by shard, the numbers of the strings that are lost."""
+    read = [_unblob(b, "<u2", "<u2", "<i8", "u1", "<i8", "<i8") for b in blobs]
+    lost, smallest, start, text = _united(read, length)
+    size, anchor, doc, shard, at = (np.concatenate([r[i] for r in read]) for i in (0, 1, 2, 4, 5))
+    size = size.astype(np.int64)
+    row, place = parts(size)
+    gone, number = shard[row[lost]], (at[row] + place)[lost]
+    order = np.argsort(gone, kind="stable")
+    full, begin = np.unique(gone[order], return_index=True)
+    answers = {s: _pack(x) for s, x in zip(full.tolist(), np.split(number[order], begin[1:]), strict=True)} if len(full) else {}
+    left = np.bincount(row[~lost], minlength=len(size)) > 0
+    on = np.flatnonzero(smallest & left)
+    return _blob(size[on].astype("<u2"), anchor[on], doc[on], text[gather(start[on], size[on] + length - 1)], shard[on], at[on]), answers
+
+
+#: lane: of what was asked, or HOT, whose bits are numbers of strings; null for a shard's state. up: where a node's runs go on to.
 HOT = -1
 _MERGED = "lane long, shard long, bits binary, up long"
 
@@ -529,13 +484,12 @@ def _merged(lanes: int, length: int, groups: int, fan: int):
         if lane < 0:
             return table_of([None] * n, shards, blobs, [None] * n)
         if lane < lanes:
-            return table_of([lane] * n, shards, [np.packbits(a).tobytes() for a in _lane(blobs, length)], [None] * n)
-        run_, lost = _climbed(blobs, length)
-        out = table_of([HOT] * len(lost), list(lost), [x.astype("<i8").tobytes() for x in lost.values()], [None] * len(lost))
+            return table_of([lane] * n, shards, _cold(blobs, length), [None] * n)
+        runs, lost = _climbed(blobs, length)
+        out = table_of([HOT] * len(lost), list(lost), list(lost.values()), [None] * len(lost))
         if groups > 1:
             hot, group = divmod(lane - lanes, groups)
-            above = -(-groups // fan)
-            out = pa.concat_tables([out, table_of([None], [None], [_blob(run_[1], run_[2], run_[3], run_[0])], [lanes + hot * above + group // fan])])
+            out = pa.concat_tables([out, table_of([None], [None], [runs], [lanes + hot * -(-groups // fan) + group // fan])])
         return out
 
     return run
@@ -544,14 +498,14 @@ def _merged(lanes: int, length: int, groups: int, fan: int):
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard in _rows_of(batches, length):
-            bits, full, sizes, steps, hot, number = _unblob(row["state"], "u1", "<i8", "<i8", "<i4", "<i8", "<i4")
+            bits, full, sizes, steps, followers, leaders = _unblob(row["state"], "u1", "<i8", "<i8", "<i4", "<i4", "<i4")
             gone = np.unpackbits(bits, count=len(shard.windows)).astype(bool)
-            gone[np.cumsum(steps, dtype=np.int64)] |= _answers([x for x in row["found"] or [] if x["lane"] != HOT], full, sizes)[0]
-            lost = np.zeros(int(number.max(initial=-1)) + 1, bool)
+            asks = np.cumsum(steps, dtype=np.int64)
+            gone[asks] |= _answers([x for x in row["found"] or [] if x["lane"] != HOT], full, sizes)[0]
             for x in row["found"] or []:
                 if x["lane"] == HOT:
-                    lost[np.frombuffer(x["bits"], "<i8")] = True
-            gone[hot[lost[number]]] = True
+                    gone[asks[_unpack(x["bits"], "<i8")]] = True
+            gone[np.cumsum(followers, dtype=np.int64)] |= gone[np.cumsum(leaders, dtype=np.int64)]
             edge = np.zeros(shard.n + 1, np.int32)
             at = shard.windows[gone]
             edge[at] += 1  # each place once

@@ -471,15 +471,6 @@ def test_suffix_hot_passage(spark, monkeypatch):
     suffix_same(spark, rows + [(3, passage), (3, passage), (None, passage[40:200]), (None, passage[41:220])], 7)
 
 
-def test_united_runs():
-    strings = lambda *x: np.array(x, "S3")
-    run = lambda s, d, shard: (s, np.array(d), np.full(len(s), shard), np.arange(len(s)))
-    (text, doc, shard, number), shards, numbers = suffix_dedup.united(run(strings(b"aaa", b"bbb", b"ddd"), [5, 1, 2], 7), run(strings(b"aaa", b"bbb", b"ccc", b"ddd"), [4, 3, 9, 2], 8))
-    assert text.tolist() == [b"aaa", b"bbb", b"ccc", b"ddd", b"ddd"] and doc.tolist() == [4, 1, 9, 2, 2]
-    assert sorted(zip(np.concatenate(shards).tolist(), np.concatenate(numbers).tolist(), strict=True)) == [(7, 0), (8, 1)]
-    assert sorted(zip(shard.tolist(), number.tolist(), strict=True)) == [(7, 1), (7, 2), (8, 0), (8, 2), (8, 3)]
-
-
 @pytest.mark.parametrize("text", [b"banana bandana banana band " * 8, b"a" * 300, bytes(np.random.default_rng(2).choice(list(b"ab"), 2000).tolist()), b"\x00\xff" * 50 + b"\xff\x00\x00" * 40])
 def test_suffix_array_order(text):
     """Sorted by 64 bytes, or up to the end: beyond it there are less than any byte."""

@@ -1,11 +1,11 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 A text's words, without anything but letters and in lower case, give n-grams of 1 to 4 characters, word ends included. The model is a matrix of
-log-probabilities, a row a bucket and a column a language: BUCKETS rows, so that it can be broadcast. A batch is scored sparsely: the n-grams of its distinct
-words are looked up once, and each text adds up its words' rows.
+log-probabilities, a row a bucket and a column a language, of at most CELLS numbers, so that it can be broadcast: with more languages than 256 there are fewer buckets. A batch is scored sparsely: it is a matrix of
+texts and distinct words, with how often each text has each word, times the words' rows of log-probabilities, which the n-grams of each distinct word add up to once; languages go through it LANGUAGES at a time.
 
 Training takes labelled rows by a hash of doc_id, about TRAIN_ROWS of a language at most (all where there are fewer); every text is predicted as a whole.
-There can be MAX_LANGUAGES languages at most.
+More languages than MAX_LANGUAGES, some ten times as many as there are, are a ValueError: then lang doesn't hold languages.
 
 Defined results: null text and text without a letter get `und` and score 0. Rows without lang or doc_id aren't learned from; a null doc_id isn't held out. If
 nothing can be learned, all is `und`. Repeated rows count each. An empty table gives an empty table. Extra columns are ignored.
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from datewright.llm.common import mapped, pick, with_private, words
 
-BUCKETS = 1 << 16
+BUCKETS, CELLS = 1 << 16, 1 << 24
+#: Languages that a batch is scored by at a time.
+LANGUAGES = 32
 ORDERS = (1, 2, 3, 4)
 TRAIN_ROWS = 10_000
-MAX_LANGUAGES = 1000
+MAX_LANGUAGES = 1 << 16
 SMOOTHING = 0.5
 #: n-grams that count as evidence for the score at most: neighbouring n-grams say much the same.
 EVIDENCE = 60
@@ -36,7 +38,12 @@ UNKNOWN = "und"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def grams(distinct: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def buckets_for(languages: int) -> int:
+    """A power of two."""
+    return min(BUCKETS, 1 << max(0, (CELLS // max(1, languages)).bit_length() - 1))
+
+
+def grams(distinct: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: the word (its index) and bucket of each n-gram, by word."""
     plain = pc.utf8_lower(pc.replace_substring_regex(distinct.cast(pa.string()), r"[^\p{L}]+", ""))
     points = np.frombuffer((" " + " ".join(plain.to_pylist()) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -54,7 +61,7 @@ def grams(distinct: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             h = (h + points[k : m + k]) * _MIX[k]
             h ^= h >> np.uint64(31)
         at = np.flatnonzero(good)
-        yield word[at], (h[at] % np.uint64(BUCKETS)).astype(np.int64)
+        yield word[at], (h[at] % np.uint64(buckets)).astype(np.int64)
 
 
 @dataclass
@@ -64,22 +71,33 @@ class Model:
     prior: np.ndarray
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
-    rows: dict[str, int] = {}
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for lang in dict.fromkeys(langs):
-            own = pa.array([i for i, x in enumerate(langs) if x == lang])
-            distinct, codes, _ = words(batch.column("text").take(own))
-            times = np.bincount(codes, minlength=len(distinct)).astype(np.float64)
-            into = total.setdefault(lang, np.zeros(BUCKETS))
-            for word, bucket in grams(distinct):
-                into += np.bincount(bucket, weights=times[word], minlength=BUCKETS)
-            rows[lang] = rows.get(lang, 0) + len(own)
-    for lang, sums in total.items():
-        full = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(full) + 1), pa.string()), pa.array(np.append(full, -1)), pa.array(np.append(sums[full], rows[lang]).astype(np.int64))], ["lang", "bucket", "n"])
+def _counted(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        rows: dict[str, int] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, sums in total.items():
+                full = np.flatnonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(full) + 1), pa.string()), pa.array(np.append(full, -1)), pa.array(np.append(sums[full], rows[lang]).astype(np.int64))], ["lang", "bucket", "n"])
+            total.clear()
+            rows.clear()
+
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for lang in dict.fromkeys(langs):
+                own = pa.array([i for i, x in enumerate(langs) if x == lang])
+                distinct, codes, _ = words(batch.column("text").take(own))
+                times = np.bincount(codes, minlength=len(distinct)).astype(np.float64)
+                into = total.setdefault(lang, np.zeros(buckets))
+                for word, bucket in grams(distinct, buckets):
+                    into += np.bincount(bucket, weights=times[word], minlength=buckets)
+                rows[lang] = rows.get(lang, 0) + len(own)
+                if len(total) >= 256:  # what has been counted goes out: it is added up anyway
+                    yield from out()
+        yield from out()
+
+    return run
 
 
 def train(docs: DataFrame, usable: Column | None = None, most: int = TRAIN_ROWS) -> Model:
@@ -92,12 +110,13 @@ def train(docs: DataFrame, usable: Column | None = None, most: int = TRAIN_ROWS)
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, most / n)))])
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("text", "lang")
-    sums = mapped(sample, _counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    buckets = buckets_for(len(sizes))
+    share = F.broadcast(docs.sparkSession.createDataFrame([(lang, min(1.0, most / n)) for lang, n in sizes.items()], "lang string, share double"))  # MAX_LANGUAGES rows at most
+    sample = rows.join(share, "lang").filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("text", "lang")
+    sums = mapped(sample, _counted(buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = sums.toArrow()  # a number for each language and bucket at most
     languages = sorted(set(table["lang"].to_pylist()))
-    counts, seen = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
+    counts, seen = np.zeros((buckets, len(languages))), np.zeros(len(languages))
     column = np.searchsorted(np.array(languages, object), np.array(table["lang"].to_pylist(), object)) if languages else np.zeros(0, int)
     bucket, n = table["bucket"].to_numpy(), table["n"].to_numpy()
     counts[bucket[bucket >= 0], column[bucket >= 0]] = n[bucket >= 0]
@@ -114,20 +133,29 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _times(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matrix of texts and words without its zeros: the distinct words of each text, how often it has them, and offsets by text."""
+    n = len(offsets) - 1
+    key = np.sort((np.repeat(np.arange(n), np.diff(offsets)) << 32) | codes)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))[: len(key)]
+    return key[first] & 0xFFFFFFFF, np.diff(np.append(first, len(key))), np.searchsorted(key[first] >> 32, np.arange(n + 1))
+
+
 def predict(text: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     distinct, codes, offsets = words(text)
-    n, k = len(text), len(model.languages)
-    if not k or not len(distinct):
+    n, k, number = len(text), len(model.languages), len(distinct)
+    if not k or not number:
         return [UNKNOWN] * n, np.zeros(n)
-    by_word, number = np.zeros((len(distinct), k + 1)), len(distinct)
-    for word, bucket in grams(distinct):
-        cuts = np.searchsorted(word, np.arange(number + 1))
-        by_word[:, :k] += _sums(model.log_p[bucket], cuts)
-        by_word[:, k] += np.diff(cuts)
-    sums = _sums(by_word[codes], offsets)
-    found = sums[:, k]
-    logits = model.prior + sums[:, :k] * (np.minimum(found, EVIDENCE) / np.maximum(found, 1))[:, None]
-    best = np.argmax(sums[:, :k] + model.prior, axis=1)
+    word, times, ends = _times(codes, offsets)
+    orders = [(bucket, np.searchsorted(w, np.arange(number + 1))) for w, bucket in grams(distinct, len(model.log_p))]
+    found = _sums(sum(np.diff(cuts) for _, cuts in orders)[word][:, None] * times[:, None].astype(float), ends)[:, 0]
+    sums = np.empty((n, k))
+    for at in range(0, k, LANGUAGES):
+        some = np.ascontiguousarray(model.log_p[:, at : at + LANGUAGES])
+        by_word = sum(_sums(some[bucket], cuts) for bucket, cuts in orders)
+        sums[:, at : at + LANGUAGES] = _sums(by_word[word] * times[:, None], ends)
+    logits = model.prior + sums * (np.minimum(found, EVIDENCE) / np.maximum(found, 1))[:, None]
+    best = np.argmax(sums + model.prior, axis=1)
     odds = np.exp(logits - logits.max(1, keepdims=True))
     score = odds[np.arange(n), best] / odds.sum(1)
     return [model.languages[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)], np.where(found > 0, score, 0.0)

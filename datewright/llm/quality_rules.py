@@ -83,5 +83,32 @@ def quality_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     judged = lookup(counted, hosts.select("host_null", "host", F.col("shrunk").alias("host_rate"), F.col("verdict").alias("host_verdict")), ["host_null", "host"], "inner", hosts.count())
     strict = F.when(F.col("host_verdict") == "rejected", F.lit(False)).when(F.col("host_verdict") == "trusted", F.col("n_failed") < 2).otherwise(F.col("n_failed") < 1)
     return judged.withColumn("kept", ~F.col("base_failed") & strict).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed", "host_rate", "host_verdict", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("n_failed").cast("long").alias("n_failed"), F.round("host_rate", 9).alias("host_rate"), "host_verdict", "kept"
     )
+
+
+#: DuckDB SQL for the rows of quality_rules().
+ORACLE_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
+w as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from d),
+windows as (select rid, i, w[i:i + 2] as key from (select rid, w, unnest(range(1, len(w) - 1)) as i from w)),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, key) as n from windows) where n > 1),
+repeated as (select rid, count(distinct i + k) as n from (select rid, i, unnest([0, 1, 2]) as k from twice) group by rid),
+lines as (select rid, count(*) as n, count(*) - count(distinct line) as dup from (select rid, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
+counted as (
+  select d.rid, doc_id, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols,
+         coalesce(l.n, 0) as n_lines, coalesce(l.dup, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, len(regexp_extract_all(text, '[!?#*$%&|<>@^~=+_\\{}\[\]]')) as n_marks, len(regexp_extract_all(text, '[A-Z]')) as n_upper, len(regexp_extract_all(text, '[a-z]')) as n_lower
+  from d join w on w.rid = d.rid left join lines l on l.rid = d.rid left join repeated r on r.rid = d.rid),
+ruled as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+         (10 * n_symbols > n_words)::bigint + (3 * n_marks > n_words)::bigint + (n_lines >= 3 and 2 * n_dup_lines > n_lines)::bigint + (word_chars < 2 * n_words or word_chars > 15 * n_words)::bigint
+         + (2 * n_upper > n_upper + n_lower)::bigint + (100 * n_repeat_words > 30 * n_words)::bigint as n_failed
+  from counted),
+hosts as (select source, count(*)::double as n, count(*) filter (base_failed or n_failed > 0)::double as f from ruled group by source),
+overall as (select sum(f) / sum(n) as mean, count(*) as hosts, sum(f * f / n) as squares, sum(f) as f, sum(n) - sum(n * n) / sum(n) as spread from hosts),
+prior as (select mean, case when spread > 0 and squares - f * mean - (hosts - 1) * mean * (1 - mean) > 0 then mean * (1 - mean) * spread / (squares - f * mean - (hosts - 1) * mean * (1 - mean)) - 1 else 1000 end as strength from overall),
+verdicts as (select source, (f + mean * greatest(2, least(1000, strength))) / (n + greatest(2, least(1000, strength))) as rate from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_failed, round(rate, 9) as host_rate, case when rate >= 0.9 then 'rejected' when rate <= 0.02 then 'trusted' else 'ordinary' end as host_verdict,
+       not base_failed and rate < 0.9 and n_failed < case when rate <= 0.02 then 2 else 1 end as kept
+from ruled r join verdicts v on v.source is not distinct from r.source
+"""

@@ -89,4 +89,4 @@ from judged group by doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op5_mixing": mixing.ORACLE_SQL, "op8_chat_formatting": chat_format.ORACLE_SQL, "op9_line_dedup": _OP9}
+    return {"op2_exact_dedup": _OP2, "op4_quality_rules": quality_rules.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op8_chat_formatting": chat_format.ORACLE_SQL, "op9_line_dedup": _OP9}

@@ -148,6 +148,18 @@ def test_quality_rules(odd, documents):
             assert not (r.kept and r.base_failed)
 
 
+def test_quality_rules_sql(spark, sf, documents):
+    """The verdicts too, over the whole table."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = quality_rules.quality_rules(documents)
+    want = c.sql(quality_rules.ORACLE_SQL)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r[n] for n in got.columns) for r in got.collect()) == Counter(want.select(", ".join(got.columns)).fetchall())
+
+
 def test_host_rates_shrink(spark):
     good, bad = "plain words that differ from each other by " + " ".join(f"number{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)), "short"
     rows = [(i, good if i % 10 else bad, "big") for i in range(1000)] + [(2000, bad, "tiny")] + [(3000 + i, bad, "spam") for i in range(400)]
@@ -173,6 +185,60 @@ def test_quality_classifier_finds_junk(spark, sf, documents):
     assert sum(junk) / len(junk) < 0.15
 
 
+def em_brute(votes, rounds=100):
+    """Expectation-maximisation over documents, one by one: the probability that each is good."""
+    n = len(votes[0])
+    p = [0.05 if quality_classifier.BAD in v else 0.95 for v in votes]
+    for _ in range(rounds):
+        prior = [(sum(1 - x for x in p) + 1) / (len(p) + 2), (sum(p) + 1) / (len(p) + 2)]
+        table = [[[1.0] * 3, [1.0] * 3] for _ in range(n)]
+        for v, x in zip(votes, p, strict=True):
+            for i, vote in enumerate(v):
+                table[i][0][vote] += 1 - x
+                table[i][1][vote] += x
+        new = []
+        for v in votes:
+            odds = [prior[y] for y in (0, 1)]
+            for i, vote in enumerate(v):
+                odds = [odds[y] * table[i][y][vote] / sum(table[i][y]) for y in (0, 1)]
+            new.append(odds[1] / sum(odds))
+        if max(abs(a - b) for a, b in zip(new, p, strict=True)) < 1e-9:
+            return new
+        p = new
+    return p
+
+
+def test_quality_classifier_brute_force(spark):
+    """Posterior labels and scores of a small table, whose documents are all trained on, by loops and dictionaries."""
+    import regex
+    import xxhash
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:150] + [(r[0] and 1000 + r[0], r[1]) for r in ODD if len(r[1] or "") < 1000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    voted, model = quality_classifier.weak_labels(docs)
+    patterns = {r.doc_id: r.pattern for r in voted.collect()}
+    found = {i: [p // 3**k % 3 for k in range(len(model.names))] for i, p in patterns.items()}
+    votes = [[patterns_of // 3**k % 3 for k in range(len(model.names))] for patterns_of in (r.pattern for r in voted.collect())]
+    want = em_brute(votes)
+    got = model.posterior(np.array(votes))
+    assert np.abs(got - want).max() < 1e-6
+    weights = quality_classifier.train(docs, voted, model, len(rows))
+
+    def shape(word):
+        return regex.sub(r"\p{N}+", "0", regex.sub(r"[\p{Ll}\p{Lo}\p{Lm}\p{Lt}]+", "a", regex.sub(r"\p{Lu}+", "A", word)))
+
+    for r in quality_classifier.quality_classifier(docs).collect():
+        texts = [t for i, t in rows if i == r.doc_id]
+        ok = []
+        for text in texts:
+            w = WORDS.findall(text or "")
+            total = sum(weights[xxhash.xxh3_64_intdigest(x) % quality_classifier.WORD_BUCKETS] + weights[quality_classifier.WORD_BUCKETS + xxhash.xxh3_64_intdigest(shape(x)) % quality_classifier.SHAPE_BUCKETS] for x in w)
+            total += weights[quality_classifier.AGAIN] * sum(a == b for a, b in zip(w, w[1:], strict=False))
+            ok.append(1 / (1 + np.exp(-(total / len(w) + weights[-1]))) if w else 0.0)
+        assert any(abs(r.score - x) < 1e-9 for x in ok) and r.kept == (r.score >= 0.5)
+    assert set(found) == {i for i, _ in rows}
+
+
 def test_label_model_estimates_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.8
@@ -198,6 +264,61 @@ def test_language_id_held_out(documents):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) / len(held) > 0.98
 
 
+def bayes_brute(train, texts):
+    """Naive Bayes by dictionaries: the language of each text and its margin over the next."""
+    mix = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
+
+    def grams(text):
+        out = Counter()
+        for word in WORDS.findall(text or ""):
+            plain = "".join(c for c in word if c.isalpha()).lower()
+            marked = f" {plain} "
+            for n in (1, 2, 3, 4):
+                for i in range(len(marked) - n + 1):
+                    g = marked[i : i + n]
+                    if g.strip() and not (n == 1 and g == " "):
+                        h = n
+                        for k, c in enumerate(g):
+                            h = (h + ord(c)) * mix[k] % 2**64
+                            h ^= h >> 31
+                        out[h % language_id.BUCKETS] += 1
+        return out
+
+    counts, rows = defaultdict(Counter), Counter()
+    for text, lang in train:
+        counts[lang] += grams(text)
+        rows[lang] += 1
+    total = {lang: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for lang, c in counts.items()}
+    out = []
+    for text in texts:
+        own = grams(text)
+        scores = {lang: np.log(rows[lang] / sum(rows.values())) + sum(n * np.log((counts[lang][g] + language_id.SMOOTHING) / total[lang]) for g, n in own.items()) for lang in counts}
+        ranked = sorted(scores.values(), reverse=True)
+        out.append((max(scores, key=scores.get) if own else "und", ranked[0] - ranked[1]))
+    return out
+
+
+@pytest.mark.parametrize("at_a_time", [32, 1])
+def test_language_id_brute_force(spark, monkeypatch, at_a_time):
+    monkeypatch.setattr(language_id, "LANGUAGES", at_a_time)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if len(r.text or "") < 3000][:120]
+    rows += [(5000 + i, t, None) for i, t in enumerate(["der Zug", "le train", "x", "Ünïcödé ÅÉ", "12 3"])]
+    train = [(t, x) for i, t, x in rows if x is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = dict(zip((i for i, *_ in rows), bayes_brute(train, [t for _, t, _ in rows]), strict=True))
+    got = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == want[r.doc_id][0] or want[r.doc_id][1] < 1e-2 for r in got)
+
+
+def test_language_id_many_languages(spark):
+    """More languages than a full matrix has room for."""
+    assert language_id.buckets_for(4) == language_id.BUCKETS and language_id.buckets_for(1000) == 1 << 14
+    names = [f"l{i:03d}" for i in range(300)]
+    rows = [(4 * i + k, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 5, name) for i, name in enumerate(names) for k in range(4)]
+    got = language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: name for i, _, name in rows}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) > 0.95 * len(got)
+
+
 def test_language_id_odd(odd, empty):
     got = {r.doc_id: r for r in language_id.language_id(odd).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 9)] == ["und"] * 4 and got[9].score == 0

@@ -17,6 +17,11 @@ HARD_FLAGS = ("camera_epoch", "future_date", "taken_after_file_write", "clock_re
 SOFT_FLAGS, NOTE_FLAGS = ("provider_spread",), ("timezone_shift",)
 CROSS_FLAGS = ("clock_reset_run", "identical_timestamp_cluster", "sequence_outlier", "far_from_neighbours")
 
+#: What becomes of a file that is copied, as journals say it.
+OUTCOMES = ("copied", "duplicate", "already_present", "failed")
+#: Names that are tried at a destination.
+MAX_VARIANTS = 10_000
+
 #: The clock of date rules is always an argument; queries use this one.
 NOW = datetime(2001, 1, 1)
 

@@ -125,6 +125,25 @@ def human_bytes(size: Column) -> Column:
     return out
 
 
+def format_bytes(size: Column) -> Column:
+    """1024 steps to TB, one decimal below 10 and none beyond."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for i, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
+        value = size.cast("double") / 1024**i
+        out = F.when(size >= 1024**i, F.when(value < 10, F.format_string(f"%.1f {unit}", value)).otherwise(F.format_string(f"%.0f {unit}", value))).otherwise(out)
+    return out
+
+
+def hashable(ext: Column) -> Column:
+    """Whether a file's picture can be fingerprinted."""
+    return ext.isin(HASHABLE)
+
+
+def is_picture(ext: Column) -> Column:
+    """Whether a file goes to the picture models."""
+    return ext.isin(IS_PICTURE)
+
+
 def humanise_shift(seconds: Column) -> Column:
     """Signed days, hours and minutes."""
     n = F.abs(seconds)

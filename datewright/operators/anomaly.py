@@ -11,6 +11,9 @@ from datewright.functions.scalars import counter, days_between, parent
 from datewright.operators.resolve import any_hard, describe, flag, severity
 from datewright.schema import FLAG
 
+#: Destination folders that a suspect group shows.
+DESTINATION_FOLDERS = 24
+
 
 def identical_clusters(files: DataFrame) -> DataFrame:
     """Adds cluster_files: how many files of the folder share the date, if at least CLUSTER_MIN."""
@@ -90,15 +93,19 @@ def suspects(plan: DataFrame) -> DataFrame:
     return plan.filter(any_hard(F.col("flags")))
 
 
-def suspect_groups(plan: DataFrame, root: str) -> DataFrame:
-    """Files with a hard flag by folder and the first such flag: files, earliest, latest, reason (of the first file), destination_folders (24 at most), order by files, then key."""
+def suspect_members(plan: DataFrame) -> DataFrame:
+    """Every file with a hard flag under its group's key: key, folder, kind (of its first such flag), reason, and plan's columns source, destination, taken, ordinal. A group's files are rows, however many they are."""
     first = F.get(F.filter("flags", lambda f: severity(f["flag"]) == "hard"), F.lit(0))
     rows = plan.withColumn("first", first).filter("first is not null").withColumn("folder", parent(F.col("source"))).withColumn("kind", F.col("first.flag")).withColumn("reason", describe(F.col("first")))
-    out = rows.groupBy("folder", "kind").agg(
-        F.count("*").alias("files"),
-        F.min("taken").alias("earliest"),
-        F.max("taken").alias("latest"),
-        F.min_by("reason", "ordinal").alias("reason"),
-        F.slice(F.array_sort(F.collect_set(relative_folder(F.col("destination"), root))), 1, 24).alias("destination_folders"),
-    )
-    return out.withColumn("key", F.concat("folder", F.lit("::"), "kind")).orderBy(F.desc("files"), "key")
+    return rows.select(F.concat("folder", F.lit("::"), "kind").alias("key"), "folder", "kind", "reason", "source", "destination", "taken", "ordinal")
+
+
+def suspect_groups(plan: DataFrame, root: str, most: int = DESTINATION_FOLDERS) -> DataFrame:
+    """Files with a hard flag by folder and the first such flag: files, earliest, latest, reason (of the first file), destination_folders (the first so many), ordered by files, then key. Their sources are suspect_members()."""
+    rows = suspect_members(plan).withColumn("to", relative_folder(F.col("destination"), root))
+    # destination folders are counted before groups are made, and cut before they are gathered
+    parts = rows.groupBy("key", "folder", "kind", "to").agg(F.count("*").alias("files"), F.min("taken").alias("earliest"), F.max("taken").alias("latest"), F.min(F.struct("ordinal", "reason")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("to"))
+    shown = parts.select("key", "to").withColumn("n", place).filter(F.col("n") <= most).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "to"))), lambda x: x["to"]).alias("destination_folders"))
+    out = parts.groupBy("key", "folder", "kind").agg(F.sum("files").alias("files"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"), F.min("first")["reason"].alias("reason"))
+    return out.join(shown, "key").select("folder", "kind", "files", "earliest", "latest", "reason", "destination_folders", "key").orderBy(F.desc("files"), "key")

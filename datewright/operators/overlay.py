@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datewright.functions.dateparse import parse_manual
 from datewright.functions.pattern import destination
 from datewright.functions.scalars import turn
 
+#: Seconds of the years 1 to 9999, and of the longest shift.
+CALENDAR = (-62135596800, 253402300799)
+LONGEST_SHIFT = CALENDAR[1] - CALENDAR[0]
+
 
 def apply_dates(plan: DataFrame, overrides: DataFrame, root: str, pattern: str) -> DataFrame:
     """overrides: source, taken, origin. Adds override_origin; the destination of an overridden file is built without its subject."""
@@ -60,6 +65,64 @@ def reprovided(plan: DataFrame, provider: str) -> DataFrame:
     return plan.select("source", c["taken"].alias("taken"), F.lit("candidate").alias("origin"), F.lit(provider).alias("provider")).filter("taken is not null")
 
 
+def refuse_copied(chosen: DataFrame, journal: DataFrame) -> None:
+    """ValueError if a file among chosen (source) has been copied: its date can't be changed any more. Failed copies don't count. journal: the latest records."""
+    gone = chosen.join(journal.filter("status <> 'failed'").select("source"), "source", "left_semi").agg(F.min("source").alias("source")).head()["source"]
+    if gone is not None:
+        raise ValueError(f"{gone} has been copied")
+
+
+def _known(plan: DataFrame, sources: DataFrame, journal: DataFrame | None) -> DataFrame:
+    unknown = sources.join(plan.select("source"), "source", "left_anti").agg(F.min("source").alias("source")).head()["source"]
+    if unknown is not None:
+        raise ValueError(f"{unknown} isn't in the plan")
+    if journal is not None:
+        refuse_copied(sources, journal)
+    return plan.join(sources.select("source"), "source", "left_semi")
+
+
+def set_manual(plan: DataFrame, side: DataFrame, source: str, text: str, journal: DataFrame | None = None) -> DataFrame:
+    """The side table with a date set by hand. ValueError for text that isn't a date, for a file that isn't in the plan or has been copied."""
+    one = plan.sparkSession.createDataFrame([(source, text)], "source string, text string").withColumn("taken", parse_manual(F.col("text")))
+    if one.filter("taken is null").head() is not None:
+        raise ValueError(f"{text!r} isn't a date")
+    _known(plan, one, journal)
+    return upsert(side, one.select("source", "taken", F.lit("manual").alias("origin")))
+
+
+def set_candidate(plan: DataFrame, side: DataFrame, source: str, provider: str, journal: DataFrame | None = None) -> DataFrame:
+    """The side table with a provider's date; ValueError where the file has none."""
+    chosen = reprovided(_known(plan, plan.sparkSession.createDataFrame([(source,)], "source string"), journal), provider)
+    if chosen.head() is None:
+        raise ValueError(f"{source} has no date from {provider}")
+    return upsert(side, chosen)
+
+
+def clear(side: DataFrame, sources: DataFrame) -> DataFrame:
+    """The side table without these files."""
+    return side.join(sources.select("source"), "source", "left_anti")
+
+
+def shift(plan: DataFrame, side: DataFrame, sources: DataFrame, seconds: int, journal: DataFrame | None = None) -> DataFrame:
+    """The side table with these files moved. All or nothing: ValueError if one isn't in the plan, has been copied, or would leave the calendar."""
+    chosen = _known(plan, sources, journal)
+    if abs(seconds) > LONGEST_SHIFT:
+        raise ValueError("that shift is too large")
+    at = F.unix_seconds(F.col("taken").cast("timestamp")) + seconds
+    out = chosen.agg(F.min(F.when(~at.between(*CALENDAR), F.col("source"))).alias("source")).head()["source"]
+    if out is not None:
+        raise ValueError(f"{out} would move outside the calendar")
+    return upsert(side, shifted(chosen, seconds))
+
+
+def reprovide(plan: DataFrame, side: DataFrame, sources: DataFrame, provider: str, journal: DataFrame | None = None) -> DataFrame:
+    """The side table with a provider's date for each of these files that has one; ValueError if none has."""
+    chosen = reprovided(_known(plan, sources, journal), provider)
+    if chosen.head() is None:
+        raise ValueError(f"none of those files have a date from {provider}")
+    return upsert(side, chosen)
+
+
 def upsert(side: DataFrame, new: DataFrame) -> DataFrame:
     """new's rows win by source."""
     return side.join(new.select("source"), "source", "left_anti").unionByName(new, allowMissingColumns=True)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datewright.functions.scalars import label_of
+
 MAX_TAGS, TAG_FLOOR, HIT_FLOOR, SEARCH_LIMIT = 6, 0.14, 0.02, 500
 #: Tags that are no longer in use.
 RETIRED = ("a good picture", "a beautiful picture")
@@ -43,13 +45,14 @@ def _any_contains(tags: Column, word: str) -> Column:
     return F.exists(tags, lambda t: F.contains(F.lower(t), F.lit(word)))
 
 
-def keyword_search(sightings: DataFrame, words: str) -> DataFrame:
-    """source, score: the share of the words that are part of a tag; repeated words count as often. Best first, then by path."""
+def keyword_search(sightings: DataFrame, words: str, limit: int | None = SEARCH_LIMIT) -> DataFrame:
+    """source, score: the share of the words that are part of a tag; repeated words count as often. Best first, then by path; limit None: all hits."""
     wanted = needles(words)
     if not wanted:
         return sightings.select("source", F.lit(0.0).alias("score")).limit(0)
     hits = sum((_any_contains(F.col("tags"), w).cast("int") for w in wanted), F.lit(0))
-    return sightings.select("source", (hits / F.lit(len(wanted))).alias("score")).filter("score > 0").orderBy(F.desc("score"), "source")
+    found = sightings.select("source", (hits / F.lit(len(wanted))).alias("score")).filter("score > 0").orderBy(F.desc("score"), "source")
+    return found.limit(limit) if limit else found
 
 
 def normalise(vector: Column) -> Column:
@@ -70,10 +73,20 @@ def vector_search(sightings: DataFrame, wanted: Column, limit: int | None = SEAR
     return hits.limit(limit) if limit else hits
 
 
+def ranked_hits(hits: DataFrame) -> DataFrame:
+    """The first SEARCH_LIMIT hits with their rank: few enough for one task and for a broadcast."""
+    return hits.orderBy(F.desc("score"), "source").limit(SEARCH_LIMIT).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source")))
+
+
 def search_order(entries: DataFrame, hits: DataFrame) -> DataFrame:
     """The entries that were hit, with their score and rank."""
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source")))
-    return entries.join(F.broadcast(ranked), "source").orderBy("rank")  # at most SEARCH_LIMIT hits
+    return entries.join(F.broadcast(ranked_hits(hits)), "source").orderBy("rank")
+
+
+def narrow(counts: DataFrame, needle: str) -> DataFrame:
+    """Of a list of tags those whose label has the needle in it, in any case; all for a blank one."""
+    wanted = needle.strip().lower()
+    return counts.filter(F.contains(F.lower(label_of(F.col("tag"))), F.lit(wanted))) if wanted else counts
 
 
 def top_tags(vocabulary: Column, scores: Column) -> Column:

@@ -18,6 +18,7 @@ LANES = ("filename", "exif", "media", "filesystem")
 SPAN, DEPTH, LANE_GAP, STACK_STEP, SPREAD_HOURS = 22, 7, 1.35, 0.075, 48
 BINS = 48
 TILE_WIDTH, TILE_GAP, RING_GAP, MAX_GAP, GAP_SHARE, MIN_RADIUS, MAX_RADIUS = 0.62, 1.14, 1.05, 6, 0.11, 2.2, 46
+VIEW_ANGLE, NEAREST, MAX_TILE, MARGIN = 0.9, 1.15, 0.26, 0.2
 RING_CAPACITY = math.floor(MAX_RADIUS * math.pi * 2 / (TILE_WIDTH * TILE_GAP))
 
 
@@ -51,9 +52,17 @@ def time_axis(epochs: DataFrame) -> DataFrame:
 
 
 def on_axis(rows: DataFrame, axis: DataFrame, column: str = "epoch") -> DataFrame:
-    """Adds t, the place of an epoch that the axis was built of: its day's position and its share of the day."""
-    out = rows.withColumn("day", F.floor(F.col(column) / DAY)).join(axis.select("day", "position", "step"), "day")
-    return out.withColumn("t", F.least(F.lit(1.0), F.col("position") + F.col("step") * (F.col(column) - F.col("day") * DAY) / DAY)).drop("day", "position", "step")
+    """Adds t, the place of an epoch: the position of the last day of the axis that isn't after it, and its share of that day; 0 before the axis begins.
+
+    Each day of the axis stands for the days up to the next one, so the join is on the day alone. There are as many days as the axis spans, however many rows there are.
+    """
+    ends = axis.agg(F.min("day").alias("__first"), F.max("day").alias("__last"))
+    days = axis.select(F.explode(F.sequence("day", F.col("day") + F.coalesce("gap", F.lit(1)) - 1)).alias("__on"), "day", "position", "step")
+    at = F.floor(F.col(column) / DAY)
+    out = rows.crossJoin(F.broadcast(ends)).withColumn("__on", F.greatest(F.least(at, F.col("__last")), F.col("__first"))).join(days, "__on")  # ends: one row
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(column) - F.col("day") * DAY) / DAY))
+    t = F.when(at < F.col("__first"), F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.col("position") + F.col("step") * share))
+    return out.withColumn("t", t).drop("day", "position", "step", "__on", "__first", "__last")
 
 
 def instances(entries: DataFrame, tone: Column | None = None) -> DataFrame:
@@ -110,21 +119,32 @@ def terrain(placed: DataFrame) -> DataFrame:
     return placed.withColumn("y", height * 0.09 - 3).withColumn("x", (F.col("t") - 0.5) * SPAN).withColumn("z", (hour / 24 - 0.5) * DEPTH)
 
 
-def thinned(rows: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:
+def thinned(rows: DataFrame, by: list[str], order: list[str], limit: int, cell: Column | None = None) -> DataFrame:
     """Even thinning: of n members of a group, those at floor(i * n / limit); all if there are limit or fewer. Adds n and shown_index.
 
-    The place of a member in its group comes from one window; a member at place r is kept if some i has floor(i * n / limit) = r, and the first such is ceil(r * limit / n).
+    A member at place r is kept if some i has floor(i * n / limit) = r, and the first such is ceil(r * limit / n). cell: an expression that grows with order, such as the day: members are counted by cell, so that
+    a place is the members of the cells before it and the place within its own cell, and no task gets a whole group.
     """
-    w = Window.partitionBy(*by)
-    out = rows.withColumn("n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(*order)) - 1)
+    rows = rows.withColumn("__cell", F.lit(0) if cell is None else cell)
+    keys = [f"__by{i}" for i in range(len(by))]
+    cells = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("__cell").alias("__at")).agg(F.count("*").alias("__m"))
+    group = Window.partitionBy(*keys)
+    cells = cells.withColumn("n", F.sum("__m").over(group)).withColumn("__before", F.sum("__m").over(group.orderBy("__at")) - F.col("__m")).drop("__m")
+    out = rows.join(cells, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip([*by, "__cell"], [*keys, "__at"], strict=True)]).drop(*keys, "__at")
+    out = out.withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__cell").orderBy(*order)) - 1)
     i = F.ceil(F.col("__r") * limit / F.col("n"))
     kept = (F.col("n") <= limit) | ((i < limit) & (F.floor(i * F.col("n") / limit) == F.col("__r")))
-    return out.withColumn("shown_index", F.when(F.col("n") <= limit, F.col("__r")).otherwise(i).cast("bigint")).filter(kept).drop("__r")
+    return out.withColumn("shown_index", F.when(F.col("n") <= limit, F.col("__r")).otherwise(i).cast("bigint")).filter(kept).drop("__r", "__cell", "__before")
 
 
 def periods(entries: DataFrame) -> DataFrame:
-    """label (year), files, and ordinals by date."""
-    return entries.groupBy(F.year(F.timestamp_seconds("taken_epoch")).alias("label")).agg(F.count("*").alias("files"), F.transform(F.array_sort(F.collect_list(F.struct("taken_epoch", "ordinal"))), lambda x: x["ordinal"]).alias("ordinals"))
+    """label (year), files, first and last (seconds). The entries of a period are a filter on the range, in_period()."""
+    return entries.groupBy(F.year(F.timestamp_seconds("taken_epoch")).alias("label")).agg(F.count("*").alias("files"), F.min("taken_epoch").alias("first"), F.max("taken_epoch").alias("last"))
+
+
+def in_period(entries: DataFrame, label: int) -> DataFrame:
+    """A year's entries by date."""
+    return entries.filter(F.year(F.timestamp_seconds("taken_epoch")) == label).orderBy("taken_epoch", "ordinal")
 
 
 def radius_for(count: Column) -> Column:
@@ -142,7 +162,7 @@ def year_rings(entries: DataFrame) -> DataFrame:
 def ring_tiles(entries: DataFrame) -> DataFrame:
     """A row a tile: ordinal, year, ring, angle, radius, y, coil."""
     rows = entries.withColumn("year", F.year(F.timestamp_seconds("taken_epoch")))
-    tiles = thinned(rows, ["year"], ["taken_epoch", "ordinal"], RING_CAPACITY).select("ordinal", "year", "shown_index")
+    tiles = thinned(rows, ["year"], ["taken_epoch", "ordinal"], RING_CAPACITY, F.floor(F.col("taken_epoch") / 3600)).select("ordinal", "year", "shown_index")
     out = tiles.join(F.broadcast(year_rings(entries)), "year")  # a row a year
     share = F.col("shown_index") / F.col("shown")
     return out.select("ordinal", "year", "ring", (share * math.pi * 2).alias("angle"), "radius", "y", (F.col("y") + share * F.col("gap")).alias("coil"))
@@ -156,6 +176,17 @@ def nearest_tiles(tiles: DataFrame, eye: tuple[float, float, float], limit: int,
     return tiles.withColumn("distance", far).orderBy("distance", "ordinal").limit(max(0, limit))
 
 
+def visible_tiles(placed: DataFrame, matrix: list[float], limit: int, fade: float = 1.0) -> DataFrame:
+    """The chosen instances that a camera sees, nearest first: ordinal, pos, tile_x, tile_y, size, depth. placed: with x, y, z; matrix: view and projection, by columns."""
+    point = [F.col("x"), F.col("y"), F.col("z"), F.lit(1.0)]
+    row = lambda i: sum((c * float(matrix[4 * k + i]) for k, c in enumerate(point)), F.lit(0.0))
+    seen = placed.filter("chosen").withColumn("depth", row(3)).filter(F.col("depth") >= NEAREST)
+    seen = seen.withColumn("tile_x", (row(0) / F.col("depth") + 1) / 2).withColumn("tile_y", 1 - (row(1) / F.col("depth") + 1) / 2)
+    inside = F.col("tile_x").between(-MARGIN, 1 + MARGIN) & F.col("tile_y").between(-MARGIN, 1 + MARGIN)
+    size = F.least(F.lit(MAX_TILE), F.lit(TILE_WIDTH / math.tan(VIEW_ANGLE / 2) / 2) / F.col("depth"))
+    return seen.filter(inside & F.lit(fade > 0)).select("ordinal", "pos", "tile_x", "tile_y", size.alias("size"), "depth").orderBy("depth", "ordinal", "pos").limit(limit)
+
+
 def path_bins(points: DataFrame, bins: int = BINS) -> DataFrame:
     """points: x, y, z. A row a bin of equal width along x: bin, x (its middle), y and z: the mean of its points, on a line between its neighbours where it has none, and the nearest bin's at the ends."""
     edge = points.agg(F.min("x").alias("low"), F.max("x").alias("high")).filter(F.col("high") - F.col("low") >= 1e-6)

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datewright import config as C
 from datewright.functions.scalars import duplicate_variant
-from datewright.sources import exif
+from datewright.sources import exif, records
 
 
 def latest(journal: DataFrame) -> DataFrame:
@@ -38,18 +39,18 @@ def resume(files: DataFrame, entries: DataFrame, skipped: DataFrame) -> DataFram
 
 
 def allocate(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """The name of each file at its destination: adds path, outcome (copied, duplicate, present) and variant.
+    """The name of each file at its destination: adds path, outcome (copied, duplicate, already_present, failed) and variant.
 
     plan: source, destination, size, hash; existing: destination, variant (0 is the plain name), size, hash of what is there. Files go in the order of their sources. Equal contents at one
-    destination share a name: the first writes it, the others are present. Other contents take the names that are free, in order: the plain name, then
-    `_dup_1` and on.
+    destination share a name: the first writes it, the others find it present. Other contents take the names that are free, in order: the plain name, then
+    `_dup_1` and on. What is there is found as far as names go on without a gap, as a probe finds it; behind a gap it only keeps its name from others. Without a free name among MAX_VARIANTS, path is null and the outcome failed.
     """
     first = plan.groupBy("destination", "size", "hash").agg(F.min("source").alias("__first"))
     if existing is not None:
-        there = existing.groupBy("destination", "size", "hash").agg(F.min("variant").alias("__there"))
+        there = contiguous(existing).groupBy("destination", "size", "hash").agg(F.min("variant").alias("__there"))
         first = first.join(there, ["destination", "size", "hash"], "left")
         # free numbers: the n-th new content gets the n-th number that nothing there has
-        taken = existing.groupBy("destination").agg(F.array_sort(F.collect_set(F.col("variant").cast("bigint"))).alias("__taken"))
+        taken = existing.filter(F.col("variant") < C.MAX_VARIANTS).groupBy("destination").agg(F.array_sort(F.collect_set(F.col("variant").cast("bigint"))).alias("__taken"))
         first = first.join(taken, "destination", "left")
     else:
         first = first.withColumn("__there", F.lit(None).cast("bigint")).withColumn("__taken", F.lit(None).cast("array<bigint>"))
@@ -58,9 +59,10 @@ def allocate(plan: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     first = first.withColumn("variant", F.coalesce(F.col("__there").cast("bigint"), free))
     out = plan.join(first.drop("__taken"), ["destination", "size", "hash"])
     present = F.col("__there").isNotNull() | (F.col("source") != F.col("__first"))
-    outcome = F.when(present, "present").when(F.col("variant") > 0, "duplicate").otherwise("copied")
+    none = F.col("variant") >= C.MAX_VARIANTS
+    outcome = F.when(none, "failed").when(present, "already_present").when(F.col("variant") > 0, "duplicate").otherwise("copied")
     path = F.when(F.col("variant") == 0, F.col("destination")).otherwise(duplicate_variant(F.col("destination"), F.col("variant")))
-    return out.withColumn("outcome", outcome).withColumn("path", path).drop("__first", "__there")
+    return out.withColumn("outcome", outcome).withColumn("path", F.when(~none, path)).drop("__first", "__there")
 
 
 def contiguous(existing: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def issues(checked: DataFrame) -> DataFrame:
 def copy_counters(outcomes: DataFrame) -> DataFrame:
     """outcomes: status, size, turned."""
     return outcomes.agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in ("copied", "duplicate", "present", "failed")],
+        *[F.count_if(F.col("status") == s).alias(s) for s in C.OUTCOMES],
         F.count_if("turned").alias("turned"),
         F.coalesce(F.sum(F.when(F.col("status").isin("copied", "duplicate"), F.col("size"))), F.lit(0)).alias("bytes"),
     )
@@ -125,31 +127,39 @@ def tuned_concurrency(files: int, size: int, cores: int) -> int:
 _OUTCOME = "source string, status string, destination string, error string, written struct<size:bigint,hash:string>"
 
 
-def execute(allocated: DataFrame, stamp: bool = False, staging: str = ".staged") -> DataFrame:
-    """Copies what allocate() planned: journal rows (source, status, destination, error, written), to be written as they are.
+def execute(allocated: DataFrame, stamp: bool = False, rotate=None, staging: str = ".staged") -> DataFrame:
+    """Copies what allocate() planned to write: journal rows (source, status, destination, error, written) of every file but those that are already present, which settle() judges by these.
 
-    A copy is made beside its destination under a staged name, synced, given the source's times, and renamed, so that a lost task leaves no half file and may run again: a destination of the
-    source's size and content is taken as copied. stamp: writes taken into the date tags of the copy, where it has them. Destinations must be mounted on every worker.
+    A copy is made beside its destination under a staged name, turned and stamped, synced, given the source's times, and renamed, so that a lost task leaves no half file and may run again: a destination of the
+    very content is taken as copied. stamp: writes taken into the date tags of the copy, where it has them. rotate: a function from bytes, transform and reencode (columns of allocated) to turned bytes, or None where a file can't be
+    turned, and is then copied as it is; for files whose transform isn't none. Destinations must be mounted on every worker.
     """
     def digest(path: str) -> str:
         with open(path, "rb") as f:
             return hashlib.file_digest(f, "md5").hexdigest()
 
+    def changed(row, data: bytes) -> bytes | None:
+        out = None
+        if rotate is not None and (row.rotate or "none") != "none":
+            out = rotate(data, row.rotate, bool(row.reencode))
+        if stamp and row.taken is not None:
+            out = exif.stamp(data if out is None else out, row.taken.to_pydatetime()) or out
+        return out
+
     def move(row) -> tuple:
+        if row.path is None:
+            return row.source, "failed", None, "no free name at the destination", None
+        held = f"{row.path}{staging}"
         try:
-            if row.outcome == "present":
-                return row.source, "already_present", row.path, None, None
-            status = "duplicate" if row.outcome == "duplicate" else "copied"
-            folder = os.path.dirname(row.path)
-            os.makedirs(folder, exist_ok=True)
-            changed, held = None, f"{row.path}{staging}"
+            os.makedirs(os.path.dirname(row.path), exist_ok=True)
             shutil.copyfile(row.source, held)
-            if stamp:
+            data = None
+            if stamp or (rotate is not None and (row.rotate or "none") != "none"):
                 with open(held, "rb") as f:
-                    changed = exif.stamp(f.read(), row.taken.to_pydatetime())
-                if changed is not None:
+                    data = changed(row, f.read())
+                if data is not None:
                     with open(held, "wb") as f:
-                        f.write(changed)
+                        f.write(data)
             with open(held, "rb+") as f:
                 os.fsync(f.fileno())
             shutil.copystat(row.source, held)
@@ -157,7 +167,7 @@ def execute(allocated: DataFrame, stamp: bool = False, staging: str = ".staged")
                 os.remove(held)
                 return row.source, "failed", None, f"{row.path} is taken", None
             os.replace(held, row.path)
-            return row.source, status, row.path, None, {"size": len(changed), "hash": digest(row.path)} if changed is not None else None
+            return row.source, row.outcome, row.path, None, {"size": len(data), "hash": digest(row.path)} if data is not None else None
         except OSError as e:
             return row.source, "failed", None, str(e), None
 
@@ -165,4 +175,24 @@ def execute(allocated: DataFrame, stamp: bool = False, staging: str = ".staged")
         for frame in frames:
             yield pd.DataFrame([move(r) for r in frame.itertuples()], columns=["source", "status", "destination", "error", "written"])
 
-    return allocated.select("source", "path", "outcome", *["taken"] * stamp).mapInPandas(copied, _OUTCOME)
+    columns = ["source", "path", "outcome", *["taken"] * stamp, *["rotate", "reencode"] * (rotate is not None)]
+    return allocated.filter("outcome <> 'already_present'").select(*columns).mapInPandas(copied, _OUTCOME)
+
+
+def settle(allocated: DataFrame, done: DataFrame) -> DataFrame:
+    """Journal rows of files whose content another writes or that was there before; done: journal rows of those that were written. If the copy that a file relies on has failed, so has it."""
+    wrote = done.select("source", F.col("status").alias("__status"))
+    writers = allocated.filter("outcome <> 'already_present'").select("source", "path").join(wrote, "source", "left").select("path", F.coalesce("__status", F.lit("failed")).alias("__status")).filter("path is not null")
+    rows = allocated.filter("outcome = 'already_present'").join(writers, "path", "left")
+    bad = F.col("__status") == "failed"
+    return rows.select(
+        "source", F.when(bad, "failed").otherwise("already_present").alias("status"), F.when(~F.coalesce(bad, F.lit(False)), F.col("path")).alias("destination"), F.when(bad, F.concat(F.lit("the copy of its content to "), F.col("path"), F.lit(" failed"))).alias("error"), F.lit(None).cast("struct<size:bigint,hash:string>").alias("written")
+    )
+
+
+def copy_files(allocated: DataFrame, journal: str, stamp: bool = False, rotate=None) -> DataFrame:
+    """Copies and journals all of an allocated plan, a run for what is written and one for what is present; the journal's records of these files."""
+    spark = allocated.sparkSession
+    records.append_journal(execute(allocated, stamp, rotate), journal)
+    records.append_journal(settle(allocated, latest(records.read_journal(spark, journal)).select("source", "status")), journal)
+    return latest(records.read_journal(spark, journal)).join(allocated.select("source"), "source", "left_semi")

@@ -9,13 +9,14 @@ from __future__ import annotations
 import math
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datewright import config as C
 from datewright.functions.pattern import relative_folder
-from datewright.functions.scalars import epoch
+from datewright.functions.scalars import epoch, numeric_key
 from datewright.operators.resolve import any_hard, confidence
+from datewright.operators.tags import ranked_hits
 
 DAY = 86400
 #: Ends of a range that is open on one side: the years 1 and 9999.
@@ -113,6 +114,11 @@ def folder_rollup(entries: DataFrame) -> DataFrame:
     return entries.groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy("folder")
 
 
+def folder_rollup_numeric(entries: DataFrame) -> DataFrame:
+    """The same in the order of the numbers in the names: 2 before 10."""
+    return entries.groupBy("folder").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(numeric_key(F.col("folder")), "folder")
+
+
 def tree_rollup(folders: DataFrame) -> DataFrame:
     """folders: path, files, bytes. Every folder above a path, the root (an empty path) included, with what lies in it and below: path, depth, files, bytes."""
     parts = F.filter(F.split("path", "/"), lambda p: p != "")
@@ -122,11 +128,16 @@ def tree_rollup(folders: DataFrame) -> DataFrame:
 
 def plan_summary(entries: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """One row: files, bytes, folders, skipped, and outcomes."""
-    outcomes = [F.count_if(F.col("outcome") == o).alias(o) for o in ("copied", "duplicate", "present", "failed")] if "outcome" in entries.columns else []
+    outcomes = [F.count_if(F.col("outcome") == o).alias(o) for o in C.OUTCOMES] if "outcome" in entries.columns else []
     out = entries.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.countDistinct("folder").alias("folders"), *outcomes)
     return out.crossJoin(skipped.agg(F.count("*").alias("skipped"))) if skipped is not None else out  # one row each
 
 
+def analysed_sources(entries: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row: how many sources a scan has entered or skipped."""
+    return entries.select("source").unionByName(skipped.select("source")).agg(F.countDistinct("source").alias("analysed"))
+
+
 def top_folders(entries: DataFrame, limit: int = 12) -> DataFrame:
     """The fullest folders; of equal ones, the one seen first."""
     name = F.when(F.col("folder") == "", F.lit("the destination root")).otherwise(F.col("folder"))
@@ -221,8 +232,7 @@ def ui_filter(entries: DataFrame, hits: DataFrame | None = None, tags: list[str]
     """Search, tags, quality, range, folder, marked, in this order; with hits, rank keeps the order of the search."""
     out = entries
     if hits is not None:
-        ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source"))).drop("score")
-        out = out.join(F.broadcast(ranked), "source")  # a search's limited hits
+        out = out.join(F.broadcast(ranked_hits(hits).drop("score")), "source")
     out = of_quality(with_tags(out, tags, untagged), quality)
     if span is not None:
         out = in_range(out, *span)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Classes that stand taller than wide, and thresholds.
 STANDING = ("person", "bottle", "chair", "pottedplant", "traffic light", "fire hydrant", "parking meter", "refrigerator", "vase")
 CONFIDENT, MIN_SCORE, BOX_CONFIDENCE, BOX_OVERLAP = 1.2, 0.5, 0.35, 0.45
+#: Pixels of the square that detectors look at.
+INPUT = 640
 TURNS = ("none", "rot90", "rot180", "rot270")
 NOTHING = "nothing recognisable"
 
@@ -59,6 +61,35 @@ def upright(boxes: DataFrame, exact: int | None = None) -> DataFrame:
     return best.join(top, ["file_id", "turn"], "left").select("file_id", "transform", "confidence", F.coalesce("reason", F.lit(NOTHING)).alias("reason"))
 
 
+def letterbox(width: int, height: int, edge: int = INPUT) -> tuple[float, int, int, int, int]:
+    """How a picture is laid on a square of so many pixels: the scale, its size there, and the margins to its left and above."""
+    scale = edge / max(width, height)
+    w, h = max(1, round(width * scale)), max(1, round(height * scale))
+    return scale, w, h, (edge - w) // 2, (edge - h) // 2
+
+
+def decoded(prediction: np.ndarray, labels: list[str], size: tuple[int, int], pad: tuple[int, int]) -> list[dict]:
+    """Boxes of a detector's output (rows: centre x and y, width, height, a row a class; columns: anchors) above BOX_CONFIDENCE: label, confidence, bounds as shares of the content. size: of the content on the square; pad: its margins."""
+    scores = prediction[4:]
+    best, sure = scores.argmax(0), scores.max(0)
+    out = []
+    for k in np.flatnonzero(sure > BOX_CONFIDENCE):
+        x, y, w, h = prediction[:4, k]
+        box = (np.array([x - w / 2, y - h / 2, x + w / 2, y + h / 2]) - [*pad, *pad]) / [*size, *size]
+        out.append({"label": labels[best[k]] if best[k] < len(labels) else "thing", "confidence": float(sure[k]), "bounds": np.clip(box, 0, 1).tolist()})
+    return out
+
+
+def detect_boxes(pictures: DataFrame, detect) -> DataFrame:
+    """file_id, turn, label, confidence, bounds of what a detector finds: detect takes file_id and turn and gives the dicts of decoded(). Run over Arrow batches."""
+    def run(frames):
+        for frame in frames:
+            rows = [(i, t, b["label"], b["confidence"], b["bounds"]) for i, t in zip(frame["file_id"], frame["turn"], strict=True) for b in detect(i, t)]
+            yield pd.DataFrame(rows, columns=["file_id", "turn", "label", "confidence", "bounds"])
+
+    return pictures.select("file_id", "turn").mapInPandas(run, "file_id bigint, turn string, label string, confidence float, bounds array<float>")
+
+
 def suppress(boxes: DataFrame) -> DataFrame:
     """Boxes above BOX_CONFIDENCE, without those that overlap a more confident one of their file, turn and label by more than BOX_OVERLAP. A picture's boxes are few."""
     def one(frame: pd.DataFrame) -> pd.DataFrame:

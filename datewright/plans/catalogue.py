@@ -37,11 +37,12 @@ def day(c: str):
 NOW = "timestamp '2001-01-01'"
 #: A candidate's score: weight, less 1000 for each flag of its date, plus 25 for each other within a day.
 _SCORED = f"""
-scored as (
+agreeing as materialized (select a.ordinal, a.provider, count(*) as k from det a join det o on o.ordinal = a.ordinal and o.provider <> a.provider and abs(epoch_us(o.taken) - epoch_us(a.taken)) < 86400000000 group by 1, 2),
+scored as materialized (
   select d.*, s.filesystem,
     d.weight - 1000 * (case when month(d.taken) = 1 and day(d.taken) = 1 and hour(d.taken) * 3600 + minute(d.taken) * 60 + second(d.taken) <= 60 then 1 else 0 end + case when d.taken > {NOW} then 1 else 0 end + case when epoch_us(d.taken) - epoch_us(s.filesystem) > 172800000000 then 1 else 0 end)
-    + 25 * (select count(*) from det o where o.ordinal = d.ordinal and o.provider <> d.provider and abs(epoch_us(o.taken) - epoch_us(d.taken)) < 86400000000) as score
-  from det d left join ship s on s.ordinal = d.ordinal)"""
+    + 25 * coalesce(g.k, 0) as score
+  from det d left join ship s on s.ordinal = d.ordinal left join agreeing g on g.ordinal = d.ordinal and g.provider = d.provider)"""
 _CHOSEN = ", chosen as (select * from (select *, row_number() over (partition by ordinal order by score desc, taken, weight desc, rank desc) as place from scored) where place = 1)"
 _SHOWN = "strftime(taken, '%Y-%m-%d %H:%M:%S') as taken"
 
@@ -230,6 +231,11 @@ def _(spark, sf_dir):
     return g.select("key", "files", F.date_format("earliest", "yyyy-MM-dd").alias("earliest"), F.date_format("latest", "yyyy-MM-dd").alias("latest"), F.array_join("destination_folders", ",").alias("folders"))
 
 
+@query("suspect_members", f"with {_PLAN} select folder || '::' || kind as key, source from kinds where kind is not null")
+def _(spark, sf_dir):
+    return anomaly.suspect_members(_plan(spark, sf_dir)).select("key", "source")
+
+
 # Pairing and overlays
 
 _COMPANIONS = """c as (select l_orderkey * 10 + l_linenumber as ordinal, l_orderkey as stem, (['jpg', 'mov', 'xmp', 'mp3', 'dat', 'cr2', 'json'])[l_linenumber % 7 + 1] as ext, (['exif', 'xmp', 'filesystem'])[l_linenumber % 3 + 1] as provider, min(l_shipdate) as taken from lineitem group by l_orderkey, l_linenumber),
@@ -301,13 +307,13 @@ def _(spark, sf_dir):
 
 # Journal, names, verification
 
-_STATUS = "(['copied', 'duplicate', 'present', 'failed'])"
+_STATUS = "(['copied', 'duplicate', 'already_present', 'failed'])"
 _JOURNAL = f"j as (select '/o' || l_orderkey as source, l_orderkey as ordinal, l_linenumber::bigint * 1000000000 + l_partkey * 1000 + l_suppkey as line_no, {_STATUS}[l_partkey % 4 + 1] as status, case when l_suppkey % 3 = 0 then l_partkey end as written from lineitem), last_ as (select source, ordinal, arg_max(status, line_no) as status, arg_max({{'w': written}}, line_no).w as written from j group by 1, 2)"
 
 
 def _journal(spark, sf_dir):
     line = A.table(spark, sf_dir, "lineitem")
-    status = F.element_at(F.array(*[F.lit(s) for s in ("copied", "duplicate", "present", "failed")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    status = F.element_at(F.array(*[F.lit(s) for s in C.OUTCOMES]), (F.col("l_partkey") % 4 + 1).cast("int"))
     return line.select(
         F.concat(F.lit("/o"), F.col("l_orderkey").cast("string")).alias("source"), (F.col("l_linenumber").cast("bigint") * 1000000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("line_no"), status.alias("status"), F.when(F.col("l_suppkey") % 3 == 0, F.col("l_partkey")).alias("written")
     )
@@ -323,7 +329,7 @@ def _(spark, sf_dir):
     return transfer.written(_journal(spark, sf_dir)).select("source", "written")
 
 
-@query("copy_counters", f"with {_JOURNAL} select count(*) filter (status = 'copied') as copied, count(*) filter (status = 'duplicate') as duplicate, count(*) filter (status = 'present') as present, count(*) filter (status = 'failed') as failed, count(*) filter (written is not null) as turned, sum(case when status in ('copied', 'duplicate') then coalesce(written, 1) else 0 end)::bigint as bytes from last_")
+@query("copy_counters", f"with {_JOURNAL} select count(*) filter (status = 'copied') as copied, count(*) filter (status = 'duplicate') as duplicate, count(*) filter (status = 'already_present') as already_present, count(*) filter (status = 'failed') as failed, count(*) filter (written is not null) as turned, sum(case when status in ('copied', 'duplicate') then coalesce(written, 1) else 0 end)::bigint as bytes from last_")
 def _(spark, sf_dir):
     o = transfer.latest(_journal(spark, sf_dir)).withColumn("turned", F.col("written").isNotNull()).withColumn("size", F.coalesce("written", F.lit(1)))
     return transfer.copy_counters(o)
@@ -344,7 +350,7 @@ def _(spark, sf_dir):
 _ALLOCATED = f"""{SQL['dups']},
 first_ as (select destination, size, hash, min(source) as first_ from dups group by 1, 2, 3),
 named as (select *, row_number() over (partition by destination order by first_) - 1 as variant from first_),
-placed as (select d.source, d.doc_id, d.size, d.hash, d.destination, n.variant, case when d.source <> n.first_ then 'present' when variant > 0 then 'duplicate' else 'copied' end as outcome, case when variant = 0 then d.destination else regexp_replace(d.destination, '\\.txt$', '') || '_dup_' || variant || '.txt' end as path from dups d join named n using (destination, size, hash))"""
+placed as (select d.source, d.doc_id, d.size, d.hash, d.destination, n.variant, case when d.source <> n.first_ then 'already_present' when variant > 0 then 'duplicate' else 'copied' end as outcome, case when variant = 0 then d.destination else regexp_replace(d.destination, '\\.txt$', '') || '_dup_' || variant || '.txt' end as path from dups d join named n using (destination, size, hash))"""
 
 
 @query("name_allocation", f"with {_ALLOCATED} select doc_id, outcome, path from placed")
@@ -354,34 +360,36 @@ def _(spark, sf_dir):
 
 @query(
     "name_allocation_existing",
-    f"""with {SQL['dups']}, there as (select destination, 2 * (row_number() over (partition by destination order by source)) - 1 as variant, size, hash from dups where doc_id % 9 = 0),
+    f"""with {SQL['dups']}, there as (select destination, case when n <= 6 then n - 1 else 2 * n - 6 end as variant, size, hash from (select *, row_number() over (partition by destination order by source) as n from dups where doc_id % 9 = 0)),
 first_ as (select destination, size, hash, min(source) as first_ from dups group by 1, 2, 3),
-held as (select destination, size, hash, min(variant) as there from there group by 1, 2, 3),
+held as (select destination, size, hash, min(variant) as there from there where variant <= 5 group by 1, 2, 3),
 new_ as (select f.*, row_number() over (partition by destination order by first_) as place from first_ f where not exists (select 1 from held h where h.destination = f.destination and h.size = f.size and h.hash = f.hash)),
 room as (select destination, count(*) + 2 * count(*) filter (doc_id % 9 = 0) as n from dups group by 1),
 slots as (select destination, unnest(range(0, n + 1)) as v from room),
 free as (select destination, v, row_number() over (partition by destination order by v) as place from slots s where not exists (select 1 from there t where t.destination = s.destination and t.variant = s.v)),
-named as (select n.destination, size, hash, first_, v as variant, false as present from new_ n join free using (destination, place) union all select destination, size, hash, null, there, true from held)
-select doc_id, variant, case when present or d.source <> first_ then 'present' when variant > 0 then 'duplicate' else 'copied' end as outcome from dups d join named n using (destination, size, hash)""",
+named as (select n.destination, size, hash, first_, v as variant from new_ n join free using (destination, place) union all select destination, size, hash, null, there from held)
+select doc_id, variant, case when first_ is null or d.source <> first_ then 'already_present' when variant > 0 then 'duplicate' else 'copied' end as outcome from dups d join named n using (destination, size, hash)""",
 )
 def _(spark, sf_dir):
+    """What is there has six names without a gap, then every other one."""
     d = A.dups_documents(spark, sf_dir)
     from pyspark.sql import Window
 
-    there = d.filter("doc_id % 9 = 0").withColumn("variant", 2 * F.row_number().over(Window.partitionBy("destination").orderBy("source")) - 1).select("destination", "variant", "size", "hash")
+    n = F.row_number().over(Window.partitionBy("destination").orderBy("source"))
+    there = d.filter("doc_id % 9 = 0").withColumn("n", n).withColumn("variant", F.when(F.col("n") <= 6, F.col("n") - 1).otherwise(2 * F.col("n") - 6)).select("destination", "variant", "size", "hash")
     return transfer.allocate(d, there).select("doc_id", F.col("variant").cast("bigint").alias("variant"), "outcome")
 
 
 def _copied(spark, sf_dir):
     """A plan, and what is at its destinations: every allocated file, but for some that are missing and some that were changed."""
     plan = transfer.allocate(A.dups_documents(spark, sf_dir))
-    there = plan.filter("outcome <> 'present' and doc_id % 13 <> 0").select("destination", F.col("variant").cast("bigint").alias("variant"), F.when(F.col("doc_id") % 17 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "hash")
+    there = plan.filter("outcome <> 'already_present' and doc_id % 13 <> 0").select("destination", F.col("variant").cast("bigint").alias("variant"), F.when(F.col("doc_id") % 17 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "hash")
     sources = plan.filter("doc_id % 19 <> 0").select("source", "size", "hash")
     return plan.select("source", "destination", "size", "doc_id"), sources, there
 
 
 _VERIFY = f"""{_ALLOCATED},
-there as (select destination, variant, case when doc_id % 17 = 0 then size + 1 else size end as size, hash from placed where outcome <> 'present' and doc_id % 13 <> 0),
+there as (select destination, variant, case when doc_id % 17 = 0 then size + 1 else size end as size, hash from placed where outcome <> 'already_present' and doc_id % 13 <> 0),
 probe as (select * from (select *, row_number() over (partition by destination, variant > 0 order by variant) as n from there) where variant = 0 or variant = n),
 checked as (select p.doc_id, p.source, p.destination, p.size as source_size,
   case when p.doc_id % 19 = 0 then 'source_missing' when exists (select 1 from probe t where t.destination = p.destination and t.size = p.size and t.hash = p.hash) then 'ok' when exists (select 1 from probe t where t.destination = p.destination) then 'content_mismatch' else 'destination_missing' end as status,
@@ -595,11 +603,17 @@ def _(spark, sf_dir):
     return views.of_quality(A.tags_documents(spark, sf_dir), 2.5).select("source")
 
 
-@query("keyword_search", f"with {SQL['tags']}, s as (select source, (case when len(list_filter(tags, lambda t: contains(lower(t), 'src1'))) > 0 then 1 else 0 end + case when len(list_filter(tags, lambda t: contains(lower(t), 'de'))) > 0 then 1 else 0 end + case when len(list_filter(tags, lambda t: contains(lower(t), '%'))) > 0 then 1 else 0 end) / 3.0::double as score from sight) select * from s where score > 0")
+@query("keyword_search", f"with {SQL['tags']}, s as (select source, (case when len(list_filter(tags, lambda t: contains(lower(t), 'src1'))) > 0 then 1 else 0 end + case when len(list_filter(tags, lambda t: contains(lower(t), 'de'))) > 0 then 1 else 0 end + case when len(list_filter(tags, lambda t: contains(lower(t), '%'))) > 0 then 1 else 0 end) / 3.0::double as score from sight) select * from s where score > 0 order by score desc, source limit 500")
 def _(spark, sf_dir):
     return tags.keyword_search(A.tags_documents(spark, sf_dir), "Src1 and DE or %")
 
 
+@query("keyword_search_all", f"with {SQL['tags']}, s as (select source, (case when len(list_filter(tags, lambda t: contains(lower(t), 'good'))) > 0 then 1 else 0 end + case when len(list_filter(tags, lambda t: contains(lower(t), 'a '))) > 0 then 1 else 0 end) / 2.0::double as score from sight) select * from s where score > 0")
+def _(spark, sf_dir):
+    store = A.tags_documents(spark, sf_dir)
+    return tags.keyword_search(store.withColumn("tags", F.transform("tags", lambda t: F.replace(t, F.lit(" "), F.lit("_")))), "GOOD and a_", limit=None)
+
+
 @query("tag_upsert", f"with {SQL['tags']} select source, array_to_string(case when ordinal % 7 = 0 then ['new'] else tags end, ',') as tags from sight")
 def _(spark, sf_dir):
     store = A.tags_documents(spark, sf_dir)
@@ -623,13 +637,21 @@ def _sightings(spark, sf_dir):
     return A.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("/v/"), F.col("vec_id").cast("string")).alias("source"), F.col("embedding").alias("vector"), "vec_id")
 
 
-@query("vector_search", "with q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select '/v/' || vec_id as source, round(list_sum(list_transform(list_zip(embedding::double[], q), lambda p: p[1] * p[2])), 4) as score from embeddings, q) select * from s where score >= 0.02 order by score desc, source limit 500")
+def _wanted(sightings, vec_id: int):
+    """The one vector that is searched for."""
+    return F.lit([float(x) for x in sightings.filter(F.col("vec_id") == vec_id).head()["vector"]])
+
+
+@query("vector_search", "with q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select '/v/' || vec_id as source, list_sum(list_transform(list_zip(embedding::double[], q), lambda p: p[1] * p[2])) as score from embeddings, q) select source, round(score, 4) as score from (select * from s where score >= 0.02 order by score desc, source limit 500)")
 def _(spark, sf_dir):
     s = _sightings(spark, sf_dir)
-    wanted = s.filter("vec_id = 0").select(F.col("vector").alias("wanted"))
-    rows = s.crossJoin(F.broadcast(wanted))  # the one query
-    hits = rows.select("source", F.round(tags.cosine(F.col("vector"), F.col("wanted")), 4).alias("score")).filter("score >= 0.02")
-    return hits.orderBy(F.desc("score"), "source").limit(tags.SEARCH_LIMIT)
+    return tags.vector_search(s, _wanted(s, 0)).select("source", F.round("score", 4).alias("score"))
+
+
+@query("vector_search_all", "with q as (select embedding::double[] as q from embeddings where vec_id = 7), s as (select '/v/' || vec_id as source, list_sum(list_transform(list_zip(embedding::double[], q), lambda p: p[1] * p[2])) as score from embeddings, q) select source, round(score, 4) as score from s where score >= 0.02")
+def _(spark, sf_dir):
+    s = _sightings(spark, sf_dir)
+    return tags.vector_search(s, _wanted(s, 7), limit=None).select("source", F.round("score", 4).alias("score"))
 
 
 @query("normalise_vectors", "select vec_id, round(list_sum(list_transform(embedding::double[], lambda x: 3 * x)) / sqrt(list_sum(list_transform(embedding::double[], lambda x: 9 * x * x))), 5) as total from embeddings")
@@ -652,12 +674,15 @@ def _(spark, sf_dir):
     return out.select(F.substring("source", 4, 20).cast("bigint").alias("vec_id"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("search_in_order", "with q as (select embedding::double[] as q from embeddings where vec_id = 3), s as (select vec_id, '/v/' || vec_id as source, round(list_sum(list_transform(list_zip(embedding::double[], q), lambda p: p[1] * p[2])), 4) as score from embeddings, q) select vec_id, (row_number() over (order by score desc, source))::int as rank from s where score >= 0.2")
+@query("search_in_order", "with q as (select embedding::double[] as q from embeddings where vec_id = 3), s as (select vec_id, '/v/' || vec_id as source, list_sum(list_transform(list_zip(embedding::double[], q), lambda p: p[1] * p[2])) as score from embeddings, q), r as (select vec_id, (row_number() over (order by score desc, source))::int as rank from s where score >= 0.2) select * from r where rank <= 500")
 def _(spark, sf_dir):
     s = _sightings(spark, sf_dir)
-    wanted = s.filter("vec_id = 3").select(F.col("vector").alias("wanted"))
-    hits = s.crossJoin(F.broadcast(wanted)).select("source", F.round(tags.cosine(F.col("vector"), F.col("wanted")), 4).alias("score")).filter("score >= 0.2")  # the one query
-    return tags.search_order(s, hits).select("vec_id", "rank")
+    return tags.search_order(s, tags.vector_search(s, _wanted(s, 3), floor=0.2)).select("vec_id", "rank")
+
+
+@query("tag_narrowing", f"with {SQL['tags']}, c as (select tag, count(*) as files from (select source, unnest(list_distinct(tags)) as tag from sight) group by 1) select * from c where contains(lower(regexp_replace(tag, '^(a|an|the) ', '')), 'src1')")
+def _(spark, sf_dir):
+    return tags.narrow(tags.tag_counts(A.tags_documents(spark, sf_dir)), "  SRC1 ")
 
 
 # Timeline
@@ -730,12 +755,17 @@ def _(spark, sf_dir):
 @query("even_thinning", "with n as (select o_orderkey as ordinal, year(o_orderdate) as year, count(*) over (partition by year(o_orderdate)) as n, row_number() over (partition by year(o_orderdate) order by o_orderdate, o_orderkey) - 1 as r from orders), keep as (select distinct year, n, floor(i * n / 60.0)::bigint as r from (select distinct year, n from n), (select unnest(range(60)) as i)) select ordinal from n where n <= 60 or exists (select 1 from keep k where k.year = n.year and k.r = n.r)")
 def _(spark, sf_dir):
     v = _orders_view(spark, sf_dir).withColumn("year", F.year("taken"))
-    return timeline.thinned(v, ["year"], ["taken_epoch", "ordinal"], 60).select("ordinal")
+    return timeline.thinned(v, ["year"], ["taken_epoch", "ordinal"], 60, F.floor(F.col("taken_epoch") / timeline.DAY)).select("ordinal")
+
+
+@query("periods", f"with {_OVIEW} select year(taken)::int as label, count(*) as files, min(taken_epoch) as first, max(taken_epoch) as last from ov group by 1")
+def _(spark, sf_dir):
+    return timeline.periods(_orders_view(spark, sf_dir))
 
 
-@query("periods", f"with {_OVIEW} select year(taken)::int as label, count(*) as files, md5(string_agg(cast(ordinal as varchar), ',' order by taken_epoch, ordinal)) as digest from ov group by 1")
+@query("period_entries", f"with {_OVIEW} select ordinal from ov where year(taken) = 1995")
 def _(spark, sf_dir):
-    return timeline.periods(_orders_view(spark, sf_dir)).select("label", "files", F.md5(F.array_join(F.transform("ordinals", lambda o: o.cast("string")), ",")).alias("digest"))
+    return timeline.in_period(_orders_view(spark, sf_dir), 1995).select("ordinal")
 
 
 _RINGS = f"{_OVIEW}, cap as (select {timeline.RING_CAPACITY} as cap), y as (select year(taken)::int as year, count(*) as n from ov group by 1), rad as (select *, least(46.0, greatest(2.2, least(n, cap) * 0.62 * 1.14 / (pi() * 2)))::double as radius, row_number() over (order by year) - 1 as ring from y, cap), rings as (select *, least(6, greatest(1.05, greatest(2.2, (select max(radius) from rad)) * 0.11))::double as gap from rad)"
@@ -774,12 +804,26 @@ def _(spark, sf_dir):
     return timeline.path_bins(points).select("bin", F.round("x", 3).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
 
 
-@query("human_sizes", f"with {SQL['files']}, s as (select ordinal, size * (array[1, 1000, 1000000, 1000000000, 7])[ordinal % 5 + 1]::bigint // 64 * 64 as s from files) select ordinal, case when s >= 1099511627776 then '~TB' when s >= 1073741824 then '~GB' when s >= 1048576 then '~MB' when s >= 1024 then '~KB' else s || ' B' end as label from s")
-def _(spark, sf_dir):
-    f = A.files_orders(spark, sf_dir)
+#: Odd sizes, of which no part is half of a last digit: engines round halves in their own ways.
+_SIZES = f"{SQL['files']}, s as (select ordinal, x + 1 - x % 2 as s from (select ordinal, size * (array[1, 1000, 1000000, 1000000000, 7])[ordinal % 5 + 1]::bigint as x from files))"
+
+
+def _odd_sizes(spark, sf_dir):
     by = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (1, 1000, 1000000, 1000000000, 7)]), (F.col("ordinal") % 5 + 1).cast("int"))
-    size = F.floor(F.col("size") * by / 64).cast("bigint") * 64
-    return f.select("ordinal", F.regexp_replace(S.human_bytes(size), r"^.* ([KMGT]B)$", "~$1").alias("label"))  # engines round halves in their own ways
+    return A.files_orders(spark, sf_dir).withColumn("x", F.col("size") * by).select("ordinal", (F.col("x") + 1 - F.col("x") % 2).alias("s"))
+
+
+@query("human_sizes", f"with {_SIZES} select ordinal, case when s >= 1099511627776 then printf('%.2f TB', s / 1099511627776.0::double) when s >= 1073741824 then printf('%.2f GB', s / 1073741824.0::double) when s >= 1048576 then printf('%.2f MB', s / 1048576.0::double) when s >= 1024 then printf('%.2f KB', s / 1024.0::double) else s || ' B' end as label from s")
+def _(spark, sf_dir):
+    return _odd_sizes(spark, sf_dir).select("ordinal", S.human_bytes(F.col("s")).alias("label"))
+
+
+_SHORT = ", ".join(f"({2 ** (10 * i)}::bigint, '{u}')" for i, u in enumerate(("KB", "MB", "GB", "TB"), 1))
+
+
+@query("short_sizes", f"with {_SIZES}, unit as (select * from (values {_SHORT}) u(n, name)), best as (select s.ordinal, s.s, max(n) as n from s left join unit on s.s >= n group by 1, 2) select ordinal, case when b.n is null then s || ' B' when s / b.n::double < 10 then printf('%.1f ', s / b.n::double) || name else printf('%.0f ', s / b.n::double) || name end as label from best b left join unit u on u.n = b.n")
+def _(spark, sf_dir):
+    return _odd_sizes(spark, sf_dir).select("ordinal", S.format_bytes(F.col("s")).alias("label"))
 
 
 @query("companion_keys", "select l_orderkey * 10 + l_linenumber as ordinal, 'f' || l_orderkey as stem, case (l_linenumber % 7) when 0 then 4 when 1 then 3 when 2 then 1 when 3 then 2 when 4 then 0 when 5 then 4 else 1 end as kind from lineitem group by l_orderkey, l_linenumber")

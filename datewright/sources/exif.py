@@ -1,4 +1,4 @@
-"""EXIF in JPEG and TIFF bytes: dates, offsets and orientation, read and stamped in place."""
+"""EXIF in the bytes of pictures (JPEG, TIFF and raw files like it, PNG, WebP, RAF, CR3): dates, offsets and orientation, read and stamped in place."""
 
 from __future__ import annotations
 
@@ -12,52 +12,82 @@ EXTENSIONS = "jpg jpeg jpe tif tiff png webp heic heif hif avif dng cr2 cr3 nef
 _DATES = (("DateTimeOriginal", ORIGINAL, OFFSET_ORIGINAL), ("DateTimeDigitized", DIGITIZED, OFFSET_DIGITIZED), ("DateTime", DATE_TIME, OFFSET))
 
 
-def _tiff(data: bytes) -> tuple[int, int] | None:
-    """Where the TIFF structure lies."""
-    if data[:4] in (b"II*\0", b"MM\0*"):
-        return 0, len(data)
+_MAGIC = (b"II*\0", b"MM\0*", b"IIU\0", b"IIRO", b"IIRS", b"MMOR")  # of TIFF, and of cameras that write their own
+
+
+def _chunks(data: bytes, at: int, order: str, kind_first: bool, pad: int) -> dict[bytes, tuple[int, int]]:
+    """Where the bodies of a file's chunks lie, by kind; the first of each."""
+    found: dict[bytes, tuple[int, int]] = {}
+    while at + 8 <= len(data):
+        kind, size = (data[at : at + 4], data[at + 4 : at + 8]) if kind_first else (data[at + 4 : at + 8], data[at : at + 4])
+        n = int.from_bytes(size, order)
+        found.setdefault(kind, (at + 8, min(len(data), at + 8 + n)))
+        at += 8 + n + (pad if not kind_first else n % 2)
+    return found
+
+
+def _jpeg(data: bytes, at: int) -> list[tuple[int, int]]:
+    at += 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            return [(at + 10, min(len(data), at + 2 + size))]
+        at += 2 + size
+    return []
+
+
+def _tiffs(data: bytes) -> list[tuple[int, int]]:
+    """Where TIFF structures lie: the file itself, blocks of JPEG, PNG and WebP, the preview of a RAF, the boxes of a CR3, or a marked block anywhere."""
+    if data[:4] in _MAGIC:
+        return [(0, len(data))]
+    spans: list[tuple[int, int]] = []
     if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
-            size = int.from_bytes(data[at + 2 : at + 4], "big")
-            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-                return at + 10, min(len(data), at + 2 + size)
-            at += 2 + size
-    at = data.find(b"Exif\0\0")  # other containers keep the same block
-    return (at + 6, len(data)) if at >= 0 and data[at + 6 : at + 10] in (b"II*\0", b"MM\0*") else None
-
-
-def _entries(data: bytes) -> dict[int, tuple[int, int, int]]:
-    """tag -> (where its entry lies, its type, the number of its values) of the first directory and the EXIF directory."""
-    if (span := _tiff(data)) is None:
-        return {}
-    base, end = span
-    order = "<" if data[base : base + 2] == b"II" else ">"
-    found: dict[int, tuple[int, int, int]] = {}
-    try:
-        todo = [struct.unpack_from(order + "I", data, base + 4)[0]]
-        while todo:
-            ifd = base + todo.pop()
-            for i in range(struct.unpack_from(order + "H", data, ifd)[0]):
-                at = ifd + 2 + 12 * i
-                if at + 12 > end:
-                    break
-                tag, kind, n = struct.unpack_from(order + "HHI", data, at)
-                if tag not in found:
-                    found[tag] = at, kind, n
-                    if tag == EXIF_IFD:
-                        todo.append(struct.unpack_from(order + "I", data, at + 8)[0])
-    except struct.error:
-        pass
+        spans = _jpeg(data, 0)
+    elif data[:8] == b"\x89PNG\r\n\x1a\n":
+        spans = [x for k, x in _chunks(data, 8, "big", False, 4).items() if k == b"eXIf"]
+    elif data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        spans = [x for k, x in _chunks(data, 12, "little", True, 0).items() if k == b"EXIF"]
+        spans = [(a + 6, b) if data[a : a + 6] == b"Exif\0\0" else (a, b) for a, b in spans]
+    elif data[:15] == b"FUJIFILMCCD-RAW":
+        spans = _jpeg(data, int.from_bytes(data[84:88], "big"))
+    elif data[4:12] == b"ftypcrx ":
+        spans = [(at + 4, len(data)) for k in (b"CMT1", b"CMT2") if (at := data.find(k)) >= 0]
+    spans = [x for x in spans if data[x[0] : x[0] + 4] in _MAGIC]
+    if not spans and (at := data.find(b"Exif\0\0")) >= 0 and data[at + 6 : at + 10] in _MAGIC:  # other containers keep the same block
+        spans = [(at + 6, len(data))]
+    return spans
+
+
+def _entries(data: bytes) -> dict[int, tuple[int, int, int, int, str]]:
+    """tag -> (where its entry lies, its type, the number of its values, where its structure begins, the byte order) of the first directories and the EXIF directory."""
+    found: dict[int, tuple[int, int, int, int, str]] = {}
+    for base, end in _tiffs(data):
+        order = "<" if data[base : base + 2] == b"II" else ">"
+        try:
+            todo, seen = [struct.unpack_from(order + "I", data, base + 4)[0]], set()
+            while todo:
+                ifd = base + todo.pop()
+                if ifd in seen:
+                    continue
+                seen.add(ifd)
+                for i in range(struct.unpack_from(order + "H", data, ifd)[0]):
+                    at = ifd + 2 + 12 * i
+                    if at + 12 > end:
+                        break
+                    tag, kind, n = struct.unpack_from(order + "HHI", data, at)
+                    if tag not in found:
+                        found[tag] = at, kind, n, base, order
+                        if tag == EXIF_IFD:
+                            todo.append(struct.unpack_from(order + "I", data, at + 8)[0])
+        except struct.error:
+            continue
     return found
 
 
 def _text(data: bytes, tag: int, entries: dict) -> str | None:
     if tag not in entries or entries[tag][1] != 2:
         return None
-    base = _tiff(data)[0]
-    order = "<" if data[base : base + 2] == b"II" else ">"
-    at, _, n = entries[tag]
+    at, _, n, base, order = entries[tag]
     where = at + 8 if n <= 4 else base + struct.unpack_from(order + "I", data, at + 8)[0]
     return data[where : where + n].split(b"\0")[0].decode("latin-1").strip()
 
@@ -77,8 +107,8 @@ def orientation(data: bytes) -> int:
     entries = _entries(data)
     if ORIENTATION not in entries or entries[ORIENTATION][1] != 3:
         return 1
-    base = _tiff(data)[0]
-    value = struct.unpack_from(("<" if data[base : base + 2] == b"II" else ">") + "H", data, entries[ORIENTATION][0] + 8)[0]
+    at, _, _, _, order = entries[ORIENTATION]
+    value = struct.unpack_from(order + "H", data, at + 8)[0]
     return value if 1 <= value <= 8 else 1
 
 
@@ -88,8 +118,8 @@ def stamp(data: bytes, taken: datetime) -> bytes | None:
     entries, out, done = _entries(data), bytearray(data), False
     for tag in (DATE_TIME, ORIGINAL, DIGITIZED):
         if tag in entries and entries[tag][1] == 2 and entries[tag][2] == len(text):
-            base = _tiff(data)[0]
-            where = base + struct.unpack_from(("<" if data[base : base + 2] == b"II" else ">") + "I", data, entries[tag][0] + 8)[0]
+            at, _, _, base, order = entries[tag]
+            where = base + struct.unpack_from(order + "I", data, at + 8)[0]
             if where + len(text) <= len(out):
                 out[where : where + len(text)] = text
                 done = True

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from dataclasses import asdict, dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,11 @@ from datewright import config as C
 from datewright.schema import CANDIDATES, ENTRIES, FLAGS, SKIPPED
 
 PLAN_VERSION = 4
+#: Bits of a line's number: of the file, of the megabyte its block begins at, and of the line in its task.
+_FILE_BITS, _BLOCK_BITS, _LINE_BITS = 18, 20, 25
 _HEADER = "version int, created_at timestamp_ntz, sources array<string>, destination string, folder_pattern string, detect struct<providers:array<string>,strategy:string,weights:map<string,bigint>>"
 _ENTRY = ", ".join(x for x in ENTRIES.split(", ") if not x.startswith("ordinal"))
-_RECORD = f"kind string, reason string, {_HEADER}, {_ENTRY.replace('destination string, ', '', 1)}"
+_RECORD = f"kind string, reason string, ordinal bigint, {_HEADER}, {_ENTRY.replace('destination string, ', '', 1)}"
 _OPTIONS = {"mode": "PERMISSIVE", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "columnNameOfCorruptRecord": "_broken"}
 
 
@@ -33,10 +37,37 @@ class Plan:
     skipped: DataFrame
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, in the order in which they were written: those of no run by name, then the runs by number. Hidden ones aren't data."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(at).isFile():
+        return [at.toString()]
+    root, found, walk = len(fs.makeQualified(at).toString()), [], fs.listFiles(at, True)
+    while walk.hasNext():
+        name = walk.next().getPath().toString()
+        if not re.search(r"/[._][^/]*", name[root:]):
+            run = re.match(r"/run-(\d+)/", name[root:])
+            found.append((int(run[1]) if run else 0, name))
+    return [name for _, name in sorted(found)]
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1, in one file's order) and value of every line that isn't blank."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"))
-    return rows.filter(F.btrim("value", F.lit(" \t\r\n")) != "")
+    """line_no, which orders the lines of all files, and value of every line that isn't blank."""
+    files = _files(spark, path)
+    if not files:
+        return spark.createDataFrame([], "value string, line_no bigint")
+    if len(files) >= 1 << _FILE_BITS:
+        raise ValueError(f"{path} has more files than can be put in order")
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/+", "/")
+    rank = spark.createDataFrame(list(enumerate(files)), "rank bigint, file string").select("rank", plain(F.col("file")).alias("file"))
+    block = F.least(F.shiftright("_metadata.file_block_start", 20), F.lit((1 << _BLOCK_BITS) - 1))
+    line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
+    name = plain(F.try_url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
+    rows = spark.read.text(files).select("value", name.alias("file"), block.alias("block"), line.alias("line")).join(F.broadcast(rank), "file")
+    number = F.col("rank") * (1 << (_BLOCK_BITS + _LINE_BITS)) + F.col("block") * (1 << _LINE_BITS) + F.col("line")
+    return rows.filter(F.btrim("value", F.lit(" \t\r\n")) != "").select("value", number.alias("line_no"))
 
 
 def read_plan(spark: SparkSession, path: str) -> Plan:
@@ -52,19 +83,92 @@ def read_plan(spark: SparkSession, path: str) -> Plan:
     if header["version"] > PLAN_VERSION:
         raise ValueError(f"unsupported plan version {header['version']}")
     fields = [x.split(" ")[0] for x in _ENTRY.split(", ")]
-    entries = parsed.filter("r.kind = 'entry'").select(*[F.col(f"r.{c}").alias(c) for c in fields], F.col("line_no").alias("ordinal"))
+    entries = parsed.filter("r.kind = 'entry'").select(*[F.col(f"r.{c}").alias(c) for c in fields], F.coalesce("r.ordinal", "line_no").alias("ordinal"))
     entries = entries.withColumns({"candidates": F.coalesce("candidates", F.array().cast(CANDIDATES)), "flags": F.coalesce("flags", F.array().cast(FLAGS)), "tags": F.coalesce("tags", F.array().cast("array<string>")), "rotate": F.coalesce("rotate", F.lit("none")), "reencode": F.coalesce("reencode", F.lit(False)), "orientation": F.coalesce("orientation", F.lit(1))})
     skipped = parsed.filter("r.kind = 'skipped'").select(*[F.col(f"r.{x.split(' ')[0]}") for x in SKIPPED.split(", ")])
     return Plan({k: header[k] for k in ("version", "created_at", "sources", "destination", "folder_pattern", "detect")}, entries, skipped)
 
 
+def _fs(spark: SparkSession, *paths: str) -> tuple:
+    found = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark._jsc.hadoopConfiguration()), *found
+
+
+def _renamed(fs, a, b) -> None:
+    if not fs.rename(a, b):
+        raise OSError(f"can't rename {a.toString()} to {b.toString()}")
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    """What a swap that was cut short left: the new folder if it is whole, else the old one."""
+    fs, at, new, old = _fs(spark, path, path + ".new", path + ".old")
+    if not fs.exists(at):
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + ".new/_SUCCESS")) and fs.exists(old):
+            _renamed(fs, new, at)
+        elif fs.exists(old):
+            _renamed(fs, old, at)
+    if fs.exists(at):
+        fs.delete(old, True)
+
+
+def _swap(spark: SparkSession, path: str) -> None:
+    """Puts path.new in the place of path. At every moment the old or the new folder is there in whole, and _recover() finds it."""
+    fs, at, new, old = _fs(spark, path, path + ".new", path + ".old")
+    if fs.exists(at):
+        fs.delete(old, True)
+        _renamed(fs, at, old)
+    _renamed(fs, new, at)
+    fs.delete(old, True)
+
+
+def plain_header(header: dict) -> dict:
+    """A header as JSON has it."""
+    plain = lambda v: v.asDict(recursive=True) if hasattr(v, "asDict") else v.isoformat() if isinstance(v, datetime) else v
+    return {k: plain(v) for k, v in header.items()}
+
+
+def _plan_lines(kind: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.to_json(F.struct(F.lit(kind).alias("kind"), *rows.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("value"))
+
+
 def write_plan(header: dict, entries: DataFrame, skipped: DataFrame, path: str) -> None:
-    """A folder of JSON lines that read_plan() takes; written beside the old one and committed by Spark, so a failed write leaves that as it was."""
+    """A folder of JSON lines that read_plan() takes. It is written beside the old one, which entries may still be read from, and then put in its place; each entry bears its ordinal."""
     spark = entries.sparkSession
-    head = spark.createDataFrame([json.dumps({"kind": "header", "version": PLAN_VERSION, **header}, default=str)], "string").toDF("value")
-    body = entries.orderBy("ordinal").drop("ordinal") if "ordinal" in entries.columns else entries
-    lines = [head, *(x.select(F.to_json(F.struct(F.lit(k).alias("kind"), *x.columns), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("value")) for k, x in (("entry", body), ("skipped", skipped)))]
-    lines[0].unionByName(lines[1]).unionByName(lines[2]).write.mode("overwrite").text(path)
+    head = spark.createDataFrame([json.dumps({"kind": "header", "version": PLAN_VERSION, **plain_header(header)})], "string").toDF("value")
+    head.unionByName(_plan_lines("entry", entries)).unionByName(_plan_lines("skipped", skipped)).write.mode("overwrite").text(path + ".new")
+    _swap(spark, path)
+
+
+def retarget_plan(spark: SparkSession, path: str, root: str | None, journal: str | None = None) -> bool:
+    """Gives a written plan another destination; the journal of copies to the old one goes. False, and nothing is done, if it has that destination already."""
+    from datewright.operators.overlay import retarget
+
+    plan = read_plan(spark, path)
+    if plan.header["destination"] == root:
+        return False
+    write_plan({**plan.header, "version": PLAN_VERSION, "destination": root}, retarget(plan.entries, root or "", plan.header["folder_pattern"]), plan.skipped, path)
+    if journal is not None:
+        fs, at = _fs(spark, journal)
+        fs.delete(at, True)
+    return True
+
+
+def scan_on(spark: SparkSession, path: str, header: dict, files: DataFrame) -> tuple[DataFrame, Plan | None]:
+    """The files that a scan has still to look at, and the plan that it goes on with: none if there is none, or if its options are others, and then all files are to be looked at."""
+    if not _exists(spark, path):
+        return files, None
+    plan = read_plan(spark, path)
+    if not resumable(plain_header(plan.header), plain_header(header)):
+        return files, None
+    known = plan.entries.select("source").unionByName(plan.skipped.select("source"))
+    return files.join(known, "source", "left_anti"), plan
+
+
+def append_plan(plan: Plan, entries: DataFrame, skipped: DataFrame, path: str) -> None:
+    """Adds what scan_on() left to look at; entries' ordinals, from 0, go on after the plan's."""
+    last = plan.entries.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("n")).head()["n"]
+    lines = _plan_lines("entry", entries.withColumn("ordinal", F.col("ordinal") + last + 1)).unionByName(_plan_lines("skipped", skipped))
+    lines.write.mode("append").text(path)
 
 
 def resumable(old: dict, new: dict) -> bool:
@@ -84,9 +188,17 @@ def read_journal(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("r._broken is null and r.source is not null and r.status is not null").select("line_no", *[f"r.{c.split(' ')[0]}" for c in ("source", "status", "destination", "error", "written")])
 
 
+def append_journal(rows: DataFrame, path: str) -> None:
+    """Adds a run's records (source, status, destination, error, written) to a journal folder. Runs are numbered, so the last record of a source is the last run's however many files a run has."""
+    spark = rows.sparkSession
+    fs, at = _fs(spark, path)
+    runs = [int(m[1]) for x in (fs.listStatus(at) if fs.exists(at) else []) if (m := re.fullmatch(r"run-(\d+)", x.getPath().getName()))]
+    rows.select(F.to_json(F.struct("source", "status", "destination", "error", "written")).alias("value")).write.text(f"{path}/run-{max(runs, default=0) + 1:06d}")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
 
 
 def _document(spark: SparkSession, path: str) -> str:
@@ -132,7 +244,8 @@ _SIGHTING = "source string, tags array<string>, vector array<float>, quality flo
 
 
 def open_store(spark: SparkSession, path: str, legacy: str | None = None) -> DataFrame:
-    """An empty store where there is none yet; then a legacy JSON sidecar (source to tags) is taken in once and set aside."""
+    """An empty store where there is none yet; then a legacy JSON sidecar (source to tags) is taken in once and set aside. A store whose replacement was cut short is found again."""
+    _recover(spark, path)
     if not _exists(spark, path):
         spark.createDataFrame([], _SIGHTING).write.parquet(path)
     store = spark.read.schema(_SIGHTING).parquet(path)
@@ -146,13 +259,8 @@ def open_store(spark: SparkSession, path: str, legacy: str | None = None) -> Dat
 
 def replace_store(store: DataFrame, path: str) -> None:
     """Writes beside the store, then swaps: store may read from path."""
-    spark = store.sparkSession
     store.write.mode("overwrite").parquet(path + ".new")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path + ".new", path))
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    _swap(store.sparkSession, path)
 
 
 @dataclass

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from datewright.plans import catalogue
+from datewright.plans import catalogue, files  # noqa: F401  (files adds its queries)
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

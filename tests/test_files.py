@@ -1,6 +1,7 @@
 """Real files: scanning, sidecars, EXIF, persisted forms, and streams."""
 
 import json
+import os
 import struct
 from datetime import datetime
 
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from datewright.operators import similar, transfer, vision
+from datewright import config as C
+from datewright.operators import overlay, similar, transfer, vision
 from datewright.operators.resolve import resolve
 from datewright.sources import exif, listing, providers, records
 from datewright.streaming import incremental
@@ -185,13 +187,130 @@ def test_execute_copies(spark, tmp_path):
         (src / name).write_bytes(body)
         rows.append((str(src / name), f"{out}/x/{'a' if name == 'a.jpg' else 'b'}.jpg", len(body), name[0] if name != "c.jpg" else "b", datetime(2021, 2, 3, 4, 5, 6)))
     plan = transfer.allocate(spark.createDataFrame(rows, "source string, destination string, size bigint, hash string, taken timestamp_ntz"))
-    journal = {r.source.rsplit("/", 1)[1]: r for r in transfer.execute(plan, stamp=True).collect()}
+    journal = {r.source.rsplit("/", 1)[1]: r for r in transfer.copy_files(plan, str(tmp_path / "j"), stamp=True).collect()}
     assert {k: r.status for k, r in journal.items()} == {"a.jpg": "copied", "b.jpg": "copied", "c.jpg": "already_present", "d.jpg": "duplicate"}
     assert (out / "x" / "b.jpg").read_bytes() == b"same" and (out / "x" / "b_dup_1.jpg").read_bytes() == b"other"
     assert exif.dates((out / "x" / "a.jpg").read_bytes())[0][1] == "2021:02:03 04:05:06" and journal["a.jpg"].written.size == len(jpeg(tiff()))
     assert {p.name for p in (out / "x").iterdir()} == {"a.jpg", "b.jpg", "b_dup_1.jpg"}
-    again = {r.status for r in transfer.execute(plan, stamp=True).collect()}
+    again = {r.status for r in transfer.copy_files(plan, str(tmp_path / "j"), stamp=True).collect()}
     assert again == {"copied", "already_present", "duplicate"}  # the same contents may be written again
+    counted = transfer.copy_counters(transfer.latest(records.read_journal(spark, str(tmp_path / "j"))).withColumn("turned", F.lit(False)).withColumn("size", F.lit(1))).head()
+    assert (counted.copied, counted.duplicate, counted.already_present, counted.failed) == (2, 1, 1, 0)
+
+
+def test_copies_that_rely_on_a_failed_one(spark, tmp_path):
+    """A file whose content another should have written hasn't been copied if that one failed."""
+    rows = [(str(tmp_path / n), str(tmp_path / "out" / "a.jpg"), 4, "same") for n in ("missing.jpg", "z.jpg")]
+    (tmp_path / "z.jpg").write_bytes(b"same")
+    plan = transfer.allocate(spark.createDataFrame(rows, "source string, destination string, size bigint, hash string"))
+    done = {r.source.rsplit("/", 1)[1]: r for r in transfer.copy_files(plan, str(tmp_path / "j")).collect()}
+    assert {k: r.status for k, r in done.items()} == {"missing.jpg": "failed", "z.jpg": "failed"} and "failed" in done["z.jpg"].error
+    again = transfer.pending(spark.createDataFrame([(r[0],) for r in rows], "source string"), records.read_journal(spark, str(tmp_path / "j")), retry_failed=True)
+    assert again.count() == 2
+
+
+def test_turned_copies(spark, tmp_path):
+    """A function of the caller's turns the bytes; what it can't turn is copied as it is."""
+    rows = []
+    for name, turn in (("a", "rot90"), ("b", "none"), ("c", "rot180")):
+        (tmp_path / name).write_bytes(name.encode())
+        rows.append((str(tmp_path / name), str(tmp_path / "out" / name), 1, name, turn, False))
+    plan = transfer.allocate(spark.createDataFrame(rows, "source string, destination string, size bigint, hash string, rotate string, reencode boolean"))
+    done = transfer.copy_files(plan, str(tmp_path / "j"), rotate=lambda data, turn, reencode: data + turn.encode() if turn == "rot90" else None).collect()
+    assert {r.source[-1]: r.written.size if r.written else None for r in done} == {"a": 6, "b": None, "c": None}
+    assert [(tmp_path / "out" / n).read_bytes() for n in "abc"] == [b"arot90", b"b", b"c"]
+
+
+def test_names_run_out(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_VARIANTS", 3)
+    plan = transfer.allocate(spark.createDataFrame([(f"/s/{i}", "/d/a.jpg", 1, str(i)) for i in range(5)], "source string, destination string, size bigint, hash string"))
+    assert [(r.outcome, r.path) for r in plan.orderBy("source").collect()] == [("copied", "/d/a.jpg"), ("duplicate", "/d/a_dup_1.jpg"), ("duplicate", "/d/a_dup_2.jpg"), ("failed", None), ("failed", None)]
+    assert {r.status for r in transfer.execute(plan.filter("path is null")).collect()} == {"failed"}
+    behind = spark.createDataFrame([("/d/a.jpg", 0, 1, "x"), ("/d/a.jpg", 2, 1, "1")], "destination string, variant bigint, size bigint, hash string")
+    plan = transfer.allocate(spark.createDataFrame([("/s/1", "/d/a.jpg", 1, "1")], "source string, destination string, size bigint, hash string"), behind)
+    assert [(r.outcome, r.variant) for r in plan.collect()] == [("duplicate", 1)]  # a probe ends at the first free name
+
+
+def test_journal_of_many_files(spark, tmp_path):
+    """Spark reads large files first; the last record of a source is the last run's all the same."""
+    path = str(tmp_path / "a b+c" / "j")
+    row = lambda i, status: (f"/s/{i}", status, "/d", None, None)
+    schema = "source string, status string, destination string, error string, written struct<size:bigint,hash:string>"
+    records.append_journal(spark.createDataFrame([row(0, "failed")], schema), path)
+    records.append_journal(spark.createDataFrame([row(i, "copied") for i in range(5000)], schema).repartition(7), path)
+    records.append_journal(spark.createDataFrame([row(1, "failed")], schema), path)
+    last = {r.source: r.status for r in transfer.latest(records.read_journal(spark, path)).collect()}
+    assert len(last) == 5000 and last["/s/0"] == "copied" and last["/s/1"] == "failed" and set(last.values()) == {"copied", "failed"}
+
+
+def test_a_replacement_that_was_cut_short(spark, tmp_path):
+    """Whatever moment a store's replacement ends at, the old one or the new one is opened."""
+    path = str(tmp_path / "store")
+    rows = lambda *x: spark.createDataFrame([(s, ["t"], None, 1.0) for s in x], "source string, tags array<string>, vector array<float>, quality float")
+    records.replace_store(rows("/old"), path)
+    rows("/new").write.parquet(path + ".new")
+    os.rename(path, path + ".old")  # as after the first of the two renames
+    assert [r.source for r in records.open_store(spark, path).collect()] == ["/new"] and not os.path.exists(path + ".old")
+    rows("/half").write.parquet(path + ".new")
+    os.remove(path + ".new/_SUCCESS")
+    os.rename(path, path + ".old")
+    assert [r.source for r in records.open_store(spark, path).collect()] == ["/new"]
+    records.replace_store(records.open_store(spark, path).unionByName(rows("/more")), path)
+    assert sorted(r.source for r in records.open_store(spark, path).collect()) == ["/more", "/new"]
+
+
+def test_guards(spark):
+    """What commands refuse."""
+    t = datetime(2020, 1, 2)
+    plan = spark.createDataFrame([("/a", t, [("exif", None, t)]), ("/b", datetime(9999, 12, 31), [])], "source string, taken timestamp_ntz, candidates array<struct<provider:string,info:string,taken:timestamp_ntz>>")
+    side = spark.createDataFrame([], "source string, taken timestamp_ntz, origin string, provider string, seconds bigint")
+    done = lambda status: spark.createDataFrame([("/a", status)], "source string, status string")
+    of = lambda *x: spark.createDataFrame([(s,) for s in x], "source string")
+    for call, message in (
+        (lambda: overlay.set_manual(plan, side, "/a", "tomorrow"), "isn't a date"),
+        (lambda: overlay.set_manual(plan, side, "/c", "2020-01-01"), "isn't in the plan"),
+        (lambda: overlay.set_manual(plan, side, "/a", "2020-01-01", done("copied")), "has been copied"),
+        (lambda: overlay.set_candidate(plan, side, "/b", "exif"), "no date from exif"),
+        (lambda: overlay.shift(plan, side, of("/a", "/b"), 86400), "outside the calendar"),
+        (lambda: overlay.shift(plan, side, of("/a"), 1 << 60), "too large"),
+        (lambda: overlay.reprovide(plan, side, of("/a", "/b"), "xmp"), "none of those files"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            call()
+    new = overlay.set_manual(plan, side, "/a", "2021-03-04 05:06", done("failed"))
+    assert [(r.source, r.taken, r.origin) for r in new.collect()] == [("/a", datetime(2021, 3, 4, 5, 6), "manual")]
+    assert overlay.clear(new, of("/a")).count() == 0
+    assert [r.source for r in overlay.reprovide(plan, side, of("/a", "/b"), "exif").collect()] == ["/a"]
+
+
+def test_exif_containers():
+    from datewright.plans.files import picture
+
+    for ext in ("jpg", "tif", "png", "webp", "raf"):
+        data = picture(ext, "2015:06:07 08:09:10", 6)
+        assert exif.dates(data) == [("DateTimeOriginal", "2015:06:07 08:09:10")] and exif.orientation(data) == 6, ext
+        assert exif.dates(exif.stamp(data, datetime(2021, 2, 3, 4, 5, 6)))[0][1] == "2021:02:03 04:05:06"
+        assert exif.dates(data[:40]) == [] and exif.orientation(b"") == 1
+    block = picture("tif", "2015:06:07 08:09:10", 6)
+    boxes = b"\0\0\0\x18ftypcrx " + bytes(8) + b"\0\0\0\x50CMT1" + block
+    assert exif.dates(boxes) == [("DateTimeOriginal", "2015:06:07 08:09:10")]
+    for magic in (b"IIU\0", b"IIRO"):
+        assert exif.orientation(magic + block[4:]) == 6
+
+
+def test_scratch_needs_a_shared_folder():
+    from datewright.sources import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch.scratch(Session(), "x")
 
 
 def test_small_rules(spark):

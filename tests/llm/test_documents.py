@@ -9,7 +9,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from datewright.llm import common as common_module
 from datewright.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup
 from llm_rows import ODD
 
@@ -614,6 +616,56 @@ def test_suffix_array_order(text):
 # All of them
 
 
+def test_shared_folder_is_named_on_a_cluster():
+    from datewright.llm import common
+
+    class Conf:
+        def __init__(self, found):
+            self.found = found
+
+        def get(self, *_):
+            return self.found
+
+    def session(master, found=None):
+        return type("S", (), {"conf": Conf(found), "sparkContext": type("C", (), {"master": master, "applicationId": "a"})})
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+            common.shared_dir(session(master))
+    assert common.shared_dir(session("yarn", "hdfs:/x/")) == "hdfs:/x/llm-a"
+    assert common.shared_dir(session("local[4]")).endswith("llm-a")
+
+
+def test_sieve(spark):
+    """What may have a partner, and what has none; with far more keys than the bitmap has room for, all may."""
+    from datewright.llm import common
+
+    left = spark.range(20_000).withColumn("s", F.when(F.col("id") % 2 == 0, "x"))
+    keys = left.filter("id % 10 = 0").select("id", "s")
+    may, none = common.sieved(left, keys, 2000)
+    assert may.columns == left.columns == none.columns and may.count() + none.count() == 20_000
+    assert may.join(keys, "id").count() == 2000 and may.count() < 4000
+    may, none = common.sieved(left, keys, 0)
+    assert may.join(keys, "id").count() == 2000 and none.join(keys, "id").count() == 0
+    may, none = common.sieved(left, keys.limit(0), 0)
+    assert may.count() == 0 and none.count() == 20_000
+
+
+def test_hot_line(spark, monkeypatch):
+    """A line that nearly all documents have, over many Arrow batches of one task."""
+    monkeypatch.setattr(common_module, "BATCH_ROWS", 50)
+    shout = "This line is in nearly all documents, and it is long enough"
+    rows = [(i, f"own {i}\n{shout if i % 20 else 'other ' * 10}\n{shout.upper() if i % 3 == 0 else 'x'}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_dedup_digests(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == line_brute(rows)
+
+
 def test_odd_rows_do_not_crash(odd, empty):
     operators = [exact_dedup.exact_dedup, line_dedup.line_dedup_digests, mixing.mix, quality_rules.quality_rules, quality_classifier.quality_classifier, language_id.language_id, packing.pack, near_dedup.near_duplicates, suffix_dedup.suffix_dedup_digests]
     for f in operators:

@@ -538,6 +538,7 @@ _FOUND = "lane long, shard long, bits binary"
 
 
 def _back(bits: DataFrame) -> DataFrame:
+    """Each shard's answers, in one row."""
     return bits.groupBy("shard").agg(F.collect_list(F.struct("lane", "bits")).alias("found"))
 
 
@@ -548,18 +549,21 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shards = materialize(mapped(pick(docs, "doc_id", "text"), _shards(SHARD_BYTES), _SHARD), "shards")
     total = shards.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).head()["n"]
     lanes = max(12, -(-3 * total // LANE_BYTES))  # text shrinks to about a third
+    n = shards.count()
+    # as many partitions as the input asks for, so that no task grows with it: a lane's messages, some shards
+    by_lane, by_shard = (lambda df, k=lanes: df.repartition(k, "lane").groupBy("lane")), (lambda df: df.repartition(max(12, n // 4), "shard"))
     asked = mapped(shards, _asked(lanes, length), "lane long, shard long, keys binary")
-    bits = materialize(_back(asked.groupBy("lane").applyInArrow(_recurring(HOT_SHARDS), _FOUND)), "anchors")
-    groups = -(-shards.count() // FAN_IN)
-    resolved = mapped(shards.join(bits.hint("merge"), "shard", "left"), _resolved(lanes, length, groups), "lane long, shard long, blob binary")
-    answers = level = materialize(resolved.groupBy("lane").applyInArrow(_merged(lanes, length, groups, FAN_IN), _MERGED), "answers")
+    bits = materialize(_back(by_lane(asked, max(12, lanes // 4)).applyInArrow(_recurring(HOT_SHARDS), _FOUND)), "anchors")
+    groups = -(-n // FAN_IN)
+    resolved = mapped(by_shard(shards).join(by_shard(bits).hint("merge"), "shard", "left"), _resolved(lanes, length, groups), "lane long, shard long, blob binary")
+    answers = level = materialize(by_lane(resolved).applyInArrow(_merged(lanes, length, groups, FAN_IN), _MERGED), "answers")
     states = answers.filter("lane is null and up is null").select("shard", F.col("bits").alias("state"))
     while groups > 1:
         groups = -(-groups // FAN_IN)
         climbing = level.filter("up is not null").select(F.col("up").alias("lane"), "shard", F.col("bits").alias("blob"))
-        level = materialize(climbing.groupBy("lane").applyInArrow(_merged(lanes, length, groups, FAN_IN), _MERGED), "answers")
+        level = materialize(by_lane(climbing, max(12, lanes // 4)).applyInArrow(_merged(lanes, length, groups, FAN_IN), _MERGED), "answers")
         answers = answers.unionByName(level)
-    last = shards.join(states.hint("merge"), "shard").join(_back(answers.filter("lane is not null")).hint("merge"), "shard", "left")
+    last = by_shard(shards).join(by_shard(states).hint("merge"), "shard").join(_back(by_shard(answers.filter("lane is not null"))).hint("merge"), "shard", "left")
     return mapped(last, _removed(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
 
 

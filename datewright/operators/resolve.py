@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,65 +28,62 @@ def candidates(columns: dict[str, tuple[Column, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(~dated, one(p)) if p == "system" else one(p) for p in known]))
 
 
-def _ntz(at: datetime) -> Column:
-    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
-
-
 def flag(name: str, **payload: Column) -> Column:
     fields = {"days": "bigint", "anchor": "timestamp_ntz", "files": "bigint", "years": "bigint", "hours": "bigint"}
     return F.struct(F.lit(name).alias("flag"), *[payload.get(k, F.lit(None)).cast(t).alias(k) for k, t in fields.items()])
 
 
-def _date_rules(taken: Column, written: Column, now: datetime) -> list[Column]:
-    """A factory-reset date, the future, later than the file was written; never null."""
-    seconds = F.hour(taken) * 3600 + F.minute(taken) * 60 + F.floor(F.extract(F.lit("second"), taken))
-    rules = [(F.month(taken) == 1) & (F.dayofmonth(taken) == 1) & (seconds <= C.EPOCH_SECONDS), taken > _ntz(now), micros(taken) - micros(written) > C.WRITE_HOURS * HOUR_US]
+def _date_rules(taken: Column, us: Column, written: Column, now: datetime) -> list[Column]:
+    """A factory-reset date, the future, later than the file was written; never null. us: taken in microseconds."""
+    rules = [(F.dayofyear(taken) == 1) & (F.pmod(us, F.lit(DAY_US)) < (C.EPOCH_SECONDS + 1) * 1_000_000), us > round(now.replace(tzinfo=UTC).timestamp() * 1_000_000), us - micros(written) > C.WRITE_HOURS * HOUR_US]
     return [F.coalesce(r, F.lit(False)) for r in rules]
 
 
 def date_flags(taken: Column, written: Column, now: datetime) -> Column:
     names = ("camera_epoch", "future_date", "taken_after_file_write")
-    return F.array_compact(F.array(*[F.when(r, flag(n)) for n, r in zip(names, _date_rules(taken, written, now), strict=True)]))
+    return F.array_compact(F.array(*[F.when(r, flag(n)) for n, r in zip(names, _date_rules(taken, micros(taken), written, now), strict=True)]))
 
 
-#: A file has a candidate of each provider at most; expressions over so many places are compiled, where functions over arrays are interpreted.
-PLACES = len(C.PROVIDERS)
+# A file has seven candidates at most. What is said of pairs of them are functions over that small array: written out place by place they would make methods too large for the JVM's compiler.
 
 
-def _times(found: Column) -> list[Column]:
-    return [micros(F.get(found, F.lit(i))["taken"]) for i in range(PLACES)]
+def times(found: Column) -> Column:
+    """The candidates' times in microseconds."""
+    return F.transform(found, lambda c: micros(c["taken"]))
 
 
-def spread_days(found: Column, us: list[Column] | None = None) -> Column:
-    us = us or _times(found)
-    return F.floor((F.greatest(*us) - F.least(*us)) / DAY_US).cast("bigint")
+def spread_days(found: Column, us: Column | None = None) -> Column:
+    us = times(found) if us is None else us
+    return F.floor((F.array_max(us) - F.array_min(us)) / DAY_US).cast("bigint")
 
 
-def timezone_hours(taken: Column, found: Column, us: list[Column] | None = None) -> Column:
+def timezone_hours(taken: Column, found: Column) -> Column:
     """Whole hours, 1 to 14, between the date and the first candidate that is exactly so far away; the file system's isn't looked at."""
-    out = []
     own = micros(taken)
-    for i, other in enumerate(us or _times(found)):
-        gap = F.abs(other - own)
-        fits = (F.get(found, F.lit(i))["provider"] != "filesystem") & (gap % HOUR_US == 0) & (gap >= HOUR_US) & (gap <= C.MAX_ZONE_HOURS * HOUR_US)
-        out.append(F.when(fits, F.floor(gap / HOUR_US)))
-    return F.coalesce(*out).cast("bigint")
 
+    def fits(c: Column) -> Column:
+        gap = F.abs(micros(c["taken"]) - own)
+        return (c["provider"] != "filesystem") & (gap % HOUR_US == 0) & gap.between(HOUR_US, C.MAX_ZONE_HOURS * HOUR_US)
+
+    first = F.get(F.filter(found, fits), F.lit(0))
+    return F.floor(F.abs(micros(first["taken"]) - own) / HOUR_US).cast("bigint")
 
-def entry_flags(taken: Column, found: Column, written: Column, now: datetime, us: list[Column] | None = None) -> Column:
-    days, hours = spread_days(found, us), timezone_hours(taken, found, us)
+
+def entry_flags(taken: Column, found: Column, written: Column, now: datetime, us: Column | None = None) -> Column:
+    days, hours = spread_days(found, us), timezone_hours(taken, found)
     rest = F.array_compact(F.array(F.when(days > C.SPREAD_DAYS, flag("provider_spread", days=days)), F.when(hours.isNotNull(), flag("timezone_shift", hours=hours))))
     return F.concat(date_flags(taken, written, now), rest).cast(f"array<{FLAG}>")
 
 
-def _near(a: Column, b: Column) -> Column:
-    return F.coalesce(F.abs(a - b) < C.CONSENSUS_HOURS * HOUR_US, F.lit(False))
+def _agreeing(us: Column, own: Column) -> Column:
+    """How many others lie less than a day from one of them."""
+    return F.size(F.filter(us, lambda u: F.abs(u - own) < C.CONSENSUS_HOURS * HOUR_US)) - 1
 
 
-def corroborated(found: Column, us: list[Column] | None = None) -> Column:
+def corroborated(found: Column, us: Column | None = None) -> Column:
     """Two candidates less than a day apart."""
-    us = us or _times(found)
-    return reduce(lambda a, b: a | b, [_near(us[i], us[j]) for i in range(PLACES) for j in range(i)])
+    us = times(found) if us is None else us
+    return F.exists(us, lambda u: _agreeing(us, u) > 0)
 
 
 def severity(name: Column) -> Column:
@@ -97,7 +94,7 @@ def any_hard(flags: Column) -> Column:
     return F.exists(flags, lambda f: severity(f["flag"]) == "hard")
 
 
-def confidence(flags: Column, found: Column, us: list[Column] | None = None) -> Column:
+def confidence(flags: Column, found: Column, us: Column | None = None) -> Column:
     noted = F.forall(flags, lambda f: severity(f["flag"]) == "note")
     return F.when(any_hard(flags), "low").when(noted & corroborated(found, us), "high").otherwise("medium")
 
@@ -122,53 +119,46 @@ def _literal_map(values: dict[str, int]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
-def _case(name: Column, values: dict[str, int]) -> Column:
-    out = F.lit(None).cast("int")
-    for k, v in values.items():
-        out = F.when(name == k, F.lit(v)).otherwise(out)
-    return out
+def _score(taken: Column, provider: Column, us: Column, every: Column, written: Column, now: datetime, options: C.DetectOptions) -> Column:
+    weight = _literal_map({p: options.weight(p) for p in C.PROVIDERS})[provider]
+    flags = sum((f.cast("int") for f in _date_rules(taken, us, written, now)), F.lit(0))
+    return weight - C.FLAG_PENALTY * flags + C.CONSENSUS_BONUS * _agreeing(every, us)
 
 
 def score(c: Column, found: Column, written: Column, now: datetime, options: C.DetectOptions) -> Column:
-    agreeing = F.size(F.filter(found, lambda o: (o["provider"] != c["provider"]) & (F.abs(micros(o["taken"]) - micros(c["taken"])) < C.CONSENSUS_HOURS * HOUR_US)))
-    weight = _literal_map({p: options.weight(p) for p in C.PROVIDERS})[c["provider"]]
-    return weight - C.FLAG_PENALTY * F.size(date_flags(c["taken"], written, now)) + C.CONSENSUS_BONUS * agreeing
+    return _score(c["taken"], c["provider"], micros(c["taken"]), times(found), written, now, options)
 
 
 def _of_provider(found: Column, provider: str) -> Column:
     return F.get(F.filter(found, lambda c: c["provider"] == provider), F.lit(0))
 
 
-def choose(found: Column, written: Column, now: datetime, options: C.DetectOptions, us: list[Column] | None = None) -> Column:
+def choose(found: Column, written: Column, now: datetime, options: C.DetectOptions, us: Column | None = None) -> Column:
     """The chosen detection; null without candidates. Ties: the earlier date, then the weightier provider, then the later in provider order."""
-    place = [F.get(found, F.lit(i)) for i in range(PLACES)]
-    us = us or _times(found)
     if options.strategy == "priority":
         return F.coalesce(*[_of_provider(found, p) for p in options.providers])
-    rank = [_case(c["provider"], {p: i for i, p in enumerate(C.PROVIDERS)}) for c in place]
-    if options.strategy == "oldest":
-        best = F.least(*[F.when(c.isNotNull(), F.struct(u.alias("us"), r.alias("rank"), F.lit(i).alias("i"))) for i, (c, u, r) in enumerate(zip(place, us, rank, strict=True))])
-        return F.get(found, best["i"])
-    keyed = []
-    for i, c in enumerate(place):
-        weight = _case(c["provider"], {p: options.weight(p) for p in C.PROVIDERS})
-        flags = sum((f.cast("int") for f in _date_rules(c["taken"], written, now)), F.lit(0))
-        agreeing = sum((_near(us[j], us[i]).cast("int") for j in range(PLACES) if j != i), F.lit(0))
-        points = weight - C.FLAG_PENALTY * flags + C.CONSENSUS_BONUS * agreeing
-        keyed.append(F.when(c.isNotNull(), F.struct(points.alias("score"), (-us[i]).alias("early"), weight.alias("weight"), rank[i].alias("rank"), F.lit(i).alias("i"))))
-    return F.get(found, F.greatest(*keyed)["i"])
+    us = times(found) if us is None else us
+    rank = _literal_map({p: i for i, p in enumerate(C.PROVIDERS)})
+    weight = _literal_map({p: options.weight(p) for p in C.PROVIDERS})
+
+    def key(own: Column, i: Column) -> Column:
+        c = F.get(found, i)
+        order = rank[c["provider"]].alias("rank")
+        if options.strategy == "oldest":
+            return F.struct((-own).alias("early"), (-order).alias("rank"), i.alias("i"))
+        return F.struct(_score(c["taken"], c["provider"], own, us, written, now, options).alias("score"), (-own).alias("early"), weight[c["provider"]].alias("weight"), order, i.alias("i"))
+
+    return F.get(found, F.array_max(F.transform(us, key))["i"])
 
 
 def resolve(files: DataFrame, now: datetime = C.NOW, options: C.DetectOptions | None = None) -> DataFrame:
     """Adds taken, provider, provider_info, flags and confidence to files with candidates and filesystem (time of the last write); files without candidates fall out."""
     options = options or C.DetectOptions()
-    names = [f"__us{i}" for i in range(PLACES)]
-    us = [F.col(n) for n in names]
-    # each time is converted once a row, and each step is a method small enough for the JVM's compiler
-    rows = files.filter(F.size("candidates") > 0).withColumns(dict(zip(names, _times(F.col("candidates")), strict=True)))
+    us = F.col("__us")
+    rows = files.filter(F.size("candidates") > 0).withColumn("__us", times(F.col("candidates")))
     out = rows.withColumn("chosen", choose(F.col("candidates"), F.col("filesystem"), now, options, us))
     if options.strategy == "priority":
         out = out.filter(F.col("chosen").isNotNull())
     out = out.withColumns({"taken": F.col("chosen.taken"), "provider": F.col("chosen.provider"), "provider_info": F.col("chosen.info")}).drop("chosen")
     out = out.withColumn("flags", entry_flags(F.col("taken"), F.col("candidates"), F.col("filesystem"), now, us))
-    return out.withColumn("confidence", confidence(F.col("flags"), F.col("candidates"), us)).drop(*names)
+    return out.withColumn("confidence", confidence(F.col("flags"), F.col("candidates"), us)).drop("__us")

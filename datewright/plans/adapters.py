@@ -25,8 +25,8 @@ def ship_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ordinal")).agg(line(1).alias("media"), line(2).alias("xmp"), line(3).alias("takeout"), F.max("l_shipdate").alias("filesystem"))
 
 
-def files_orders(spark: SparkSession, sf_dir: str, folder: str = "customer") -> DataFrame:
-    """ordinal, source, folder, taken, provider, size, filesystem: an order is a picture in its customer's (or priority's) folder."""
+def files_orders(spark: SparkSession, sf_dir: str, folder: str = "customer", lines: tuple[str, ...] = ("filesystem",)) -> DataFrame:
+    """ordinal, source, folder, taken, provider, size, filesystem: an order is a picture in its customer's (or priority's) folder. lines: columns of ship_dates()."""
     o = table(spark, sf_dir, "orders")
     where = F.concat(F.lit("/c"), F.col("o_custkey").cast("string")) if folder == "customer" else F.concat(F.lit("/"), F.col("o_orderpriority"))
     files = o.select(
@@ -37,16 +37,15 @@ def files_orders(spark: SparkSession, sf_dir: str, folder: str = "customer") ->
         F.lit("exif").alias("provider"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("size"),
     )
-    return files.join(ship_dates(spark, sf_dir).select("ordinal", "filesystem"), "ordinal", "left")
+    return files.join(ship_dates(spark, sf_dir).select("ordinal", *lines), "ordinal", "left")
 
 
 def detections_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files_orders' files with candidates: exif from the order, media, xmp, takeout and filesystem from its lines."""
-    files = files_orders(spark, sf_dir).drop("taken", "provider", "filesystem")
-    dates = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_orderdate").alias("exif")).join(ship_dates(spark, sf_dir), "ordinal", "left")
+    """files_orders' files with candidates: exif from the order, media, xmp, takeout and filesystem from its lines. Each table is read once."""
+    dates = files_orders(spark, sf_dir, lines=("media", "xmp", "takeout", "filesystem"))
     none = F.lit(None).cast("string")
-    found = candidates({p: (F.col(p), none) for p in ("exif", "media", "xmp", "takeout", "filesystem")})
-    return files.join(dates.select("ordinal", "filesystem", found.alias("candidates")), "ordinal")
+    found = candidates({p: (F.col("taken" if p == "exif" else p), none) for p in ("exif", "media", "xmp", "takeout", "filesystem")})
+    return dates.select("ordinal", "source", "folder", "size", "filesystem", found.alias("candidates"))
 
 
 def files_reset(spark: SparkSession, sf_dir: str) -> DataFrame:

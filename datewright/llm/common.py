@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes of an Arrow batch at most: a worker holds some copies of one.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: A key is hot if it holds more than one in so many of the rows; so there are at most as many hot keys, and they can be broadcast.
 HOT_KEYS = 10_000
 #: Lookup tables of at most so many rows are broadcast; beyond that the join is shuffled.

@@ -84,21 +84,20 @@ def _by_lane(entries: np.ndarray, lanes: int, node: int) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([node] * len(full), pa.int64()), pa.array([entries[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary())], ["lane", "node", "run"])
 
 
+def _met(table: pa.Table) -> np.ndarray:
+    return _merge(np.concatenate([np.frombuffer(x, ENTRY) for x in table["run"].to_pylist()]))
+
+
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    merged = _merge(np.concatenate([np.frombuffer(x, ENTRY) for x in table["run"].to_pylist()]))
-    return pa.table({"lane": pa.array([key[0].as_py()], pa.int64()), "node": pa.array([key[1].as_py()], pa.int64()), "run": pa.array([merged.tobytes()], pa.binary())})
+    return pa.table({"lane": pa.array([key[0].as_py()], pa.int64()), "node": pa.array([key[1].as_py()], pa.int64()), "run": pa.array([_met(table).tobytes()], pa.binary())})
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for run in batch.column("run").to_pylist():
-            own = np.frombuffer(run, ENTRY)
-            own = own[own["rows"] > 1]
-            sha = own["sha"].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([sha[i : i + 32] for i in range(0, len(sha), 32)], pa.binary()), pa.array(own["check"].astype(np.int64)), id_array(own["id"]), pa.array(own["rows"])],
-                ["sha", "check", "keep_id", "group_size"],
-            )
+def _root(key: tuple, table: pa.Table) -> pa.Table:
+    """The last round: the texts of a lane that more than one row has."""
+    own = _met(table)
+    own = own[own["rows"] > 1]
+    sha = own["sha"].tobytes()
+    return pa.table({"sha": pa.array([sha[i : i + 32] for i in range(0, len(sha), 32)], pa.binary()), "check": pa.array(own["check"].astype(np.int64)), "keep_id": id_array(own["id"]), "group_size": pa.array(own["rows"])})
 
 
 def groups_of(digests: DataFrame, rows: int) -> DataFrame:
@@ -108,9 +107,10 @@ def groups_of(digests: DataFrame, rows: int) -> DataFrame:
     runs = mapped(digests, _runs(lanes), "lane long, node long, run binary")
     while True:
         nodes = -(-nodes // FAN_IN)
-        runs = runs.withColumn("node", F.floor(F.col("node") / FAN_IN)).groupBy("lane", "node").applyInArrow(_meet, "lane long, node long, run binary")
+        runs = runs.withColumn("node", F.floor(F.col("node") / FAN_IN)).groupBy("lane", "node")
         if nodes == 1:
-            return mapped(runs, _groups, "sha binary, check long, keep_id long, group_size long")
+            return runs.applyInArrow(_root, "sha binary, check long, keep_id long, group_size long")
+        runs = runs.applyInArrow(_meet, "lane long, node long, run binary")
 
 
 def digests_of(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,6 @@ import math
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ CAPACITY = 4096
 SLACK = 64
 END_ID = 2
 #: Words whose ids a worker keeps at most, at about 200 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -143,11 +142,8 @@ class WordIds:
 class WholeIds:
     """Ids of whole texts by any tokenizer."""
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
 
     def of(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and offsets."""
@@ -160,18 +156,15 @@ class WholeIds:
 PROBE = ["", " A b\n\tC  d ", "It's WE'LL 'tis x'sx don't", "ab12c3 ½ ²", "(x) [y]{z} a-b_c --- ...!", "ÀÉÎ groß ß ÿ × ÷ a×b", "日本語 テ 😀a😀b Жук ﬁ", "<|endoftext|> <|", "\x00nul\x01 \x7f", "antidisestablishmentarianism " * 3]
 
 
-@lru_cache(maxsize=8)
-def by_words(path: str) -> bool:
-    """Whether WordIds gives a tokenizer's own ids for PROBE: it does for those that drop case and white space and split words as the public word tokenizer does."""
+def encoder(path: str) -> WordIds | WholeIds:
+    """WordIds where it gives a tokenizer's own ids for PROBE: it does for those that drop case and white space and split words as the public word tokenizer does."""
+    quick = WordIds(path)
+    whole = WholeIds(quick.tokenizer)
     try:
-        found = WordIds(path).of(pa.array(PROBE))
+        found = quick.of(pa.array(PROBE))
     except Exception:  # not a model that can be asked for single pieces
-        return False
-    return all(np.array_equal(a, b) for a, b in zip(found, WholeIds(path).of(pa.array(PROBE)), strict=True))
-
-
-def encoder(path: str) -> WordIds | WholeIds:
-    return WordIds(path) if by_words(path) else WholeIds(path)
+        return whole
+    return quick if all(np.array_equal(a, b) for a, b in zip(found, whole.of(pa.array(PROBE)), strict=True)) else whole
 
 
 def cut(lengths: np.ndarray, capacity: int = CAPACITY, slack: int = SLACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,7 +14,8 @@ more of all windows of either. An alignment can't see passages that moved: where
 SIMILARITY or more. Classes are the connected components of links.
 
 Defined results: null text and text without words are linked with nothing but belong to themselves. Texts of fewer words than a window have one window, the
-whole text. Rows with the same doc_id are one document: they share its class. A null doc_id counts as smaller than any other. An empty table gives an
+whole text. Rows with the same doc_id are one document: they share its class, and
+if their texts differ only one of these is compared, so they need ids of their own first. A null doc_id counts as smaller than any other. An empty table gives an
 empty table. Extra columns are ignored by near_duplicates(), and kept by deduplicated().
 """
 

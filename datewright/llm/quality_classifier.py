@@ -6,7 +6,8 @@ A labeller votes good, bad or abstains. All that the estimation needs is how oft
 whether any labeller votes bad. The scorer sees nothing of the votes: it adds up weights of hashed words and word shapes (runs of small letters, of capitals, of digits;
 other characters as they are) and of words said over again, averaged over the text. It is trained on a sample by a hash of doc_id, of about TRAIN_ROWS documents; all documents are scored, as a whole.
 
-Defined results: a text without words has score 0 and isn't kept; null is one. Rows without doc_id aren't trained on. Repeated rows count each. An empty
+Defined results: a text without words has score 0 and isn't kept; null is one. Rows without doc_id aren't trained on. Repeated rows count each; of rows with the same doc_id and different texts, each is
+trained on under the label of one of them, and scored by its own text. An empty
 table gives an empty table. Extra columns are ignored.
 """
 

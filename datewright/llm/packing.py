@@ -3,7 +3,8 @@
 A piece of length l belongs to class k = capacity // l: its length lies in (capacity / (k + 1), capacity / k], so that any k
 pieces of the class fit one sequence. Sequences of a class are filled with k pieces each, independently of other classes and by every worker
 by itself: a worker numbers its pieces of a class, the class's pieces on workers before it (one small count for each worker and class) are
-added, and number // k is the sequence, number % k the place in it. So only a class's last sequence can be short of pieces.
+added, and number // k is the sequence, number % k the place in it. So only a class's last sequence can be short of pieces. Pieces stay where they are, each with the lengths
+of those before it in its class; only sequences that two workers share are brought together.
 
 A document longer than the capacity is cut into full pieces; what remains is cut again, at the largest capacity // k that it
 holds, only where it would leave more than 1 / SLACK of its length unused in its class.
@@ -198,18 +199,50 @@ def numbered(classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return number
 
 
+class Ahead:
+    """Of each piece of an uneven class the lengths of the pieces of its class before it, at most as many as a sequence has besides."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.tails = most, {}  # classes up to this one; by class, the last lengths
+
+    def of(self, classes: np.ndarray, size: np.ndarray) -> pa.ListArray:
+        starts, counts = np.zeros(len(classes), np.int64), np.zeros(len(classes), np.int64)
+        held, base = [], 0
+        order = np.argsort(classes, kind="stable")
+        found, begin = np.unique(classes[order], return_index=True)
+        for k, own in zip(found.tolist(), np.split(order, begin[1:]), strict=True):
+            if k > self.most:
+                break
+            tail = self.tails.get(k, np.zeros(0, np.int64))
+            lengths = np.concatenate([tail, size[own]])
+            end = len(tail) + np.arange(len(own))
+            counts[own] = np.minimum(k - 1, end)
+            starts[own] = base + end - counts[own]
+            held.append(lengths)
+            base += len(lengths)
+            self.tails[k] = lengths[max(0, len(lengths) - k + 1) :]
+        values = np.concatenate(held) if held else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values[gather(starts, counts)].astype(np.int32)))
+
+
+def uneven_classes(capacity: int) -> int:
+    """Classes beyond this one hold pieces of one length each, so that a piece's place in its sequence tells its offset."""
+    return math.isqrt(capacity) + 1
+
+
 def _pieces(path: str | None, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, counts, ids_of = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path or tokenizer_path())
+        ahead = Ahead(uneven_classes(capacity))
         for batch in batches:
             ids, offsets = ids_of.of(batch.column("text"), end_id)
             lengths = np.diff(offsets)
             doc, start, size = cut(lengths, capacity)
             first = offsets[doc] + start
             classes = capacity // size
-            columns = {"doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "doc_tokens": pa.array(lengths[doc]), "k": pa.array(classes), "part": pa.array(np.full(len(doc), part)), "number": pa.array(numbered(classes, counts))}
+            columns = {"doc_id": batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(size), "doc_tokens": pa.array(lengths[doc]), "k": pa.array(classes), "part": pa.array(np.full(len(doc), part)), "number": pa.array(numbered(classes, counts)), "ahead": ahead.of(classes, size)}
             ends = np.append(4 * first, 4 * len(ids)).astype(np.int32)
             columns["ids"] = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4", copy=False))])
             yield pa.RecordBatch.from_pydict(columns)
@@ -222,14 +255,18 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     Where ids aren't selected, they are read for their checksums but go no further. path: of the tokenizer's file on every worker; None: the public word tokenizer where it is installed.
     """
-    pieces = materialize(mapped(pick(docs, "doc_id", "text"), _pieces(path, capacity, end_id), "doc_id long, start long, length long, doc_tokens long, k long, part long, number long, ids binary"), "pieces")
+    pieces = materialize(mapped(pick(docs, "doc_id", "text"), _pieces(path, capacity, end_id), "doc_id long, start long, length long, doc_tokens long, k long, part long, number long, ahead array<int>, ids binary"), "pieces")
     counts = pieces.groupBy("k", "part").agg(F.count("*").alias("n"))
-    before = materialize(counts.select("k", "part", (F.sum("n").over(Window.partitionBy("k").orderBy("part")) - F.col("n")).alias("before")), "before")
+    before = materialize(counts.select("k", "part", "n", (F.sum("n").over(Window.partitionBy("k").orderBy("part")) - F.col("n")).alias("before")), "before")
     placed = lookup(pieces.withColumn("ids_crc32", F.crc32("ids")), before, ["k", "part"], "inner", before.count()).withColumn("number", F.col("number") + F.col("before"))
-    placed = placed.withColumn("sequence_id", F.col("k") * F.lit(1 << 40) + F.floor(F.col("number") / F.col("k")))
-    # the short classes hold pieces of one length each, so that a piece's place tells its offset; a sequence of the others has few pieces
-    short = F.col("k") > math.isqrt(capacity) + 1
-    ahead = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    even = placed.filter(short).withColumn("offset", F.col("number") % F.col("k") * F.col("length"))
-    uneven = placed.filter(~short).withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0)))
-    return even.unionByName(uneven).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), "k", "ids")
+    sequence = F.floor(F.col("number") / F.col("k"))
+    placed = placed.withColumn("sequence_id", F.col("k") * F.lit(1 << 40) + sequence)
+    # a sequence that began on a worker before, or that goes on on one behind, is put together; in the others a piece knows what lies ahead of it
+    first, last = F.floor(F.col("before") / F.col("k")), F.floor((F.col("before") + F.col("n")) / F.col("k"))
+    apart = (F.col("k") <= uneven_classes(capacity)) & (((sequence == first) & (F.col("before") % F.col("k") != 0)) | (sequence == last))
+    place = (F.col("number") % F.col("k")).cast("int")
+    ahead = F.aggregate(F.slice("ahead", F.size("ahead") - place + 1, place), F.lit(0).cast("long"), lambda a, b: a + b)
+    whole = placed.filter(~apart).withColumn("offset", F.when(F.col("k") > uneven_classes(capacity), place * F.col("length")).otherwise(ahead))
+    up_to = Window.partitionBy("sequence_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.filter(apart).withColumn("offset", F.coalesce(F.sum("length").over(up_to), F.lit(0)))
+    return whole.unionByName(joined).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", F.col("offset").cast("long").alias("offset"), "k", "ids")

@@ -355,6 +355,30 @@ def test_packing(odd, documents):
             assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 4096
 
 
+@pytest.mark.parametrize("capacity", [4096, 512])
+def test_packing_across_workers(spark, documents, capacity):
+    """Sequences that workers share, and pieces of many batches of a worker, lie without a gap; each class leaves one sequence short at most."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        pieces = packing.pack(documents.repartition(9), capacity=capacity).drop("ids").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sequences, sizes, seen = defaultdict(list), Counter(), defaultdict(list)
+    for p in pieces:
+        sequences[p.sequence_id].append((p.offset, p.length, p.k))
+        sizes[p.k] += 1
+        seen[p.doc_id].append((p.start, p.length, p.doc_tokens))
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, *_ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) <= capacity
+        assert len({k for *_, k in own}) == 1
+    assert Counter(own[0][2] for own in sequences.values()) == {k: -(-n // k) for k, n in sizes.items()}
+    for own in seen.values():
+        own.sort()
+        assert [a for a, *_ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
+
+
 def test_packing_cuts_leave_little_unused():
     lengths = np.random.default_rng(0).integers(1, 20_000, 3000)
     doc, start, size = packing.cut(lengths)

@@ -155,7 +155,7 @@ def _asked(lanes: int, length: int):
             shard.anchors(lanes)
             keys, _ = shard.keys()
             full, begin = np.unique((keys >> _U(32)).astype(np.int64), return_index=True)
-            half, end = keys.astype(np.uint32), np.append(begin[1:], len(keys))
+            half, end = keys.astype(np.uint32), np.append(begin, len(keys))[1:]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([row["shard"]] * len(full), pa.int64()), pa.array([half[i:j].tobytes() for i, j in zip(begin, end, strict=True)], pa.binary())], ["lane", "shard", "keys"])
 
     return run

@@ -607,6 +607,13 @@ def test_suffix_dedup(spark, monkeypatch, shard, hot, fan):
     suffix_same(spark, [(r.doc_id, r.text) for r in documents.collect()] + [(r[0] if r[0] is None else 1000 + r[0], r[1]) for r in ODD] + EDGES, 5)
 
 
+def test_suffix_short_texts(spark):
+    """Shards without a string of 50 bytes."""
+    rows = [(i, "short" if i % 2 else None) for i in range(8)]
+    suffix_same(spark, rows, 8)
+    suffix_same(spark, [*rows, (9, "y" * 49), (10, "x" * 50), (11, "x" * 50)], 8)
+
+
 def test_suffix_hot_passage(spark, monkeypatch):
     """A passage that lies in every shard, in documents of any order, and near-copies of it."""
     for name, value in (("SHARD_BYTES", 2_000), ("HOT_SHARDS", 4), ("FAN_IN", 4)):

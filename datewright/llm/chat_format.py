@@ -78,7 +78,8 @@ class Codec:
         self.pool = np.frombuffer(b"".join(tokens), np.uint8)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without places in the text
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
 
     def decode(self, ids: np.ndarray) -> str:
         return self.pool[gather(self.starts[ids], self.lengths[ids])].tobytes().decode()
@@ -179,9 +180,10 @@ def _tree(path: str | None, part_tokens: int):
                     shared += 1
                 new.update(dict.fromkeys(turns[shared:]))
                 before = turns
-            texts = [format_turn(*turn) for turn in new]
-            split = encoder.encode([x for segment, a, b in texts for x in (segment[:a], segment[a:b], segment[b:])])
-            tokens = {turn: split[3 * i : 3 * i + 3] for i, turn in enumerate(new)}
+            cut = {turn: (segment[:a], segment[a:b], segment[b:]) for turn in new for segment, a, b in (format_turn(*turn),)}
+            different = list(dict.fromkeys(x for three in cut.values() for x in three))  # heads and ends are few
+            known = dict(zip(different, encoder.encode(different), strict=True))
+            tokens = {turn: [known[x] for x in three] for turn, three in cut.items()}
             for own, turns in convs:
                 if at > part_tokens or (stack and len(stack[-1]["conv_ids"]) >= PART_IDS):
                     kept = {x["turn"]: x["split"] for x in stack}

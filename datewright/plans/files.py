@@ -98,7 +98,7 @@ def _(spark, sf_dir):
 _BYTES = "case ext when 'tif' then 76 when 'png' then 8 + 25 + 88 + 12 when 'webp' then 96 when 'raf' then 92 + 90 else 90 end"
 
 
-@query("scan_totals", f"with {_PICTURES}, sized as (select {_BYTES} as size from pic where k % 7 <> 0 union all select 24 + 25 + 3 from pic where k % 3 = 0 union all select length('{{\"photoTakenTime\": {{\"timestamp\": \"' || (1300000000 + 60 * k) || '\"}}}}') from pic where k % 4 = 0) select count(*) as files, sum(size)::bigint as bytes from sized")
+@query("scan_totals", f"with {_PICTURES}, sized as (select {_BYTES} as size from pic where k % 7 <> 0 union all select length('<x xmp:CreateDate=\"' || strftime(taken, '%Y-%m-%dT%H:%M:%S') || '+02:00\"/>') from pic where k % 3 = 0 union all select length('{{\"photoTakenTime\": {{\"timestamp\": \"' || (1300000000 + 60 * k) || '\"}}}}') from pic where k % 4 = 0) select count(*) as files, sum(size)::bigint as bytes from sized")
 def _(spark, sf_dir):
     return listing.totals(_scanned(spark, sf_dir))
 

@@ -201,8 +201,10 @@ def parts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of the elements of ragged rows, one row after the other."""
-    rows, place = parts(lengths)
-    return starts[rows] + place
+    ends = np.cumsum(lengths, dtype=np.int64)
+    out = np.repeat(starts - ends + lengths, lengths)
+    out += np.arange(len(out))
+    return out
 
 
 def ids(column: pa.Array) -> np.ndarray:

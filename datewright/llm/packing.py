@@ -33,6 +33,8 @@ SLACK = 64
 END_ID = 2
 #: Words whose ids a worker keeps at most, at about 200 bytes each.
 CACHE_WORDS = 100_000
+#: Words whose ids are put together at once, if a text has no more.
+PART_WORDS = 100_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -124,20 +126,23 @@ class WordIds:
     def of(self, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and offsets."""
         distinct, codes, offsets = words(text)
-        place = np.zeros(0, np.int64)
-        if len(distinct):
-            piece, ends = self.pieces(distinct.cast(pa.string()))
-            n = np.diff(ends)[codes]
-            place = piece[gather(ends[codes], n)]
-            offsets = np.concatenate([[0], np.cumsum(n)])[offsets]
-        starts, lengths = self.starts[place], self.lengths[place]
-        pool = self.ids
-        totals = per_row(lengths, offsets)
-        if end_id is not None:
-            starts, lengths = np.insert(starts, offsets[1:], self.used), np.insert(lengths, offsets[1:], 1)
-            pool = np.append(self.ids[: self.used], np.uint32(end_id))
-            totals = totals + 1
-        return pool[gather(starts, lengths)], np.concatenate([[0], np.cumsum(totals)])
+        piece, ends = self.pieces(distinct.cast(pa.string())) if len(distinct) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        sizes, pool = np.diff(ends), self.ids[: self.used] if end_id is None else np.append(self.ids[: self.used], np.uint32(end_id))
+        found, totals = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at + 1 < len(offsets):  # some texts at a time: indexes take many times the memory of ids
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_WORDS, "right")) - 1)
+            own, bounds = codes[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            n = sizes[own]
+            place = piece[gather(ends[own], n)]
+            bounds = np.concatenate([[0], np.cumsum(n)])[bounds]
+            starts, lengths = self.starts[place], self.lengths[place]
+            totals.append(per_row(lengths, bounds) + (end_id is not None))
+            if end_id is not None:
+                starts, lengths = np.insert(starts, bounds[1:], self.used), np.insert(lengths, bounds[1:], 1)
+            found.append(pool[gather(starts, lengths)])
+            at = to
+        return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(totals))])
 
 
 class WholeIds:

@@ -379,6 +379,22 @@ def test_packing_across_workers(spark, documents, capacity):
         assert [a for a, *_ in own] == [sum(n for _, n, _ in own[:i]) for i in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
 
 
+def test_packing_memory_of_a_batch():
+    """Ids of many texts take a worker little more than they are: executors' memory is what the pipeline ran out of."""
+    import tracemalloc
+
+    ids_of, texts = packing.WordIds(packing.tokenizer_path()), pa.array(["one two three four "] * 4000 + ["", None, "five " * 150_000])
+    want = [packing.WordIds(packing.tokenizer_path()).of(pa.array([t]))[0] for t in ("one two three four ", "", None, "five " * 150_000)]
+    ids, offsets = ids_of.of(pa.concat_arrays([texts] * 10))
+    assert len(ids) == 10 * (20_000 + 2 + 150_001) and offsets[-1] == len(ids)
+    assert all(np.array_equal(ids[offsets[i] : offsets[i + 1]], want[j]) for i, j in ((0, 0), (3999, 0), (4000, 1), (4001, 2), (4002, 3), (4003, 0), (40029, 3)))
+    tracemalloc.start()
+    ids, _ = ids_of.of(pa.array(["one two three four "] * 150_000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(ids), peak / len(ids)
+
+
 def test_packing_cuts_leave_little_unused():
     lengths = np.random.default_rng(0).integers(1, 20_000, 3000)
     doc, start, size = packing.cut(lengths)

@@ -90,19 +90,22 @@ def detect_boxes(pictures: DataFrame, detect) -> DataFrame:
     return pictures.select("file_id", "turn").mapInPandas(run, "file_id bigint, turn string, label string, confidence float, bounds array<float>")
 
 
+def _overlaps(a: Column, b: Column) -> Column:
+    """Whether two boxes have more than BOX_OVERLAP of what they cover in common. Boxes: x0, y0, x1, y1 as doubles, area."""
+    common = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0.0)) * F.greatest(F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]), F.lit(0.0))
+    covered = a["area"] + b["area"] - common
+    return (covered != 0) & (common / F.when(covered != 0, covered) > BOX_OVERLAP)
+
+
 def suppress(boxes: DataFrame) -> DataFrame:
-    """Boxes above BOX_CONFIDENCE, without those that overlap a more confident one of their file, turn and label by more than BOX_OVERLAP. A picture's boxes are few."""
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("confidence", ascending=False, kind="stable")
-        b = np.array(frame["bounds"].tolist(), float)
-        area = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-        keep: list[int] = []
-        for i in range(len(b)):
-            w = np.minimum(b[keep, 2], b[i, 2]) - np.maximum(b[keep, 0], b[i, 0])
-            h = np.minimum(b[keep, 3], b[i, 3]) - np.maximum(b[keep, 1], b[i, 1])
-            common = np.clip(w, 0, None) * np.clip(h, 0, None)
-            if not (common / (area[keep] + area[i] - common) > BOX_OVERLAP).any():
-                keep.append(i)
-        return frame.iloc[keep]
-
-    return boxes.filter(F.col("confidence") > BOX_CONFIDENCE).groupBy("file_id", "turn", "label").applyInPandas(one, boxes.schema)
+    """Boxes above BOX_CONFIDENCE, without those that overlap a more confident one of their file, turn and label by more than BOX_OVERLAP. A picture's boxes are few.
+
+    Of equally confident boxes the first by bounds, then by the other columns, counts as the more confident one, so that the order of rows never matters.
+    """
+    keys, own = ["file_id", "turn", "label"], boxes.columns
+    others = [c for c in own if c not in (*keys, "confidence", "bounds")]
+    x0, y0, x1, y1 = (F.get("bounds", F.lit(i)).cast("double") for i in range(4))
+    box = F.struct((-F.col("confidence")).alias("less"), "bounds", *others, "confidence", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), ((x1 - x0) * (y1 - y0)).alias("area"))
+    several = boxes.filter(F.col("confidence") > BOX_CONFIDENCE).groupBy(*keys).agg(F.array_sort(F.collect_list(box)).alias("__boxes"))
+    kept = F.aggregate("__boxes", F.slice("__boxes", 1, 0), lambda keep, b: F.when(F.exists(keep, lambda k: _overlaps(k, b)), keep).otherwise(F.concat(keep, F.array(b))))
+    return several.select(*keys, F.explode(kept).alias("__box")).select(*[F.col(c) if c in keys else F.col("__box")[c].alias(c) for c in own])

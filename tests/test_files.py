@@ -167,6 +167,18 @@ def test_vision(spark):
     assert sorted((r.label, round(r.confidence, 1)) for r in vision.suppress(same).collect()) == [("a", 0.9), ("b", 0.7)]
 
 
+def test_suppressed_boxes_are_expressions(spark):
+    """No Python call a picture; of equally sure boxes the first by bounds stays, whatever the order of rows; boxes without an area are kept."""
+    schema = "line bigint, bounds array<float>, confidence float, label string, turn string, file_id bigint"
+    rows = [(1, [1.0, 0.0, 11.0, 10.0], 0.5, "a", "none", 1), (2, [0.0, 0.0, 10.0, 10.0], 0.5, "a", "none", 1), (3, [2.0, 0.0, 12.0, 10.0], 0.5, "a", "none", 1), (4, [6.0, 0.0, 16.0, 10.0], 0.4, "a", "none", 1)]
+    rows += [(5, [0.0] * 4, 0.9, "a", "none", None), (6, [0.0] * 4, 0.8, "a", "none", None), (7, [0.0, 0.0, 10.0, 10.0], 0.5, "a", "rot90", 1), (8, [0.0, 0.0, 1.0, 1.0], 0.35, "a", "none", 2)]
+    for order in (rows, rows[::-1]):
+        got = vision.suppress(spark.createDataFrame(order, schema))
+        assert got.schema.names == ["line", "bounds", "confidence", "label", "turn", "file_id"]
+        assert "Pandas" not in got._jdf.queryExecution().toString()
+        assert sorted(r.line for r in got.collect()) == [2, 4, 5, 6, 7]
+
+
 def test_stream(spark, tmp_path):
     t = datetime(2019, 7, 4, 10)
     rows = [("/s/a.jpg", 3, t, [("exif", None, t)], t), ("/s/b.jpg", 3, t, [("exif", None, t)], t)]

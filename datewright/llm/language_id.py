@@ -27,6 +27,8 @@ from datewright.llm.common import mapped, pick, with_private, words
 BUCKETS, CELLS = 1 << 16, 1 << 24
 #: Languages that a batch is scored by at a time.
 LANGUAGES = 32
+#: Distinct words whose n-grams are hashed at a time.
+PART_WORDS = 1 << 14
 ORDERS = (1, 2, 3, 4)
 TRAIN_ROWS = 10_000
 MAX_LANGUAGES = 1 << 16
@@ -64,6 +66,19 @@ def grams(distinct: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarr
         yield word[at], (h[at] % np.uint64(buckets)).astype(np.int64)
 
 
+def grams_by_word(distinct: pa.Array, buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the buckets of all n-grams, one word after the other, and offsets by word. Some words at a time: hashing takes many times the memory of the buckets."""
+    kind, parts = np.min_scalar_type(buckets - 1), range(0, len(distinct), PART_WORDS)
+    found = [[np.zeros(0, kind)] for _ in ORDERS]
+    ends = [np.zeros(len(distinct) + 1, np.int64) for _ in ORDERS]
+    for at in parts:
+        some = distinct.slice(at, PART_WORDS)
+        for i, (word, bucket) in enumerate(grams(some, buckets)):
+            found[i].append(bucket.astype(kind))
+            ends[i][at + 1 : at + 1 + len(some)] = np.bincount(word, minlength=len(some))
+    return [(np.concatenate(b), np.cumsum(e)) for b, e in zip(found, ends, strict=True)]
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -147,7 +162,7 @@ def predict(text: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     if not k or not number:
         return [UNKNOWN] * n, np.zeros(n)
     word, times, ends = _times(codes, offsets)
-    orders = [(bucket, np.searchsorted(w, np.arange(number + 1))) for w, bucket in grams(distinct, len(model.log_p))]
+    orders = grams_by_word(distinct, len(model.log_p))
     found = _sums(sum(np.diff(cuts) for _, cuts in orders)[word][:, None] * times[:, None].astype(float), ends)[:, 0]
     sums = np.empty((n, k))
     for at in range(0, k, LANGUAGES):

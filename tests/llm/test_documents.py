@@ -321,6 +321,23 @@ def test_language_id_many_languages(spark):
     assert sum(r.lang_pred == want[r.doc_id] for r in got) > 0.95 * len(got)
 
 
+def test_language_id_memory_of_a_batch():
+    """Hashing n-grams takes little more than the texts' words, and the parts of a batch give what the whole gives."""
+    import tracemalloc
+
+    words = [f"{'abcdefghij'[i % 10]}é{i:x}".translate(str.maketrans("0123456789", "klmnopqrst")) for i in range(100_000)]
+    texts = pa.array([" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)] + ["", None])
+    model = language_id.Model(["x", "y"], np.random.default_rng(0).random((language_id.BUCKETS, 2)).astype(np.float32), np.zeros(2))
+    language_id.predict(texts.slice(0, 1), model)
+    tracemalloc.start()
+    found, score = language_id.predict(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    alone = [language_id.predict(texts.slice(i, 1), model) for i in range(len(texts))]
+    assert found == [x for a, _ in alone for x in a] and np.allclose(score, np.concatenate([s for _, s in alone]))
+    assert peak < 400 * len(words), peak / len(words)
+
+
 def test_language_id_odd(odd, empty):
     got = {r.doc_id: r for r in language_id.language_id(odd).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3, 9)] == ["und"] * 4 and got[9].score == 0

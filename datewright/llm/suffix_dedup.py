@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,16 @@ _SHARD = "shard long, docs binary, ends binary, text binary"
 _U = np.uint64
 
 
+#: One of each a worker: shards and lanes have many small messages for each other.
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return _COMPRESSOR.compress(x.tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return np.frombuffer(_DECOMPRESSOR.decompress(x), kind)
 
 
 def _shards(most: int):
@@ -305,15 +310,18 @@ def classes(shard: Shard, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blob(*arrays: np.ndarray) -> bytes:
+    return _framed([x.tobytes() for x in arrays])
+
+
+def _framed(parts: list[bytes]) -> bytes:
     """Arrays after each other, compressed; their bytes' lengths come first."""
-    parts = [np.ascontiguousarray(x).tobytes() for x in arrays]
-    return _pack(np.frombuffer(struct.pack(f"<q{len(parts)}q", len(parts), *map(len, parts)) + b"".join(parts), np.uint8))
+    return _COMPRESSOR.compress(b"".join([struct.pack(f"<q{len(parts)}q", len(parts), *map(len, parts)), *parts]))
 
 
 def _unblob(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
+    data = _DECOMPRESSOR.decompress(blob)
     (n,) = struct.unpack_from("<q", data)
-    ends = np.cumsum([8 + 8 * n, *struct.unpack_from(f"<{n}q", data, 8)])
+    ends = list(accumulate(struct.unpack_from(f"<{n}q", data, 8), initial=8 + 8 * n))
     return [np.frombuffer(data[a:b], kind) for a, b, kind in zip(ends[:-1], ends[1:], kinds, strict=True)]
 
 
@@ -350,14 +358,17 @@ def _resolved(lanes: int, length: int, groups: int):
             full, begin, sizes = np.unique(lane_of, return_index=True, return_counts=True)
             # the shard's own state goes the same way, as a group of its own
             out: list[tuple[int, bytes]] = [(-1 - row["shard"], _blob(np.packbits(gone), full, sizes, np.diff(asks, prepend=0).astype(np.int32), np.diff(followers, prepend=0).astype(np.int32), np.diff(leaders, prepend=0).astype(np.int32)))]
-            for lane, first, size in zip(full.tolist(), begin.tolist(), sizes.tolist(), strict=True):
-                own = asks[first : first + size]
-                at, segment = shard.windows[own], shard.segment[own]
-                start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (segment[1:] != segment[:-1])]))
-                run_size = np.diff(np.append(start, len(own)))
-                text = shard.data[gather(at[start], run_size + length - 1)]
-                hot = [np.full(len(start), row["shard"]), first + start] if lane >= lanes else []
-                out.append((lane, _blob(run_size.astype("<u2"), (shard.anchor[segment[start]] - at[start]).astype("<u2"), shard.doc[own[start]], text, *hot)))
+            # runs of all lanes at once, as lanes are many: a lane's begin with a segment of its own
+            at, segment = shard.windows[asks], shard.segment[asks]
+            start = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (segment[1:] != segment[:-1])])[: len(asks)])
+            run_size = np.diff(np.append(start, len(asks)))
+            at, span = at[start], run_size + length - 1
+            heads = [(2, run_size.astype("<u2").tobytes()), (2, (shard.anchor[segment[start]] - at).astype("<u2").tobytes()), (8, shard.doc[asks[start]].tobytes())]
+            numbers = [(8, np.full(len(start), row["shard"]).tobytes()), (8, start.tobytes())]
+            cuts = np.searchsorted(start, np.append(begin, len(asks))).tolist()
+            for lane, i, j in zip(full.tolist(), cuts[:-1], cuts[1:], strict=True):
+                text = shard.data[gather(at[i:j], span[i:j])].tobytes()
+                out.append((lane, _framed([*(x[n * i : n * j] for n, x in heads), text, *(x[n * i : n * j] for n, x in (numbers if lane >= lanes else []))])))
                 if len(out) >= 256:
                     yield _sent(row["shard"], out)
                     out = []

@@ -658,6 +658,30 @@ def test_suffix_hot_passage(spark, monkeypatch):
     suffix_same(spark, rows + [(3, passage), (3, passage), (None, passage[40:200]), (None, passage[41:220])], 7)
 
 
+def test_suffix_messages_of_many_lanes(monkeypatch):
+    """A shard's messages are cut from arrays made once: lanes grow with the input, and work for each would grow with its square."""
+    text = np.frombuffer(np.random.default_rng(0).bytes(50_000), np.uint8)
+    docs, ends = np.arange(2).tobytes(), np.array([25_000, 50_000]).tobytes()
+    calls, flatnonzero = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: calls.append(1) or flatnonzero(x))
+    strings, counts = [], []
+    for lanes in (3, 300):
+        shard = suffix_dedup.Shard(docs, ends, suffix_dedup._pack(text), 50)
+        shard.anchors(lanes)
+        keys, _ = shard.keys()
+        full, sizes = np.unique((keys >> np.uint64(32)).astype(np.int64), return_counts=True)
+        found = [{"lane": k, "bits": np.packbits(np.ones(n, bool)).tobytes()} for k, n in zip(full.tolist(), sizes.tolist(), strict=True)]
+        columns = {"shard": pa.array([5]), "docs": pa.array([docs]), "ends": pa.array([ends]), "text": pa.array([suffix_dedup._pack(text)]), "found": pa.array([found])}
+        calls.clear()
+        sent = [r for b in suffix_dedup._resolved(lanes, 50, 1)(iter([pa.RecordBatch.from_pydict(columns)])) for r in b.to_pylist()]
+        counts.append(len(calls))
+        asked = [suffix_dedup._unblob(r["blob"], "<u2", "<u2", "<i8", "u1") for r in sent if r["lane"] >= 0]
+        assert len(asked) == len(full) and all(len(size) == len(doc) and len(run) == size.sum(dtype=np.int64) + 49 * len(size) for size, _, doc, run in asked)
+        strings.append(sorted((d, t[i : i + 50]) for size, _, doc, run in asked for d, n, e in zip(doc.tolist(), size.tolist(), np.cumsum(size.astype(int) + 49).tolist(), strict=True) for t in [run[e - n - 49 : e].tobytes()] for i in range(n)))
+    assert strings[0] == strings[1] == sorted((k, text[25_000 * k + i : 25_000 * k + i + 50].tobytes()) for k in range(2) for i in range(24_951))
+    assert counts[0] == counts[1]
+
+
 @pytest.mark.parametrize("text", [b"banana bandana banana band " * 8, b"a" * 300, bytes(np.random.default_rng(2).choice(list(b"ab"), 2000).tolist()), b"\x00\xff" * 50 + b"\xff\x00\x00" * 40])
 def test_suffix_array_order(text):
     """Sorted by 64 bytes, or up to the end: beyond it there are less than any byte."""
